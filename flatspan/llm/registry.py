@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flatspan.llm import mixing, sharding, simhash
+from flatspan.llm import decontamination, language, language_model, mixing, sharding, simhash, toxicity
 from flatspan.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,12 +20,30 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(read_table(spark, sf_dir, "documents")))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Query]:
-    found = [op2_source_mixing, op4_simhash_near_dedup, op6_sharding]
+    found = [op2_source_mixing, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_sharding, op7_language_id, op9_lm_scoring, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
