@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 import numpy as np
 import xxhash
@@ -97,3 +98,10 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if np.array_equal(root, before):
             break
     return root
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it again: lineage is cut, and columns can be pruned."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flatspan.llm import decontamination, language, language_model, mixing, sharding, simhash, toxicity
+from flatspan.llm import decontamination, embeddings, language, language_model, mixing, sharding, simhash, substrings, toxicity, urls
 from flatspan.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(read_table(spark, sf_dir, "documents")))
 
@@ -33,6 +41,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.learn(docs))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(read_table(spark, sf_dir, "documents"))
 
@@ -43,7 +55,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_source_mixing, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_sharding, op7_language_id, op9_lm_scoring, op10_toxicity]
+    found = [
+        op1_substring_dedup, op2_source_mixing, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_benchmark_decontamination,
+        op6_sharding, op7_language_id, op8_url_filters, op9_lm_scoring, op10_toxicity,
+    ]
     return {f.__name__: f for f in found}
 
 
