@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,16 +151,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the rows that overlap any item: one narrow pass a block of items, no join."""
-    spark = docs.sparkSession
     for block in test_blocks(benchmark, block_words):
-        sent = spark.sparkContext.broadcast(block)
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(block))(as_utf8(F.col("text"))))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(raw: pd.Series, sent=sent) -> pd.Series:
-            out = np.ones(len(raw), dtype=bool)
-            for k, *_ in overlaps(sent.value, list(raw)):
-                out[k] = False
-            return pd.Series(out)
 
-        docs = docs.where(clean(as_utf8(F.col("text"))))
-    return docs
+def _clean(sent: Broadcast):
+    @F.pandas_udf("boolean")
+    def clean(raw: pd.Series) -> pd.Series:
+        out = np.ones(len(raw), dtype=bool)
+        for k, *_ in overlaps(sent.value, list(raw)):
+            out[k] = False
+        return pd.Series(out)
+
+    return clean
