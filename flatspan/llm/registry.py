@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flatspan.llm import decontamination, embeddings, language, language_model, mixing, sharding, simhash, substrings, toxicity, urls
 from flatspan.llm.common import read_table
+from flatspan.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,4 +64,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

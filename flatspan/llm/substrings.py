@@ -211,7 +211,7 @@ def paragraph_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     close = pairs.join(left, "a").join(right, "b").where(shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
     meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.struct(F.least(F.col("tile"), u).alias("t"), F.greatest(F.col("tile"), u).alias("u")))
     tiled = crowded.select("bucket", "key", F.explode(meets).alias("m")).select("bucket", "key", "m.*").join(sets, "key")
-    return close.union(tiled.groupBy("bucket", "t", "u").applyInPandas(compare_bucket, "a long, b long"))
+    return close.union(tiled.groupBy("bucket", "t", "u").applyInPandas(lambda g: compare_bucket(g), "a long, b long"))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
