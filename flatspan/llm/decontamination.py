@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from flatspan.llm.common import WordHashes, as_utf8, mix, odd_constants, words_of
 
 #: Fixed masks: 1 takes part in the hash, 0 is ignored. All have weight 8.
-MASKS = ("11111111", "1110110111", "11011010111", "1011101101101"[:13])
+MASKS = ("11111111", "1110110111", "11011010111", "101101110101")
 #: An overlap counts from so many words (or 0.8 of a shorter item), with 0.8 or more of them equal.
-MIN_OVERLAP = 12
+MIN_OVERLAP = 13
 SIMILARITY = 0.8
 #: Words of test items that one broadcast holds; more items take more passes over the documents.
 BLOCK_WORDS = 1_000_000
@@ -66,17 +66,19 @@ class TestBlock:
                 yield np.repeat(at, n), item[k], pos[k]
 
     def verify(self, h: np.ndarray, item: int, shift: int) -> tuple[int, int, int] | None:
-        """Best overlap on a diagonal: (start in h, words, equal words), if long and similar enough."""
+        """Longest similar overlap on a diagonal: (start in h, words, equal words) between its outer equal words."""
         words = self.words[item]
         a, b = max(0, -shift), min(len(words), len(h) - shift)
         equal = words[a:b] == h[a + shift : b + shift]
-        gain = np.concatenate(([0], np.cumsum(np.where(equal, 1, -4))))  # positive: over 0.8 equal
+        gain = np.concatenate(([0], np.cumsum(np.where(equal, 1, -4))))  # a window that loses nothing has 0.8 equal
         low = np.minimum.accumulate(gain)
-        end = int((gain - low).argmax())
-        start = int(gain[: end + 1].argmin())
-        same = int(equal[start:end].sum())
-        if end - start < min(MIN_OVERLAP, int(np.ceil(SIMILARITY * len(words)))) or same < SIMILARITY * (end - start):
+        begin = np.searchsorted(-low, -gain, "left")  # for each end, the first start that it isn't below
+        end = int((np.arange(len(gain)) - begin).argmax())
+        start = int(begin[end])
+        if end - start < min(MIN_OVERLAP, int(np.ceil(SIMILARITY * len(words)))):
             return None
+        own = np.flatnonzero(equal[start:end])
+        start, end, same = start + int(own[0]), start + int(own[-1]) + 1, len(own)
         return a + shift + start, end - start, same
 
 

@@ -26,10 +26,11 @@ def unit(vector: Column) -> Column:
     """The direction in double precision; null for null, empty, zero, and vectors with null or non-finite components."""
     x = vector.cast("array<double>")
     big = F.array_max(F.transform(x, F.abs))
-    scaled = F.transform(x, lambda v: v / big)
+    # the divisors stand outside the lambdas, which would compute them again for each component
+    scaled = F.zip_with(x, F.array_repeat(big, F.size(x)), lambda v, b: v / b)
     norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, v: a + v * v))
     sound = (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (big > 0)
-    return F.when(sound, F.transform(scaled, lambda v: v / norm))
+    return F.when(sound, F.zip_with(scaled, F.array_repeat(norm, F.size(x)), lambda v, n: v / n))
 
 
 def _matrix(cells: pd.Series, width: int) -> np.ndarray:

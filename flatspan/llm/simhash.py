@@ -234,7 +234,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     near = cut_lineage(near_duplicates(docs))
     chosen = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("comp").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"), F.count(F.lit(1)).alias("rows"))
     chosen = chosen.select("comp", F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_hash"), "rows")
-    same = F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d_id"), F.xxhash64("text").alias("d_hash")
+    same = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("d_id"), F.xxhash64("text").alias("d_hash")
     kept = docs.select(*same).join(chosen, F.col("d_id").eqNullSafe(F.col("k_id")) & (F.col("d_hash") == F.col("k_hash")))
     single = kept.where("rows = 1").select("row.*")
     repeated = kept.where("rows > 1").dropDuplicates(["comp"]).select("row.*")
