@@ -50,13 +50,20 @@ class TestBlock:
             if found:
                 x = np.array([f[0] for f in found], dtype=np.uint64)
                 order = np.argsort(x, kind="stable")
-                table = np.zeros(1 << _TABLE_BITS, dtype=bool)
-                table[x >> np.uint64(64 - _TABLE_BITS)] = True
-                self.seeds.append((mask, x[order], np.array([f[1] for f in found])[order], np.array([f[2] for f in found])[order], table))
+                self.seeds.append((mask, x[order], np.array([f[1] for f in found])[order], np.array([f[2] for f in found])[order]))
+        self._tables: list[np.ndarray] = []
+
+    def tables(self) -> list[np.ndarray]:
+        """By mask, whether any seed has these leading bits; made where it is used, so that it isn't broadcast."""
+        if not self._tables:
+            for _, x, _, _ in self.seeds:
+                self._tables.append(np.zeros(1 << _TABLE_BITS, dtype=bool))
+                self._tables[-1][x >> np.uint64(64 - _TABLE_BITS)] = True
+        return self._tables
 
     def hits(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(position, item, position in the item) of every seed that the words h share with an item."""
-        for mask, x, item, pos, table in self.seeds:
+        for (mask, x, item, pos), table in zip(self.seeds, self.tables(), strict=True):
             own = _seed_hashes(h, mask)
             at = np.flatnonzero(table[own >> np.uint64(64 - _TABLE_BITS)])
             lo, hi = np.searchsorted(x, own[at], "left"), np.searchsorted(x, own[at], "right")
