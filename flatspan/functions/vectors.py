@@ -29,8 +29,11 @@ def norm2(a: Column) -> Column:
 
 
 def normalize(a: Column) -> Column:
-    """a / (norm + machine epsilon), so that a zero vector stays zero."""
-    return F.transform(a, lambda v: v / (norm2(a) + EPS))
+    """a / (norm + machine epsilon), so that a zero vector stays zero.
+
+    The norm stands outside the lambda, which would compute it again for each component.
+    """
+    return F.zip_with(a, F.array_repeat(norm2(a) + EPS, F.size(a)), lambda v, n: v / n)
 
 
 def soft_threshold(x: Column, eta: Column | float) -> Column:

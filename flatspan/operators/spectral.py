@@ -96,7 +96,7 @@ def embedding(affinity: DataFrame, ids: DataFrame, k: int, seed: int = 0, most:
     w.unpersist()
     own = F.slice("v", 1, k)
     norm = F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, x: s + x * x)) + EPS
-    return v.select("id", F.transform(own, lambda x: x / norm).alias("vector"))
+    return v.select("id", F.zip_with(own, F.array_repeat(norm, k), lambda x, m: x / m).alias("vector"))
 
 
 def _direct(affinity: DataFrame, ids: DataFrame, k: int) -> DataFrame:
