@@ -21,8 +21,10 @@ BANDS, ROWS = 7, 3
 MIN_PARAGRAPH = 20
 #: Sentences with fewer words join the next one; sentence units with fewer words are left.
 MIN_SENTENCE, MIN_UNIT = 6, 5
-#: Repeated units of a text that follow each other (over at most GAP other words) form a passage; shorter ones are left.
-GAP, MIN_PASSAGE = 5, 30
+#: Repeated units of a text that follow each other (over at most GAP other words) form a passage. It needs so many
+#: words outside lines of under 20 words: common short lines, however many stand together, are no passage. A passage
+#: of over 50 words loses at most parts of its first and last sentence to the text around it.
+GAP, MIN_PASSAGE = 5, 24
 #: Buckets with more paragraphs are compared in tiles.
 BUCKET, TILE = 48, 128
 _CHUNK = 200_000
@@ -144,16 +146,17 @@ def _units_of(held: list[tuple[int, np.ndarray, list[int]]], powers: Powers) ->
     ss, se = ss[keep], se[keep]
     ids = np.array([i for i, _, _ in held], dtype=np.int64)
     parts = []
-    for kind, s, e, bs in (("p", ps, pe, list(bands.view(np.int64))), ("s", ss, se, None)):
+    short = (line_end - line_start < MIN_PARAGRAPH)[np.searchsorted(line_end, ss, "right")]
+    for kind, s, e, few, bs in (("p", ps, pe, False, list(bands.view(np.int64))), ("s", ss, se, short, None)):
         if len(s):
             doc = np.searchsorted(base, s, "right") - 1
-            parts.append(pd.DataFrame({"kind": kind, "key": _sums(h, s, e, powers).view(np.int64), "doc_id": ids[doc], "start": (s - base[doc]).astype(np.int32), "n": (e - s).astype(np.int32), "bands": bs}))
-    return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("kind", "key", "doc_id", "start", "n", "bands")})
+            parts.append(pd.DataFrame({"kind": kind, "key": _sums(h, s, e, powers).view(np.int64), "doc_id": ids[doc], "start": (s - base[doc]).astype(np.int32), "n": (e - s).astype(np.int32), "short": few, "bands": bs}))
+    return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("kind", "key", "doc_id", "start", "n", "short", "bands")})
 
 
 def units(docs: DataFrame) -> DataFrame:
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", as_utf8(F.col("text")).alias("raw"))
-    return rows.mapInPandas(_units, "kind string, key long, doc_id long, start int, n int, bands array<long>")
+    return rows.mapInPandas(_units, "kind string, key long, doc_id long, start int, n int, short boolean, bands array<long>")
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,7 +224,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     where their sets of five-word shingles have a Jaccard similarity of 0.8 or more: MinHash bands propose pairs,
     exact sets verify them, components cluster them. A passage may also stand inside different paragraphs; there its
     sentences, cut by content alone, repeat word for word. Repeated units that follow each other form a passage;
-    of 30 words or more it is returned, with the smallest document that shares one of its units (first_doc) and a
+    of 24 words or more in lines of 20 or more it is returned, with the smallest document that shares one of its units (first_doc) and a
     cluster: that of its longest unit. It is removed from all documents but that one.
 
     Word numbers count A-Z-lowered words split at ASCII white space, over the whole text. Null ids and texts are
@@ -236,9 +239,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     placed = classes.select("key", "lo", "hi").join(comps, F.col("key") == F.col("node"), "left").select("key", "lo", "hi", F.coalesce("component", "key").alias("cluster"))
     shared = placed.groupBy("cluster").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("cluster", "lo")
     groups = placed.select("key", "cluster").join(shared, "cluster").select("key", "cluster", "lo")
-    place = "doc_id", "start", "n", "cluster", "lo"
-    near = paragraphs.select("key", "doc_id", "start", "n").join(groups, "key").select(*place)
-    sentences = found.where("kind = 's'").select("key", "doc_id", "start", "n")
+    place = "doc_id", "start", "n", "short", "cluster", "lo"
+    near = paragraphs.select("key", "doc_id", "start", "n", "short").join(groups, "key").select(*place)
+    sentences = found.where("kind = 's'").select("key", "doc_id", "start", "n", "short")
     same = sentences.groupBy("key").agg(*spread).where("lo < hi").select("key", "lo")
     equal = sentences.join(same, "key").withColumn("cluster", F.col("key")).select(*place)
     return passages(near.union(equal))
@@ -250,6 +253,6 @@ def passages(repeated: DataFrame) -> DataFrame:
     before = F.max(F.col("start") + F.col("n")).over(in_text.rowsBetween(Window.unboundedPreceding, -1))
     opens = (before.isNull() | (F.col("start") > before + GAP)).cast("int")
     islands = repeated.withColumn("opens", opens).withColumn("island", F.sum("opens").over(in_text.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.max(F.struct("n", "cluster")).alias("most"), F.min("lo").alias("first_doc"))
-    joined = joined.withColumn("n_words", F.col("end") - F.col("start")).where(F.col("n_words") >= MIN_PASSAGE)
+    joined = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.max(F.struct("n", "cluster")).alias("most"), F.min("lo").alias("first_doc"), F.sum(F.when(F.col("short"), F.col("n")).otherwise(0)).alias("in_short"))
+    joined = joined.withColumn("n_words", F.col("end") - F.col("start")).where(F.col("n_words") - F.col("in_short") >= MIN_PASSAGE)
     return joined.select("doc_id", "start", "end", "n_words", F.col("most.cluster").alias("cluster"), "first_doc", (F.col("first_doc") < F.col("doc_id")).alias("removed"))

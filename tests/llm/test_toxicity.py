@@ -1,0 +1,71 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+
+from flatspan.llm import toxicity as tx
+from tests.llm.helpers import documents, frame, odd_documents
+
+
+def labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def corpus(n: int = 600):
+    rng = np.random.default_rng(0)
+    words, bad = [f"word{i}" for i in range(400)], ["vile", "scummy", "rotten", "foulest"]
+    rows, marks = [], []
+    for i in range(n):
+        w = list(rng.choice(words, rng.integers(20, 120)))
+        toxic = i % 8 == 0
+        for _ in range(3 * toxic):
+            w.insert(rng.integers(0, len(w)), str(rng.choice(bad)) + str(rng.choice(["", ".", "ness"])))
+        rows.append((i, " ".join(w)))
+        if i % 2 == 0:
+            marks.append((i, 1, int(toxic)))
+    return rows, marks
+
+
+def test_held_out_accuracy(spark):
+    rows, marks = corpus()
+    docs = documents(spark, rows)
+    model = tx.learn(docs, labels(spark, marks))
+    got = {r.doc_id: r for r in tx.score_toxicity(docs, model).collect()}
+    out = [i for i in got if got[i].held_out]
+    assert out and all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
+    assert all(got[i].predicted == (got[i].score >= 0.5) for i in got)
+    right = sum(got[i].predicted == (i % 8 == 0) for i in out)
+    assert right >= 0.97 * len(out)
+    again = {r.doc_id: r.score for r in tx.score_toxicity(docs, tx.learn(docs.repartition(5), labels(spark, marks))).collect()}
+    assert all(abs(again[i] - got[i].score) < 1e-9 for i in got)
+
+
+def test_held_labels_are_not_used(spark):
+    rows, marks = corpus(200)
+    docs = documents(spark, rows)
+    other = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in marks]
+    a, b = (tx.learn(docs, labels(spark, m)) for m in (marks, other))
+    assert np.array_equal(a.kinds, b.kinds) and np.allclose(a.weights, b.weights) and np.allclose(a.bias, b.bias)
+
+
+def test_risk_is_corrected():
+    """The gradient of the risk, by finite differences, while the negative part is positive."""
+    rows = [np.array([1, 2], dtype=np.uint64), np.array([2], dtype=np.uint64), np.array([1, 3], dtype=np.uint64)]
+    kinds = np.array([1, 2, 3], dtype=np.uint64)
+    s = tx.Sparse(rows, kinds)
+    w = np.array([0.5, -1.0, 2.0])
+    assert np.allclose(s.dot(w), [-0.5, -1.0, 2.5]) and np.allclose(s.back(np.array([1.0, 2.0, 3.0])), [4, 3, 3])
+    assert np.allclose(s.part(np.array([2, 0])).dot(w), [2.5, -0.5])
+
+
+def test_odd_rows(spark):
+    docs = odd_documents(spark)
+    for marks in ([(1, 1, 1), (None, 1, 1), (4, None, None), (6, 0, 0), (1, 1, 0)], [], [(77, 1, 1)]):
+        got = frame(tx.score_toxicity(docs, tx.learn(docs, labels(spark, marks))))
+        assert len(got) == 10 and got.score.astype(float).between(0, 1).all() and 2**53 + 1 in set(got.doc_id)
+
+
+def test_empty(spark):
+    none = documents(spark, [])
+    assert tx.score_toxicity(none, tx.learn(none, labels(spark, [(1, 1, 1)]))).count() == 0
