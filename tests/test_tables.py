@@ -1,0 +1,82 @@
+from __future__ import annotations
+
+import json
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from flatspan.frame import role_of, with_roles
+from flatspan.functions.tracking import TrackerOptions
+from flatspan.operators import tabular
+from flatspan.plans import pipelines
+from flatspan.sources import bundles
+from flatspan.streaming.tracker import TrackerStream
+
+
+def test_profile_parse_impute(spark):
+    df = spark.createDataFrame([("1", "1.5", "a", "2020-01-01"), ("2", None, "a", "2021-01-01"), ("x", "nan", "b", None), ("4", "3", "b", "2022-05-05")], "a string, b string, c string, d string")
+    kinds = {r["column"]: r for r in tabular.profile(df).collect()}
+    assert [kinds[c]["inferred"] for c in "abcd"] == ["string", "double", "categorical", "timestamp"]
+    assert kinds["b"]["n_null"] == 1 and kinds["a"]["n_long"] == 3 and kinds["a"]["high"] == "x"
+    parsed = tabular.parse_by_profile(df)
+    assert dict(parsed.dtypes) == {"a": "string", "b": "double", "c": "string", "d": "timestamp"}
+    filled = [r.b for r in tabular.impute_mean(parsed, ["b"]).collect()]
+    assert filled == [1.5, 2.25, 2.25, 3.0]
+    empty = tabular.impute_mean(parsed.where("false"), ["b"])
+    assert empty.count() == 0
+
+
+def test_roles(spark):
+    df = with_roles(spark.createDataFrame([(1, 2.0, 3.0)], "k long, x double, y double"), {"k": "index", "x": "attribute", "y": "target"})
+    assert tabular.select_by_role(df, "attribute", "target").columns == ["x", "y"]
+    assert tabular.select_by_role(df, "attribute", "target", exclude=(1,)).columns == ["y"]
+    assert [role_of(f) for f in df.schema.fields] == ["index", "attribute", "target"]
+    assert tabular.spread(tabular.assemble(df, "k", ["x", "y"]), width=2).first().asDict() == {"id": 1, "f0": 2.0, "f1": 3.0}
+
+
+def test_bundle(spark, tmp_path):
+    doc = {"dataResources": [{"resID": "m", "resPath": "media/", "resType": "video"}, {"resID": "t", "resPath": "tables/t.csv", "resType": "table", "columns": [
+        {"colIndex": 0, "colName": "key", "colType": "integer", "role": ["index"]},
+        {"colIndex": 1, "colName": "file", "colType": "string", "role": ["attribute"], "refersTo": {"resID": "m"}},
+        {"colIndex": 2, "colName": "kind", "colType": "categorical", "role": ["suggestedTarget"]},
+    ]}]}
+    (tmp_path / "tables").mkdir()
+    (tmp_path / "tables" / "t.csv").write_text("key,file,kind\n1,a.mp4,run\nx,b.mp4,walk\n")
+    (tmp_path / "datasetDoc.json").write_text(json.dumps(doc))
+    df = bundles.read_bundle(spark, str(tmp_path))
+    assert [r.key for r in df.orderBy("file").collect()] == [1, None]
+    assert [role_of(f) for f in df.schema.fields] == ["index", "attribute", "target"] and df.schema["file"].metadata["refers_to"] == "m"
+    bundles.write_table(df, str(tmp_path / "out"))
+    assert bundles.fingerprint(spark.read.parquet(str(tmp_path / "out"))) == bundles.fingerprint(df.repartition(3))
+
+
+def test_pipelines(spark, sf):
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    found = pipelines.presets("vec_id", "embedding", "row", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    assert len(found) == 8 and len({p.id() for p in found.values()}) == 8
+    for p in found.values():
+        assert pipelines.Pipeline.from_json(p.to_json()) == p
+    train, test = tabular.split(t, "l_orderkey")
+    out = pipelines.Pipeline.from_json(found["owl"].to_json()).run(train, test)
+    assert out.count() >= test.count() and out.where("prediction is null").count() == 0
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    k = pipelines.clustering("k", "ksubspaces", "vec_id", "embedding", n_clusters=4, dim_subspaces=1)
+    score = tabular.purity(k.run(v, fit={"iterations": 2}).select(F.col("vec_id").alias("id"), F.col("prediction").alias("cluster")), v.select(F.col("vec_id").alias("id"), "label")).first()
+    assert 0 < score.purity <= 1
+    done = pipelines.run_all(spark, {"good": lambda: t.count(), "bad": lambda: 1 / 0})
+    assert done["good"] == t.count() and isinstance(done["bad"], ZeroDivisionError)
+
+
+def test_stream_is_replay_safe(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, features array<double>")
+    df.repartitionByRange(4, "id").write.parquet(str(tmp_path / "in"))
+    stream = TrackerStream(spark, TrackerOptions(rank=2), 6, str(tmp_path / "run"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    stream.start(source, once=True).awaitTermination()
+    assert stream.scored().count() == 40
+    basis = stream.model().state.basis
+    last = stream.scored().agg(F.max("batch")).first()[0]
+    stream.process(stream.scored().where(F.col("batch") == last).select("id", "features"), last)  # the same batch again
+    assert np.allclose(stream.model().state.basis, basis) and stream.scored().count() == 40
