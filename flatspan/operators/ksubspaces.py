@@ -91,7 +91,7 @@ class KSubspacesModel:
         """(id, cluster)."""
         return assign(df, self.bases).select("id", "cluster")
 
-    def distance(self, df: DataFrame, queries: Column | None = None) -> DataFrame:
+    def distance(self, df: DataFrame, queries: Column | str | None = None) -> DataFrame:
         return label_distance(self.transform(df), queries)
 
     def save(self, spark, path: str) -> None:
@@ -103,7 +103,7 @@ class KSubspacesModel:
         return KSubspacesModel(KSubspacesParams.from_json(r["params"]), np.array(r["bases"]).reshape(r["shape"]))
 
 
-def label_distance(labels: DataFrame, queries: Column | None = None) -> DataFrame:
+def label_distance(labels: DataFrame, queries: Column | str | None = None) -> DataFrame:
     """(i, j, value): 0 where labels agree, 1 where they differ, for the stated query rows i against all rows j.
 
     The query rows are broadcast (their number is checked); all rows are read once, and nothing is shuffled.
@@ -222,7 +222,7 @@ def gather_labels(labels: DataFrame) -> DataFrame:
     return labels.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "cluster"))), lambda s: s["cluster"]).alias("labels"))
 
 
-def coassociation(gathered: DataFrame, queries: Column | None = None) -> DataFrame:
+def coassociation(gathered: DataFrame, queries: Column | str | None = None) -> DataFrame:
     """(i, j, value): the share of base clusterings in which i and j agree, where it isn't 0; 1 for i = j.
 
     Rows i (all, or a stated query set) are compared block by block with the broadcast label matrix, whose size is

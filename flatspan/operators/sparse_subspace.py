@@ -36,7 +36,7 @@ def _points(df: DataFrame, queries: Column | None) -> DataFrame:
     return (df.where(queries) if queries is not None else df).select("id", "features")
 
 
-def gram_top(df: DataFrame, k: int, queries: Column | None = None) -> DataFrame:
+def gram_top(df: DataFrame, k: int, queries: Column | str | None = None) -> DataFrame:
     """(id, rank, other, score): for each query row the k others with the largest |inner product|, smallest id on ties."""
     sent, _, _ = atoms(df)
 
@@ -71,7 +71,7 @@ def outlier_scale(df: DataFrame) -> float:
     return norms.orderBy(F.desc("n")).limit(2).agg(F.min("n")).first()[0]
 
 
-def omp_coefficients(df: DataFrame, level: int, thresh: float, queries: Column | None = None) -> DataFrame:
+def omp_coefficients(df: DataFrame, level: int, thresh: float, queries: Column | str | None = None) -> DataFrame:
     """(row_id, col_id, coef): each point (col_id) by at most ``level`` others (row_id); duplicates of an atom are summed."""
     sent, _, _ = atoms(df)
 
@@ -124,7 +124,7 @@ def admm_coefficients(df: DataFrame, params: SscAdmmParams, iterations: int = 20
     return blocks.groupBy("block").applyInPandas(lambda g: solve(g, until), COEFFICIENTS)
 
 
-def convex_coefficients(df: DataFrame, params: SscConvexParams, queries: Column | None = None, tol: float = 1e-7) -> DataFrame:
+def convex_coefficients(df: DataFrame, params: SscConvexParams, queries: Column | str | None = None, tol: float = 1e-7) -> DataFrame:
     """(row_id, col_id, coef) of the eight convex programs: with or without outliers, noise and the affine constraint."""
     sent, _, _ = atoms(df)
     alpha = params.alpha if params.alpha != -1 else (20 if params.use_outliers else 800)

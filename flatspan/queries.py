@@ -25,7 +25,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 #: Searches ask for the rows whose id is divisible by 100, against all rows.
-ASKED = F.col("id") % 100 == 0
+ASKED = "id % 100 = 0"
 LINE_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 BETA = [1.5, -2.0, 3.0, 0.25]
 E = "e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings)"
