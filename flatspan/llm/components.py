@@ -13,8 +13,9 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
 
     links: any number of rows, either direction, repeats and self-links allowed; rows with a null end are
     ignored. Each round first joins every larger neighbour to the smallest node seen (large star), then every
-    smaller one (small star), until nothing changes. Both group minima are pre-aggregated before their shuffle;
-    the joins that follow are plain inner joins on a node, which adaptive execution splits where a node is hot.
+    smaller one (small star), until nothing changes. Both group minima are pre-aggregated before their shuffle
+    and written out, so that the joins that follow are plain ones on a node, which adaptive execution splits where a
+    node is hot.
     Only two numbers a round reach the driver.
     """
     src, dst = F.col("src"), F.col("dst")
@@ -25,11 +26,11 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
         if not mark[0]:
             break
         both = edges.union(edges.select(dst.alias("src"), src.alias("dst")))
-        low = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
+        low = cut_lineage(both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low")))
         large = both.join(low, "src").where(dst > src).select(dst.alias("src"), F.col("low").alias("dst")).where(src != dst)
         large = large.union(low.where(src != F.col("low")).select("src", F.col("low").alias("dst"))).distinct()
         large = cut_lineage(large)
-        low = large.groupBy("src").agg(F.min("dst").alias("low"))
+        low = cut_lineage(large.groupBy("src").agg(F.min("dst").alias("low")))
         small = large.join(low, "src").select(dst.alias("src"), F.col("low").alias("dst")).where(src != dst)
         edges = cut_lineage(small.union(low.select("src", F.col("low").alias("dst"))).distinct())
         now = _mark(edges)

@@ -238,11 +238,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     comps = connected_components(paragraph_links(docs, classes), "a", "b")
     placed = classes.select("key", "lo", "hi").join(comps, F.col("key") == F.col("node"), "left").select("key", "lo", "hi", F.coalesce("component", "key").alias("cluster"))
     shared = placed.groupBy("cluster").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("cluster", "lo")
-    groups = placed.select("key", "cluster").join(shared, "cluster").select("key", "cluster", "lo")
+    # written out, so that the joins below stand between plain exchanges, whose hot keys Spark can split
+    groups = cut_lineage(placed.select("key", "cluster").join(shared, "cluster").select("key", "cluster", "lo"))
     place = "doc_id", "start", "n", "short", "cluster", "lo"
     near = paragraphs.select("key", "doc_id", "start", "n", "short").join(groups, "key").select(*place)
     sentences = found.where("kind = 's'").select("key", "doc_id", "start", "n", "short")
-    same = sentences.groupBy("key").agg(*spread).where("lo < hi").select("key", "lo")
+    same = cut_lineage(sentences.groupBy("key").agg(*spread).where("lo < hi").select("key", "lo"))
     equal = sentences.join(same, "key").withColumn("cluster", F.col("key")).select(*place)
     return passages(near.union(equal))
 
