@@ -23,8 +23,9 @@ MIN_PARAGRAPH = 20
 MIN_SENTENCE, MIN_UNIT = 6, 5
 #: Repeated units of a text that follow each other (over at most GAP other words) form a passage. It needs so many
 #: words outside lines of under 20 words: common short lines, however many stand together, are no passage. A passage
-#: of over 50 words loses at most parts of its first and last sentence to the text around it.
-GAP, MIN_PASSAGE = 5, 24
+#: of over 50 words loses at most parts of its first and last sentence to the text around it. Where a passage goes on
+#: through short lines, MIN_MIXED words suffice of which MIN_LONG stand outside them.
+GAP, MIN_PASSAGE, MIN_MIXED, MIN_LONG = 5, 24, 40, 10
 #: Buckets with more paragraphs are compared in tiles.
 BUCKET, TILE = 48, 128
 _CHUNK = 200_000
@@ -224,7 +225,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     where their sets of five-word shingles have a Jaccard similarity of 0.8 or more: MinHash bands propose pairs,
     exact sets verify them, components cluster them. A passage may also stand inside different paragraphs; there its
     sentences, cut by content alone, repeat word for word. Repeated units that follow each other form a passage;
-    of 24 words or more in lines of 20 or more it is returned, with the smallest document that shares one of its units (first_doc) and a
+    of 24 words or more in lines of 20 or more (or 40 in all) it is returned, with the smallest document that shares one of its units (first_doc) and a
     cluster: that of its longest unit. It is removed from all documents but that one.
 
     Word numbers count A-Z-lowered words split at ASCII white space, over the whole text. Null ids and texts are
@@ -255,5 +256,7 @@ def passages(repeated: DataFrame) -> DataFrame:
     opens = (before.isNull() | (F.col("start") > before + GAP)).cast("int")
     islands = repeated.withColumn("opens", opens).withColumn("island", F.sum("opens").over(in_text.rowsBetween(Window.unboundedPreceding, 0)))
     joined = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.max(F.struct("n", "cluster")).alias("most"), F.min("lo").alias("first_doc"), F.sum(F.when(F.col("short"), F.col("n")).otherwise(0)).alias("in_short"))
-    joined = joined.withColumn("n_words", F.col("end") - F.col("start")).where(F.col("n_words") - F.col("in_short") >= MIN_PASSAGE)
+    joined = joined.withColumn("n_words", F.col("end") - F.col("start"))
+    outside = F.col("n_words") - F.col("in_short")
+    joined = joined.where((outside >= MIN_PASSAGE) | ((F.col("n_words") >= MIN_MIXED) & (outside >= MIN_LONG)))
     return joined.select("doc_id", "start", "end", "n_words", F.col("most.cluster").alias("cluster"), "first_doc", (F.col("first_doc") < F.col("doc_id")).alias("removed"))
