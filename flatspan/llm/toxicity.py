@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,27 +15,32 @@ from flatspan.llm.common import as_utf8, fold, words_of
 
 FOLDS = 5
 #: The sample that the classifiers are fitted on: this many confirmed toxic and this many unlabelled texts at most.
-MAX_POSITIVE, MAX_UNLABELLED = 3_000, 9_000
+MAX_POSITIVE, MAX_UNLABELLED = 2_500, 5_000
 #: Words in fewer texts of the sample are no features.
 MIN_TEXTS = 5
 LIFT = 3
 #: Lengths, in bytes, of the beginnings of words that are features too.
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Occurrences that are told apart.
+LEVELS = 3
 MODELS, EPOCHS, BATCHES, RATE, DECAY = 3, 40, 6, 0.01, 1e-4
 _EDGE = b".,;:!?\"'()[]"
 
 
-def word_features(word: bytes) -> list[int]:
-    """Hashes of a word without punctuation at its edges, and of its beginnings (inflected words share them)."""
-    w, digest = word.strip(_EDGE), xxhash.xxh64_intdigest
-    return [digest(w), *(digest(w[:k], 1) for k in PREFIXES if len(w) > k)]
+def beginnings(word: bytes) -> list[bytes]:
+    return [word[:k] for k in PREFIXES if len(word) > k]
 
 
 def features(raw: bytes | None) -> np.ndarray:
-    """Sorted distinct features of a whole text."""
-    found: set[int] = set()
-    for w in set(words_of(raw)):
-        found.update(word_features(w))
+    """Sorted distinct features of a whole text: its words without punctuation at their edges, and the beginnings
+    of its words, at one, at two and at three occurrences (inflected words share a beginning)."""
+    digest = xxhash.xxh64_intdigest
+    words = Counter(w.strip(_EDGE) for w in words_of(raw))
+    begun: Counter = Counter()
+    for w, n in words.items():
+        for b in beginnings(w):
+            begun[b] += n
+    found = {digest(w) for w in words} | {digest(b, k) for b, n in begun.items() for k in range(1, min(n, LEVELS) + 1)}
     return np.sort(np.array(list(found), dtype=np.uint64))
 
 
@@ -134,7 +140,14 @@ class Model:
     def scorer(self):
         """text -> mean probability of the classifiers; words are looked up once and remembered up to a bound."""
         number = {int(k): i for i, k in enumerate(self.kinds)}
-        known: dict[bytes, tuple[int, ...]] = {}
+        known: dict[bytes, tuple] = {}
+        digest = xxhash.xxh64_intdigest
+
+        def look(word: bytes) -> tuple[int | None, list[tuple[bytes, list[int | None]]]]:
+            """The word's own feature, and those of its beginnings by occurrences, where any is in the model."""
+            w = word.strip(_EDGE)
+            levels = [(b, [number.get(digest(b, k)) for k in range(1, LEVELS + 1)]) for b in beginnings(w)]
+            return number.get(digest(w)), [(b, at) for b, at in levels if any(i is not None for i in at)]
 
         def score(raw: bytes | None) -> float:
             if not len(self.bias):
@@ -142,12 +155,21 @@ class Model:
             if len(known) > 400_000:
                 known.clear()
             at: set[int] = set()
-            for w in set(words_of(raw)):
+            begun: dict[bytes, int] = {}
+            levels: dict[bytes, list[int | None]] = {}
+            for w, n in Counter(words_of(raw)).items():
                 own = known.get(w)
                 if own is None:
-                    own = known[w] = tuple(i for x in word_features(w) if (i := number.get(x)) is not None)
+                    found = look(w)
+                    own = known[w] = found if found[0] is not None or found[1] else ()
                 if own:
-                    at.update(own)
+                    if own[0] is not None:
+                        at.add(own[0])
+                    for b, of in own[1]:
+                        begun[b] = begun.get(b, 0) + n
+                        levels[b] = of
+            for b, n in begun.items():
+                at.update(i for i in levels[b][:n] if i is not None)
             z = self.weights[:, sorted(at)].sum(axis=1) + self.bias
             return float(_sigmoid(z).mean())
 
