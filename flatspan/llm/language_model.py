@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,69 +12,74 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flatspan.llm.common import WordHashes, as_utf8, cut_lineage, fold, words_of
+from flatspan.llm.common import WordHashes, as_utf8, cut_lineage, fold, mix, odd_constants, words_of
 
 FOLDS, HELD = 7, 2
 #: Key of the end token; no word holds white space, so none shares its bytes. It also stands before a text.
 END = xxhash.xxh64_intdigest(b" ")
-#: Words with at least this share of all training tokens may stand in longer n-grams: at most 1 / CORE of them.
-CORE = 1e-4
-#: n-grams with at least this share of all training tokens, and twice at least, become arcs: at most 1 / ARC an order.
-ARC = 2e-6
-ORDER = 3
+#: Least shares of all training tokens of words in longer n-grams, and of n-grams that become arcs: none is asked for.
+CORE = ARC = 0.0
+#: Bigrams and trigrams that occur so often become arcs, whatever the size of the input.
+LEAST = 2
 DISCOUNT = 0.75
 #: Bytes of text that are scored together, and the least number of groups.
-BLOCK_BYTES, LEAST_BLOCKS = 16 << 20, 64
+BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 64
 _CHUNK, _SHIFT = 400_000, 20
+_PAIR, _TRIPLE = odd_constants(2, 21), odd_constants(2, 22)
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    kinds, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return kinds, np.bincount(where, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
-
-
-class Counter:
-    """Counts of integer keys, merged as they come; ``drain`` gives them when they are many, or at the end."""
-
-    def __init__(self, bound: int = 3_000_000):
-        self.bound, self.parts, self.size = bound, [], 0
-
-    def add(self, keys: np.ndarray) -> None:
-        if len(keys):
-            self.parts.append(np.unique(keys, return_counts=True))
-            self.size += len(self.parts[-1][0])
-
-    def drain(self, last: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if self.parts and (last or self.size > self.bound):
-            merged = _merge(self.parts)
-            self.parts, self.size = [merged], len(merged[0])
-            if last or self.size > self.bound // 2:
-                yield merged
-                self.parts, self.size = [], 0
+@dataclass
+class Grams:
+    """Keys of the words to predict in some texts, one after another, and of the n-grams that end there.
 
+    one, two, three: keys of the word, bigram and trigram (0: the text has no trigram there yet). before: the key of
+    the word before. history: the key of the bigram before (0 as for three). sizes: words of each text, with its end.
+    """
 
-def _chunks(batches: Iterator[pd.DataFrame], encode, gap) -> Iterator[np.ndarray]:
-    """Encoded words of many texts, each text followed by the end token and ``gap``."""
+    one: np.ndarray
+    two: np.ndarray
+    three: np.ndarray
+    before: np.ndarray
+    history: np.ndarray
+    sizes: np.ndarray
+
+
+def _grams_of(texts: list[np.ndarray]) -> Grams:
+    ends = np.array([END], dtype=np.uint64)
+    h = np.concatenate([part for t in texts for part in (ends, t, ends)])
+    sizes = np.array([len(t) + 1 for t in texts])
+    first = np.cumsum(sizes + 1) - (sizes + 1)
+    opens = np.zeros(len(h), dtype=bool)
+    opens[first] = True
+    two, three = np.zeros(len(h), dtype=np.uint64), np.zeros(len(h), dtype=np.uint64)
+    two[1:] = mix(h[:-1] * _PAIR[0] + h[1:] * _PAIR[1])
+    two[opens] = 0
+    three[1:] = mix(two[:-1] * _TRIPLE[0] + h[1:] * _TRIPLE[1])
+    three[1:][opens[:-1]] = 0
+    at = np.flatnonzero(~opens)
+    return Grams(h[at], two[at], three[at], h[at - 1], two[at - 1], sizes)
+
+
+def _grams(raws: Iterable[bytes], hashes: WordHashes) -> Iterator[Grams]:
+    """The n-grams of many texts, a bounded number of words (and at least one text) at a time."""
     held, total = [], 0
-    for b in batches:
-        for raw in b["raw"]:
-            held += [encode(words_of(raw)), gap]
-            total += len(held[-2]) + len(gap)
-            if total > _CHUNK:
-                yield np.concatenate(held)
-                held, total = [], 0
+    for raw in raws:
+        held.append(hashes(words_of(raw)))
+        total += len(held[-1]) + 1
+        if total > _CHUNK:
+            yield _grams_of(held)
+            held, total = [], 0
     if held:
-        yield np.concatenate(held)
+        yield _grams_of(held)
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = Counter()
-    for keys in _chunks(batches, WordHashes(), np.array([END], dtype=np.uint64)):
-        counts.add(keys)
-        for k, n in counts.drain():
-            yield pd.DataFrame({"key": k.view(np.int64), "n": n})
-    for k, n in counts.drain(last=True):
-        yield pd.DataFrame({"key": k.view(np.int64), "n": n})
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for g in _grams((raw for b in batches for raw in b["raw"]), WordHashes()):
+        long = g.three != 0
+        for key, prefix in ((g.one, None), (g.two, g.before), (g.three[long], g.history[long])):
+            kinds, at, n = np.unique(key, return_index=True, return_counts=True)
+            own = np.zeros(len(kinds), dtype=np.int64) if prefix is None else prefix[at].view(np.int64)
+            yield pd.DataFrame({"key": kinds.view(np.int64), "prefix": own, "n": n})
 
 
 @dataclass
@@ -170,118 +175,97 @@ def build(core: np.ndarray, n1: np.ndarray, tokens: int, kinds: int, cut: float,
     return Automaton(core, start, arcs, fail, back, tokens, kinds, cut)
 
 
-def learn(train: DataFrame, core_share: float = CORE, arc_share: float = ARC) -> tuple[DataFrame, Automaton, int, int]:
-    """(vocabulary with key and n, automaton, tokens, distinct tokens) from all rows of train (column raw).
+def learn(train: DataFrame) -> tuple[DataFrame, int, int, float]:
+    """(model, tokens, distinct tokens, discount of unigrams) from all rows of train (column raw).
 
-    The whole vocabulary with its counts stays in Spark. The automaton holds only n-grams above a share of all
-    tokens, so at most 1 / arc_share arcs an order over 1 / core_share words, whatever the input: a proven bound.
+    model: key, n and taken: every word with its count, every bigram and trigram that occurs LEAST times, and what
+    the arcs of a word or bigram take of its count (a row of its own, with n = 0). All of it stays in Spark.
     """
-    spark = train.sparkSession
-    vocabulary = cut_lineage(train.mapInPandas(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    tokens, kinds, once, twice = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    counts = train.mapInPandas(_count, "key long, prefix long, n long").groupBy("key").agg(F.first("prefix").alias("prefix"), F.sum("n").alias("n"))
+    kept = cut_lineage(counts.where((F.col("prefix") == 0) | (F.col("n") >= LEAST)))
+    n = F.col("n")
+    tokens, kinds, once, twice = kept.where("prefix = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(n == 1), F.count_if(n == 2)).first()
     cut = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
-    rows = sorted((r["key"] & (2**64 - 1), r["n"]) for r in vocabulary.where(F.col("n") >= max(core_share * tokens, 1)).limit(int(1 / core_share) + 1).collect())
-    core, n1 = np.array([k for k, _ in rows], dtype=np.uint64), np.array([n for _, n in rows], dtype=np.float64)
-    sent = spark.sparkContext.broadcast(core)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, two, three = CoreNumbers(sent.value), Counter(), Counter()
-        end = number.of_key(END)
-        gap = np.array([end, *[-1] * ORDER, end], dtype=np.int64)
-        first = [np.array([end], dtype=np.int64)]
-        for ids in _chunks(batches, number, gap):
-            ids = np.concatenate((first[0], ids))
-            pair = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] << _SHIFT | ids[1:], -1)
-            triple = np.where((pair[:-1] >= 0) & (ids[2:] >= 0), pair[:-1] << _SHIFT | ids[2:], -1)
-            two.add(pair[pair >= 0])
-            three.add(triple[triple >= 0])
-            for order, c in ((2, two), (3, three)):
-                for k, n in c.drain():
-                    yield pd.DataFrame({"order": np.int32(order), "gram": k, "n": n})
-        for order, c in ((2, two), (3, three)):
-            for k, n in c.drain(last=True):
-                yield pd.DataFrame({"order": np.int32(order), "gram": k, "n": n})
-
-    least = max(2, math.ceil(arc_share * tokens))
-    grams = train.mapInPandas(count, "order int, gram long, n long").groupBy("order", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
-    two, three = (dict(zip(g["gram"].tolist(), g["n"].tolist(), strict=True)) for g in (grams[grams["order"] == 2], grams[grams["order"] == 3]))
-    return vocabulary, build(core, n1, tokens, kinds, cut, two, three), tokens, kinds
-
-
-class CoreNumbers:
-    """Numbers of core words, -1 for others; words are looked up once and remembered up to a bound."""
-
-    def __init__(self, core: np.ndarray, bound: int = 400_000):
-        self.number, self.known, self.bound = {int(k): i for i, k in enumerate(core)}, {}, bound
-
-    def of_key(self, key: int) -> int:
-        return self.number.get(key, -1)
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.bound:
-            self.known.clear()
-        get, out = self.known.get, []
-        for w in words:
-            i = get(w)
-            if i is None:
-                i = self.known[w] = self.number.get(xxhash.xxh64_intdigest(w), -1)
-            out.append(i)
-        return np.array(out, dtype=np.int64)
-
-
-def score_documents(docs: DataFrame, core_share: float = CORE, arc_share: float = ARC) -> DataFrame:
+    taken = kept.where("prefix != 0").groupBy(F.col("prefix").alias("key")).agg(F.sum(n - DISCOUNT).alias("taken"))
+    model = kept.select("key", "n", F.lit(0.0).alias("taken")).union(taken.select("key", F.lit(0).cast("long"), "taken"))
+    return model, tokens, kinds, cut
+
+
+@dataclass
+class Arcs:
+    """The part of the automaton that a group of texts asks for; states are words and bigrams by key, as arcs are.
+
+    keys: ascending. n: counts (0: no arc). taken: what a state's arcs take of its count; the rest is on its failure arc.
+    """
+
+    keys: np.ndarray
+    n: np.ndarray
+    taken: np.ndarray
+    tokens: int
+    kinds: int
+    cut: float
+
+    @classmethod
+    def of(cls, answers: pd.DataFrame, tokens: int, kinds: int, cut: float) -> Arcs:
+        keys, where = np.unique(answers["key"].to_numpy(dtype=np.int64).view(np.uint64), return_inverse=True)
+        n, taken = (np.bincount(where, weights=answers[c].to_numpy(dtype=np.float64), minlength=len(keys)) for c in ("n", "taken"))
+        return cls(keys, n, taken, tokens, kinds, cut)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        here = self.keys[at] == keys
+        return np.where(here, self.n[at], 0.0), np.where(here, self.taken[at], 0.0)
+
+    def score(self, g: Grams) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word to predict: its training count, and its log10 probability."""
+        n1 = self.find(g.one)[0]
+        p = 10 ** Automaton([], [], {}, [], [], self.tokens, self.kinds, self.cut).unigram(n1)
+        for state, arc in ((g.before, g.two), (g.history, g.three)):
+            of, taken = self.find(state)
+            n = self.find(arc)[0]
+            of = np.maximum(of, 1)
+            fail = np.where(taken > 0, np.maximum(1 - taken / of, 1e-12), 1.0)
+            p = np.where(n > 0, (n - DISCOUNT) / of, 0.0) + fail * p
+        return n1, np.log10(p)
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every whole text.
 
-    Learned from the rows whose fold is not HELD. Words are told apart by 64-bit hashes. A null or empty text is
-    the end token alone; rows with a null id are of fold 0; repeated rows each get a row and each count; an empty
-    table gives an empty result; further columns are ignored.
+    Learned from the rows whose fold is not HELD. Words and n-grams are told apart by 64-bit hashes. A null or empty
+    text is the end token alone; rows with a null id are of fold 0; repeated rows each get a row and each count; an
+    empty table gives an empty result; further columns are ignored.
 
     Counts may not fit anywhere whole: texts are dealt into groups of bounded bytes, each group asks once for
-    each of its distinct words, the counts join those requests, and each group is scored with its answers. The
-    texts are shuffled once; groups are dealt by a hash of id and text, so no source or id makes one large.
+    each of its distinct words, bigrams and trigrams, the model joins those requests, and each group is scored with
+    its answers. The texts are shuffled once; groups are dealt by a hash of id and text, so no source or id makes
+    one large.
     """
     rows = docs.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), as_utf8(F.coalesce("text", F.lit(""))).alias("raw"))
-    vocabulary, automaton, tokens, kinds = learn(rows.where(~F.col("held_out")).select("raw"), core_share, arc_share)
+    model, tokens, kinds, cut = learn(rows.where(~F.col("held_out")).select("raw"))
     size = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(blocks)).cast("int"))
-    sent = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def ask(b: pd.DataFrame) -> pd.DataFrame:
-        found: set[bytes] = set()
-        for raw in b["raw"]:
-            found.update(words_of(raw))
-        keys = [xxhash.xxh64_intdigest(w) for w in found]
-        return pd.DataFrame({"block": np.int32(b["block"].iloc[0]), "key": np.unique(np.array([*keys, END], dtype=np.uint64)).view(np.int64)})
+        found = [np.unique(np.concatenate((g.one, g.before, g.two, g.three))) for g in _grams(b["raw"], WordHashes())]
+        keys = np.unique(np.concatenate(found))
+        return pd.DataFrame({"block": np.int32(b["block"].iloc[0]), "key": keys[keys != 0].view(np.int64)})
 
     def score(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        auto: Automaton = sent.value
-        core = {int(k): i for i, k in enumerate(auto.core)}
-        keys = answers["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, n = keys[order], answers["n"].to_numpy()[order]
-        base, uni = np.log10((n + 1) / (tokens + kinds + 1)), auto.unigram(n).tolist()
-        numbers = [core.get(k, -1) for k in keys.tolist()]
-        place: dict[bytes, int] = {}
-        end = int(np.searchsorted(keys, np.uint64(END)))
-        end_core = numbers[end]
-        begin = auto.start[end_core] if end_core >= 0 else 0
-        out = []
-        for raw in texts["raw"]:
-            at = []
-            for w in words_of(raw):
-                i = place.get(w)
-                if i is None:
-                    i = place[w] = int(np.searchsorted(keys, np.uint64(xxhash.xxh64_intdigest(w))))
-                at.append(i)
-            at.append(end)
-            total = auto.traverse([numbers[i] for i in at], [uni[i] for i in at], begin)
-            out.append((len(at), int((n[at] > 0).sum()), float(base[at].sum()), total))
-        got = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
+        arcs, out = Arcs.of(answers, tokens, kinds, cut), []
+        for g in _grams(texts["raw"], WordHashes()):
+            n, p = arcs.score(g)
+            first = np.cumsum(g.sizes) - g.sizes
+            base = np.log10((n + 1) / (tokens + kinds + 1))
+            out.append(pd.DataFrame({"n_tokens": g.sizes, "n_known": np.add.reduceat((n > 0).astype(np.int64), first), "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(p, first)}))
+        got = pd.concat(out, ignore_index=True)
         got["doc_id"], got["held_out"] = texts["doc_id"].array, texts["held_out"].array
         return got[["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]]
 
     asked = dealt.groupBy("block").applyInPandas(ask, "block int, key long")
-    answered = asked.join(vocabulary, "key", "left").select("block", "key", F.coalesce("n", F.lit(0)).alias("n"))
+    answered = asked.join(model, "key").select("block", "key", "n", "taken")
     scored = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -94,6 +94,17 @@ def test_automaton_carries_states_over_failures():
     assert math.isclose(auto.traverse([0, -1], [uni[0], -4.0], 0), uni[0] + auto.back[s] - 4.0)
 
 
+def test_rare_words_have_arcs_at_any_size(spark):
+    """Words of less than 1 in 10,000 tokens, in bigrams and trigrams that occur twice."""
+    rows = [(i, "a b c d e " * 600) for i in range(20)] + [(100 + i, "seldom seen words follow here") for i in range(5)]
+    rows += [(200 + i, f"few rare{i // 3} then odd{i // 3} a b") for i in range(9)]
+    brute = Brute([t for i, t in rows if not held(i)], 0, 0)
+    assert brute.g[(b"rare1", b"then", b"odd1")] < 1e-4 * brute.n
+    text = dict(rows)
+    for r in lm.score_documents(documents(spark, rows)).collect():
+        assert math.isclose(r.score, brute.score(text[r.doc_id]), rel_tol=1e-9), (r.doc_id, r.score)
+
+
 def test_held_out_texts_fit_better_than_the_base(spark, sf):
     got = frame(lm.score_documents(spark.read.parquet(f"{sf}/documents.parquet")))
     out = got[got.held_out.astype(bool)]
