@@ -14,6 +14,17 @@ from flatspan.llm.common import WordHashes, as_utf8, mix, odd_constants, words_o
 
 #: Fixed masks: 1 takes part in the hash, 0 is ignored. All have weight 8.
 MASKS = ("11111111", "1110110111", "11011010111", "101101110101")
+#: Masks of weight 6; one of them hits every overlap of 11 words or more with 0.8 or more equal, whichever words differ.
+LIGHT = ("1101111", "11010000111", "11101011", "100111011")
+#: By the words of a shorter item, masks that hit every overlap of 0.8 of it; items of under 5 words match as a whole.
+SHORT = {
+    **{n: ("1" * n,) for n in range(1, 5)},
+    **{n: ("1111", "10111", "11011", "11101") for n in (5, 6)},
+    7: ("1111", "11011"),
+    8: ("11111", "110111", "111011"),
+    9: ("111111", "1101111", "1111011"),
+    **{n: ("110111", "11001011", "11111") for n in (10, 11, 12)},
+}
 #: An overlap counts from so many words (or 0.8 of a shorter item), with 0.8 or more of them equal.
 MIN_OVERLAP = 13
 SIMILARITY = 0.8
@@ -43,14 +54,19 @@ class TestBlock:
         hashes = WordHashes()
         self.ids = [i for i, _ in items]
         self.words = [hashes(w) for _, w in items]
-        short = {len(h) for h in self.words if 0 < len(h) < 8}
+        items_of: dict[str, list[int]] = {}
+        for i, h in enumerate(self.words):
+            for mask in SHORT.get(len(h), (*MASKS, *LIGHT)):
+                items_of.setdefault(mask, []).append(i)
         self.seeds = []
-        for mask in (*MASKS, *("1" * n for n in sorted(short))):
-            found = [(x, i, p) for i, h in enumerate(self.words) if (len(mask) >= 8 or len(h) == len(mask)) for p, x in enumerate(_seed_hashes(h, mask))]
-            if found:
-                x = np.array([f[0] for f in found], dtype=np.uint64)
+        for mask, own in sorted(items_of.items()):
+            found = [_seed_hashes(self.words[i], mask) for i in own]
+            n = np.array([len(x) for x in found])
+            if n.sum():
+                x = np.concatenate(found)
                 order = np.argsort(x, kind="stable")
-                self.seeds.append((mask, x[order], np.array([f[1] for f in found])[order], np.array([f[2] for f in found])[order]))
+                item, pos = np.repeat(np.array(own, dtype=np.int32), n), np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+                self.seeds.append((mask, x[order], item[order], pos[order]))
         self._tables: list[np.ndarray] = []
 
     def tables(self) -> list[np.ndarray]:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 from flatspan.llm import decontamination as dc
@@ -35,6 +36,37 @@ def test_masks():
     assert all(m.count("1") == 8 and m[0] == m[-1] == "1" for m in dc.MASKS) and len(set(dc.MASKS)) == len(dc.MASKS)
 
 
+def allowed(n: int) -> list[list[bool]]:
+    """Windows of an item of n words that may overlap, by equal words: up to twice the least length, as longer ones hold one."""
+    need = min(dc.MIN_OVERLAP, -(-n * 8 // 10))
+    return [[k not in gone for k in range(m)] for m in range(need, min(n, 2 * need - 1) + 1) for gone in itertools.combinations(range(m), m // 5)]
+
+
+def test_every_allowed_overlap_is_hit():
+    for n in range(1, 26):
+        masks = dc.SHORT.get(n, (*dc.MASKS, *dc.LIGHT))
+        for equal in allowed(n):
+            assert any(all(equal[at + k] for k, c in enumerate(m) if c == "1") for m in masks for at in range(len(equal) - len(m) + 1)), (n, equal)
+
+
+def test_equals_brute_force_at_the_threshold(spark):
+    """Items of 1 to 20 words with as many words replaced as may be, and with one more."""
+    items, docs = [], []
+    for n in range(1, 21):
+        item = words(n)
+        items.append((n, item))
+        for r in range(30):
+            changed = list(item)
+            for k in RNG.sample(range(n), min(n, n // 5 + (r % 5 == 0))):
+                changed[k] = f"other{k}"
+            docs.append((n * 100 + r, words(r % 4) + changed + words(r % 3)))
+    few = [f"t{i}" for i in range(6)]
+    items += [(100 + i, RNG.choices(few, k=6 + i)) for i in range(10)]
+    docs += [(5000 + d, RNG.choices(few, k=30)) for d in range(40)]
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(documents(spark, [(d, " ".join(w)) for d, w in docs]), benchmark(spark, [(i, " ".join(w)) for i, w in items])).collect()}
+    assert got == {(d, i) for d, w in docs for i, t in items if brute(w, t)}
+
+
 def test_planted_passages(spark):
     items = [(i, words(RNG.randint(15, 55))) for i in range(30)]
     docs, want = [], set()
