@@ -15,7 +15,6 @@ from flatspan.functions.tracking import TrackerOptions
 from flatspan.functions.vectors import dot, literal_vector, normalize, norm2, rounded, soft_threshold, step_sigmoid
 from flatspan.operators import ksubspaces as ks
 from flatspan.operators import regression, sparse_subspace, spectral, tabular, tracking
-from flatspan.params import EnsembleParams, SscAdmmParams, SscConvexParams
 from flatspan.plans import pipelines
 from flatspan.sources.bundles import read_table
 from flatspan.streaming.tracker import TrackerStream
@@ -182,9 +181,7 @@ def ensemble_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def eksub_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base clusterings of the ensemble, and the trimmed affinity's strongest partner of every row."""
-    learner = ks.EnsembleKSubspaces(n_clusters=10, dim_subspaces=2, n_base=10, thresh=10)
-    return learner.affinity(embedded(spark, sf_dir)).where("i <> j").groupBy("i").agg(F.max(F.struct("value", (-F.col("j")).alias("j"))).alias("m")).select(F.col("i").alias("id"), (-F.col("m.j")).alias("partner"), F.col("m.value").alias("value"))
+    return ks.EnsembleKSubspaces(n_clusters=10, dim_subspaces=2).transform(embedded(spark, sf_dir))
 
 
 # --- sparse subspace clustering
@@ -259,12 +256,12 @@ def ssc_omp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ssc_admm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse_subspace.admm_coefficients(embedded(spark, sf_dir), SscAdmmParams(n_clusters=10), iterations=60)
+    return sparse_subspace.SparseSubspaceADMM(n_clusters=10).transform(embedded(spark, sf_dir))
 
 
 @query()
 def ssc_convex_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse_subspace.convex_coefficients(embedded(spark, sf_dir), SscConvexParams(n_clusters=10), ASKED, 1e-6)
+    return sparse_subspace.SparseSubspaceConvex(n_clusters=10).transform(embedded(spark, sf_dir))
 
 
 # --- regression

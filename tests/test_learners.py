@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flatspan import queries
 from flatspan.frame import vectors, width_of
 from flatspan.operators import ksubspaces as ks
 from flatspan.operators import sparse_subspace as ssc
@@ -168,3 +169,10 @@ def test_tracker(spark, tmp_path):
 def test_widths_must_agree(spark):
     with pytest.raises(ValueError):
         width_of(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, features array<double>"))
+
+
+@pytest.mark.parametrize("name", ["eksub_fit", "ssc_admm_fit", "ssc_convex_fit"])
+def test_whole_learners_label_every_point(spark, sf, name):
+    got = queries.QUERIES[name](spark, sf).toPandas()
+    ids = queries.embedded(spark, sf).select("id").toPandas()["id"]
+    assert sorted(got["id"]) == sorted(ids) and set(got["cluster"]) <= set(range(10)) and got["cluster"].nunique() > 1
