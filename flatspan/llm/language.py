@@ -79,27 +79,33 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Profiles:
-    """Learned languages (in code-point order) and, for every n-gram of any profile, its rank in each."""
+    """Learned languages (in code-point order) and, for every n-gram of any profile, its rank in those that hold it.
+
+    The ranks of n-gram kinds[k] are at first[k] to first[k + 1] of ``lang`` and ``rank``: PROFILE entries a language.
+    """
 
     def __init__(self, rows: list[tuple[str, int, int]]):
         self.langs = sorted({lang for lang, _, _ in rows})
-        self.kinds = np.unique(np.array([g for _, g, _ in rows], dtype=np.int64))
-        self.ranks = np.full((len(self.langs), len(self.kinds) + 1), PROFILE, dtype=np.int64)  # the last column: in no profile
         number = {lang: i for i, lang in enumerate(self.langs)}
-        for lang, g, rank in rows:
-            self.ranks[number[lang], np.searchsorted(self.kinds, g)] = rank
+        entries = sorted((g, number[lang], rank) for lang, g, rank in rows)
+        gram, self.lang, self.rank = (np.array([e[k] for e in entries], dtype=np.int64) for k in range(3))
+        self.kinds, starts = np.unique(gram, return_index=True)
+        self.first = np.append(starts, len(gram))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language (first on ties) and 1 less its share of the largest possible distance."""
         own = ranked(grams(text)) if text and self.langs else np.empty(0, dtype=np.int64)
         if not len(own):
             return "und", 0.0
-        at = np.searchsorted(self.kinds, own)
-        at[(at == len(self.kinds)) | (self.kinds[np.minimum(at, len(self.kinds) - 1)] != own)] = len(self.kinds)
-        theirs = self.ranks[:, at]
-        apart = np.where(theirs == PROFILE, PROFILE, np.abs(theirs - np.arange(len(own)))).sum(axis=1)
-        best = int(apart.argmin())
-        return self.langs[best], float(1 - apart[best] / (PROFILE * len(own)))
+        at = np.minimum(np.searchsorted(self.kinds, own), len(self.kinds) - 1)
+        place = np.flatnonzero(self.kinds[at] == own)
+        at = at[place]
+        n = self.first[at + 1] - self.first[at]
+        entry = np.repeat(self.first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        # an n-gram that a profile lacks is PROFILE places off; one that it holds is nearer by the difference
+        nearer = np.bincount(self.lang[entry], weights=PROFILE - np.abs(self.rank[entry] - np.repeat(place, n)), minlength=len(self.langs))
+        best = int(nearer.argmax())
+        return self.langs[best], float(nearer[best] / (PROFILE * len(own)))
 
 
 def learn(docs: DataFrame) -> Profiles:
@@ -125,22 +131,23 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     A null text, one without a letter, or no learned language: ``und`` with score 0. Rows with a null id are held
     out. Repeated rows each get a row; an empty table gives an empty result; further columns are ignored.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(profiles)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [profiles.predict(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
+    # Python sees the texts alone, so ids keep every digit whatever nulls stand beside them
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sent.value.predict(t) for t in text], columns=["lang_pred", "score"])
 
-    rows = docs.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), predict("text").alias("said"))
+    return rows.select("doc_id", "held_out", "said.lang_pred", "said.score")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without the rows in which no language is found (``und``), in one narrow pass."""
-    profiles = learn(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
     @F.pandas_udf("boolean")
     def known(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: profiles.predict(t)[0] != "und").astype(bool)
+        return text.map(lambda t: sent.value.predict(t)[0] != "und").astype(bool)
 
     return docs.where(known("text"))

@@ -40,15 +40,17 @@ def fingerprint(raw: bytes | None, width: int = SHINGLE) -> int:
     return int(np.bitwise_or.reduce(np.where(2 * ones > len(h), np.uint64(1) << _BIT, np.uint64(0))))
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = np.array([fingerprint(t) for t in b["raw"]], dtype=np.uint64).view(np.int64)
-        yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": out})
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, fp) with fp as a signed long. A null text counts as an empty one.
 
+    Python sees the texts alone, so ids keep every digit whatever nulls stand beside them.
+    """
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp) with fp as a signed long. A null text counts as an empty one."""
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), as_utf8(F.col("text")).alias("raw")).mapInPandas(_fingerprints, "doc_id long, text_hash long, fp long")
+    @F.pandas_udf("long")
+    def of_texts(raw: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in raw], dtype=np.uint64).view(np.int64))
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), of_texts(as_utf8(F.col("text"))).alias("fp"))
 
 
 def _together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
