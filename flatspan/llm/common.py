@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flatspan.runtime import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["WORD", "WordHashes", "as_utf8", "cut_lineage", "ensure_checkpoint_dir", "fold", "local_roots", "mix", "odd_constants", "read_table", "stored", "words_of"]
+__all__ = ["WORD", "WordHashes", "as_utf8", "cut_lineage", "ensure_checkpoint_dir", "fold", "local_roots", "mix", "odd_constants", "read_table", "small_or_whole", "stored", "words_of"]
 
 #: Word pattern of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,3 +87,8 @@ def stored(df: DataFrame) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def small_or_whole(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; else as it is, to be joined by a shuffle. df is written out already."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

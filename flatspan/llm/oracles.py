@@ -2,54 +2,6 @@
 
 from __future__ import annotations
 
-from flatspan.llm.mixing import FILL_ROUNDS, SEED
-
-_FIRST = f"""
-WITH RECURSIVE d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 10) AS BIGINT) AS ord
-  FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY source),
-w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
-o AS (SELECT *, row_number() OVER (ORDER BY 18 * words // weight, source NULLS LAST) AS k FROM w),
-c AS (SELECT *, (SELECT sum(words) FROM s) - coalesce(sum(3 * words) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
-             sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_weight FROM o),
-u AS (SELECT *, min(CASE WHEN 3 * words * left_weight >= rest * weight THEN k END) OVER () AS open FROM c),
-t AS (SELECT source, words, CASE WHEN k < open THEN CAST(3 * words AS DOUBLE)
-        ELSE (SELECT CAST(rest AS DOUBLE) / CAST(left_weight AS DOUBLE) FROM u AS f WHERE f.k = f.open) * weight END AS target FROM u),
-q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM t),
-p AS (SELECT *, CASE WHEN words > 0 THEN quota // words ELSE 0 END AS base, CASE WHEN words > 0 THEN quota % words ELSE 0 END AS rest FROM q),
-g AS (SELECT source, ord, sum(size) AS size FROM d WHERE size > 0 GROUP BY source, ord),
-a AS (SELECT g.*, p.rest, sum(g.size) OVER (PARTITION BY g.source ORDER BY ord) AS upto FROM g JOIN p ON g.source IS NOT DISTINCT FROM p.source),
-b AS (SELECT source, coalesce(min(CASE WHEN upto > rest THEN ord END), 1099511627776) AS low FROM a GROUP BY source),
-r0 AS (SELECT p.source, b.low, p.rest - coalesce((SELECT max(a.upto) FROM a WHERE a.source IS NOT DISTINCT FROM p.source AND a.ord < b.low), 0) AS gap
-       FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source),
-x0 AS (SELECT CAST(NULL AS VARCHAR) AS source, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS BIGINT) AS size WHERE false)"""
-
-
-def _round(k: int) -> str:
-    """One round of filling: the best document of each source that has a gap, and the gaps after it."""
-    last = k == FILL_ROUNDS
-    fits, best = ("d.size < 2 * r.gap", "d.size, d.ord DESC") if last else ("d.size <= r.gap", "d.size DESC, d.ord")
-    return f""",
-y{k} AS (SELECT source, ord, size FROM (
-  SELECT d.source, d.ord, d.size, row_number() OVER (PARTITION BY d.source ORDER BY {best}) AS n
-  FROM d JOIN r{k} AS r ON d.source IS NOT DISTINCT FROM r.source AND r.gap > 0 AND d.ord >= r.low AND d.size > 0 AND {fits}
-  WHERE NOT EXISTS (SELECT 1 FROM x{k} AS x WHERE x.source IS NOT DISTINCT FROM d.source AND x.ord = d.ord)) WHERE n = 1),
-x{k + 1} AS (SELECT * FROM x{k} UNION ALL SELECT * FROM y{k}),
-r{k + 1} AS (SELECT r.source, r.low, r.gap - coalesce(y.size, 0) AS gap FROM r{k} AS r LEFT JOIN y{k} AS y ON y.source IS NOT DISTINCT FROM r.source)"""
-
-
-MIXING = (
-    _FIRST
-    + "".join(_round(k) for k in range(FILL_ROUNDS + 1))
-    + f"""
-SELECT d.doc_id, d.size, p.words AS source_size, p.target, CAST(n.copies * d.size AS BIGINT) AS taken, CAST(n.copies AS INTEGER) AS copies, d.source
-FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN b ON b.source IS NOT DISTINCT FROM d.source
-LEFT JOIN x{FILL_ROUNDS + 1} AS x ON x.source IS NOT DISTINCT FROM d.source AND x.ord = d.ord,
-LATERAL (SELECT CASE WHEN d.size = 0 THEN 0 ELSE p.base + CASE WHEN d.ord < b.low THEN 1 ELSE 0 END + CASE WHEN x.ord IS NULL THEN 0 ELSE 1 END END AS copies) AS n"""
-)
-
 EMBEDDINGS = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 s AS (SELECT vec_id, x, list_dot_product(x, x) AS q FROM v WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
@@ -60,4 +12,4 @@ c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN c ON c.vec_id = v.vec_id"""
 
-ORACLES = {"op2_source_mixing": MIXING, "op3_embedding_near_dedup": EMBEDDINGS}
+ORACLES = {"op3_embedding_near_dedup": EMBEDDINGS}

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 from flatspan.llm import decontamination, embeddings, language, language_model, mixing, sharding, simhash, substrings, toxicity, urls
-from flatspan.llm.common import read_table
+from flatspan.llm.common import ensure_checkpoint_dir, read_table
 from flatspan.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +35,7 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
+    return sharding.shard_and_store(read_table(spark, sf_dir, "documents"), f"{ensure_checkpoint_dir(spark)}/slot-map-{uuid4().hex}")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

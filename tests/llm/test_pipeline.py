@@ -56,4 +56,4 @@ def test_stages_match_brute_force(spark, sf):
 
 def test_run_applies_all_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
-    assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and out.count() > 0
+    assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "map_version"] and out.count() > 0
