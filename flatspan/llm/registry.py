@@ -53,7 +53,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return toxicity.score_toxicity(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
+    model, patterns = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(patterns, model)
 
 
 def queries() -> dict[str, Query]:
