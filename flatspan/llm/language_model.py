@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -12,19 +13,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flatspan.llm.common import WordHashes, as_utf8, cut_lineage, fold, mix, odd_constants, words_of
+from flatspan.llm.common import WordHashes, as_utf8, fold, mix, odd_constants, words_of
 
 FOLDS, HELD = 7, 2
 #: Key of the end token; no word holds white space, so none shares its bytes. It also stands before a text.
 END = xxhash.xxh64_intdigest(b" ")
-#: Least shares of all training tokens of words in longer n-grams, and of n-grams that become arcs: none is asked for.
-CORE = ARC = 0.0
-#: Bigrams and trigrams that occur so often become arcs, whatever the size of the input.
-LEAST = 2
-DISCOUNT = 0.75
-#: Bytes of text that are scored together, and the least number of groups.
-BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 64
-_CHUNK, _SHIFT = 400_000, 20
+#: What the failure arc of a word and of a bigram weighs, in occurrences.
+BACKOFF = (100.0, 3.0)
+#: Bytes of text that are scored together, and the least number of such blocks.
+BLOCK_BYTES, LEAST_BLOCKS = 16 << 20, 8
+#: Bytes of text for each part of the key space: two million n-grams or so are counted together.
+PART_BYTES = 8 << 20
+#: Bits of a key that are sent beside its part: with two million keys a part, 1 in 500,000 meets another's.
+KEY_BITS = 40
+_CHUNK = 400_000
 _PAIR, _TRIPLE = odd_constants(2, 21), odd_constants(2, 22)
 
 
@@ -32,16 +34,14 @@ _PAIR, _TRIPLE = odd_constants(2, 21), odd_constants(2, 22)
 class Grams:
     """Keys of the words to predict in some texts, one after another, and of the n-grams that end there.
 
-    one, two, three: keys of the word, bigram and trigram (0: the text has no trigram there yet). before: the key of
-    the word before. history: the key of the bigram before (0 as for three). sizes: words of each text, with its end.
+    one, two, three: keys of the word, bigram and trigram (0: the text has no trigram there yet). first: where each text
+    begins; the state before a text is the end token's.
     """
 
     one: np.ndarray
     two: np.ndarray
     three: np.ndarray
-    before: np.ndarray
-    history: np.ndarray
-    sizes: np.ndarray
+    first: np.ndarray
 
 
 def _grams_of(texts: list[np.ndarray]) -> Grams:
@@ -57,7 +57,7 @@ def _grams_of(texts: list[np.ndarray]) -> Grams:
     three[1:] = mix(two[:-1] * _TRIPLE[0] + h[1:] * _TRIPLE[1])
     three[1:][opens[:-1]] = 0
     at = np.flatnonzero(~opens)
-    return Grams(h[at], two[at], three[at], h[at - 1], two[at - 1], sizes)
+    return Grams(h[at], two[at], three[at], np.cumsum(sizes) - sizes)
 
 
 def _grams(raws: Iterable[bytes], hashes: WordHashes) -> Iterator[Grams]:
@@ -73,199 +73,193 @@ def _grams(raws: Iterable[bytes], hashes: WordHashes) -> Iterator[Grams]:
         yield _grams_of(held)
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for g in _grams((raw for b in batches for raw in b["raw"]), WordHashes()):
-        long = g.three != 0
-        for key, prefix in ((g.one, None), (g.two, g.before), (g.three[long], g.history[long])):
-            kinds, at, n = np.unique(key, return_index=True, return_counts=True)
-            own = np.zeros(len(kinds), dtype=np.int64) if prefix is None else prefix[at].view(np.int64)
-            yield pd.DataFrame({"key": kinds.view(np.int64), "prefix": own, "n": n})
+def _whole(raws: Iterable[bytes]) -> Grams:
+    """The n-grams of a block's texts."""
+    found = list(_grams(raws, WordHashes()))
+    before = np.cumsum([0, *[len(g.one) for g in found[:-1]]])
+    join = lambda name: np.concatenate([getattr(g, name) for g in found])
+    return Grams(join("one"), join("two"), join("three"), np.concatenate([g.first + b for g, b in zip(found, before, strict=True)]))
 
 
-@dataclass
-class Automaton:
-    """States are histories; an arc reads a word, and a failure arc goes on to the history without its first word.
+@dataclass(frozen=True)
+class Parts:
+    """The key space in 2 ** bits parts by leading bits."""
 
-    arcs: (state << 20 | word) -> (log10 probability, next state). fail and back: by state, where the failure arc
-    leads and its log10 weight. unigram: the root's own arcs cover the whole vocabulary, so they are looked up by
-    count; known words have (c - cut) / tokens, and all unknown ones share what the cuts leave.
-    """
+    bits: int
 
-    core: np.ndarray
-    start: list[int]  # by core word: the state after it
-    arcs: dict[int, tuple[float, int]]
-    fail: list[int]
-    back: list[float]
-    tokens: int
-    kinds: int
-    cut: float
+    @classmethod
+    def for_bytes(cls, size: int) -> Parts:
+        return cls(min(max(math.ceil(math.log2(max(size / PART_BYTES, 1))), 2), 64 - KEY_BITS))
 
-    def unigram(self, n: np.ndarray) -> np.ndarray:
-        """log10 probabilities of words with these training counts (0: an unknown word)."""
-        if not self.tokens:
-            return np.zeros(len(n))  # nothing was learned: one outcome, the unknown word
-        rest = (self.cut * self.kinds) / self.tokens
-        return np.log10(np.where(n > 0, np.maximum(n - self.cut, 1e-300) / self.tokens, rest))
-
-    def traverse(self, core: list[int], uni: list[float], begin: int) -> float:
-        """log10 probability of a text in one pass; core: core words by number, else -1; uni: root arcs' weights."""
-        arcs, fail, back, start = self.arcs, self.fail, self.back, self.start
-        total, s = 0.0, begin
-        for c, u in zip(core, uni, strict=True):
-            if c < 0:
-                while s:
-                    total += back[s]
-                    s = fail[s]
-                total += u
-                continue
-            while True:
-                arc = arcs.get((s << _SHIFT) | c)
-                if arc is not None:
-                    total += arc[0]
-                    s = arc[1]
-                    break
-                if not s:
-                    total += u
-                    s = start[c]
-                    break
-                total += back[s]
-                s = fail[s]
-        return total
-
-
-def build(core: np.ndarray, n1: np.ndarray, tokens: int, kinds: int, cut: float, two: dict[int, int], three: dict[int, int]) -> Automaton:
-    """The automaton of interpolated absolute discounting: kept n-grams become arcs, with the rest of a state's mass on failure.
-
-    two, three: counts of kept bigrams and trigrams of core words, packed 20 bits a word.
-    """
-    low = (1 << _SHIFT) - 1
-    start, fail, back, arcs = [0] * len(core), [0], [0.0], {}
-    p1 = (n1 - cut) / tokens if tokens else n1 * 0.0
-    own: dict[int, list[tuple[int, int]]] = {}
-    for g, n in two.items():
-        own.setdefault(g >> _SHIFT, []).append((g & low, n))
-    longer: dict[int, list[tuple[int, int]]] = {}
-    for g, n in three.items():
-        if (g >> _SHIFT) in two:
-            longer.setdefault(g >> _SHIFT, []).append((g & low, n))
-    for u in sorted(own):
-        start[u] = len(fail)
-        fail.append(0)
-        back.append(0.0)
-    state2: dict[int, int] = {}
-    for g in sorted(longer):
-        state2[g] = len(fail)
-        fail.append(start[g & low])
-        back.append(0.0)
-    p2: dict[int, float] = {}
-    for u, found in own.items():
-        rest = 1 - sum(n - DISCOUNT for _, n in found) / n1[u]
-        back[start[u]] = math.log10(max(rest, 1e-12))
-        for v, n in found:
-            p2[u << _SHIFT | v] = p = (n - DISCOUNT) / n1[u] + max(rest, 1e-12) * p1[v]
-            arcs[start[u] << _SHIFT | v] = (math.log10(p), state2.get(u << _SHIFT | v, start[v]))
-    for g, found in longer.items():
-        s, v, of = state2[g], g & low, two[g]
-        rest = max(1 - sum(n - DISCOUNT for _, n in found) / of, 1e-12)
-        back[s] = math.log10(rest)
-        lam = 10 ** back[start[v]] if start[v] else 1.0
-        for w, n in found:
-            shorter = p2.get(v << _SHIFT | w, lam * p1[w])
-            arcs[s << _SHIFT | w] = (math.log10((n - DISCOUNT) / of + rest * shorter), state2.get(v << _SHIFT | w, start[w]))
-    return Automaton(core, start, arcs, fail, back, tokens, kinds, cut)
-
-
-def learn(train: DataFrame) -> tuple[DataFrame, int, int, float]:
-    """(model, tokens, distinct tokens, discount of unigrams) from all rows of train (column raw).
-
-    model: key, n and taken: every word with its count, every bigram and trigram that occurs LEAST times, and what
-    the arcs of a word or bigram take of its count (a row of its own, with n = 0). All of it stays in Spark.
-    """
-    counts = train.mapInPandas(_count, "key long, prefix long, n long").groupBy("key").agg(F.first("prefix").alias("prefix"), F.sum("n").alias("n"))
-    kept = cut_lineage(counts.where((F.col("prefix") == 0) | (F.col("n") >= LEAST)))
-    n = F.col("n")
-    tokens, kinds, once, twice = kept.where("prefix = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(n == 1), F.count_if(n == 2)).first()
-    cut = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
-    taken = kept.where("prefix != 0").groupBy(F.col("prefix").alias("key")).agg(F.sum(n - DISCOUNT).alias("taken"))
-    model = kept.select("key", "n", F.lit(0.0).alias("taken")).union(taken.select("key", F.lit(0).cast("long"), "taken"))
-    return model, tokens, kinds, cut
+    def bounds(self, keys: np.ndarray) -> np.ndarray:
+        """Where each part begins among ascending keys, and their number."""
+        starts = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
+        return np.append(np.searchsorted(keys, starts), len(keys))
 
 
-@dataclass
-class Arcs:
-    """The part of the automaton that a group of texts asks for; states are words and bigrams by key, as arcs are.
+def _packed(keys: np.ndarray) -> bytes:
+    """The low KEY_BITS of each key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes()
+
+
+def _unpacked(cells: Iterable[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(cells), dtype=np.uint8).reshape(-1, KEY_BITS // 8)
+    out = np.zeros((len(raw), 8), dtype=np.uint8)
+    out[:, : KEY_BITS // 8] = raw
+    return out.view("<u8").ravel()
+
+
+def _counts(n: np.ndarray) -> bytes:
+    """Counts, most of them small, in few bytes."""
+    return zlib.compress(n.astype("<u4").tobytes(), 1)
+
+
+def _numbers(cell: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(cell), dtype="<u4")
+
+
+def cells(kinds: list[tuple[np.ndarray, np.ndarray]], parts: Parts, block: int) -> pd.DataFrame:
+    """A row a part: the block's distinct keys there (kind after kind, ascending) and what it adds to their counts."""
+    bounds = [parts.bounds(keys) for keys, _ in kinds]
+    rows = []
+    for p in range(1 << parts.bits):
+        own = [slice(b[p], b[p + 1]) for b in bounds]
+        if any(s.stop > s.start for s in own):
+            rows.append((p, block, b"".join(_packed(keys[s]) for (keys, _), s in zip(kinds, own, strict=True)), _counts(np.concatenate([n[s] for (_, n), s in zip(kinds, own, strict=True)]))))
+    return pd.DataFrame(rows, columns=["part", "block", "keys", "n"])
+
 
-    keys: ascending. n: counts (0: no arc). taken: what a state's arcs take of its count; the rest is on its failure arc.
+CELLS = "part int, block int, keys binary, n binary"
+
+
+def summed(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(counts by distinct key, each sent key's place among them, keys by cell) of one part."""
+    sizes = [len(k) // (KEY_BITS // 8) for k in group["keys"]]
+    kinds, where = np.unique(_unpacked(group["keys"]), return_inverse=True)
+    n = np.bincount(where, weights=np.concatenate([_numbers(c) for c in group["n"]]), minlength=len(kinds))
+    return n, where, sizes
+
+
+def words_in_all(train: DataFrame, parts: Parts) -> tuple[int, int, int, int]:
+    """(tokens, distinct tokens, those that occur once, twice) over all rows of train (column raw)."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for g in _grams((raw for b in batches for raw in b["raw"]), WordHashes()):
+            held.append(np.unique(g.one, return_counts=True))
+            if sum(len(k) for k, _ in held) > 4_000_000:
+                held = [_merged(held)]
+                if len(held[0][0]) > 2_000_000:
+                    yield cells(held, parts, 0)
+                    held = []
+        if held:
+            yield cells([_merged(held)], parts, 0)
+
+    def tally(group: pd.DataFrame) -> pd.DataFrame:
+        n, _, _ = summed(group)
+        return pd.DataFrame({"tokens": [int(n.sum())], "kinds": [len(n)], "once": [int((n == 1).sum())], "twice": [int((n == 2).sum())]})
+
+    found = train.mapInPandas(count, CELLS).groupBy("part").applyInPandas(tally, "tokens long, kinds long, once long, twice long")
+    return tuple(x or 0 for x in found.agg(*[F.sum(c) for c in found.columns]).first())
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    kinds, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return kinds, np.bincount(where, weights=np.concatenate([n for _, n in held]), minlength=len(kinds)).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Root:
+    """The automaton's root: its arcs cover the vocabulary, and all words that it lacks share what the discount leaves.
+
+    Known words have (n - cut) of ``tokens``. The rest goes to unknown words by equal parts; how many kinds of them there
+    are is estimated from words that occur once and twice (Chao), and taken as at least the known ones.
     """
 
-    keys: np.ndarray
-    n: np.ndarray
-    taken: np.ndarray
     tokens: int
     kinds: int
-    cut: float
+    once: int
+    twice: int
 
-    @classmethod
-    def of(cls, answers: pd.DataFrame, tokens: int, kinds: int, cut: float) -> Arcs:
-        keys, where = np.unique(answers["key"].to_numpy(dtype=np.int64).view(np.uint64), return_inverse=True)
-        n, taken = (np.bincount(where, weights=answers[c].to_numpy(dtype=np.float64), minlength=len(keys)) for c in ("n", "taken"))
-        return cls(keys, n, taken, tokens, kinds, cut)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(keys)), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        here = self.keys[at] == keys
-        return np.where(here, self.n[at], 0.0), np.where(here, self.taken[at], 0.0)
-
-    def score(self, g: Grams) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word to predict: its training count, and its log10 probability."""
-        n1 = self.find(g.one)[0]
-        p = 10 ** Automaton([], [], {}, [], [], self.tokens, self.kinds, self.cut).unigram(n1)
-        for state, arc in ((g.before, g.two), (g.history, g.three)):
-            of, taken = self.find(state)
-            n = self.find(arc)[0]
-            of = np.maximum(of, 1)
-            fail = np.where(taken > 0, np.maximum(1 - taken / of, 1e-12), 1.0)
-            p = np.where(n > 0, (n - DISCOUNT) / of, 0.0) + fail * p
-        return n1, np.log10(p)
+    def probability(self, n: np.ndarray) -> np.ndarray:
+        if not self.tokens:
+            return np.ones(len(n))  # nothing was learned: one outcome, the unknown word
+        cut = min(max(self.once / max(self.once + 2 * self.twice, 1), 0.1), 0.9)
+        unseen = max(self.kinds, self.once * (self.once - 1) / (2 * (self.twice + 1)))
+        return np.where(n > 0, n - cut, cut * self.kinds / unseen) / self.tokens
+
+
+def traverse(root: Root, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, first: np.ndarray, texts: int) -> np.ndarray:
+    """log10 probability of each word along one traversal of the automaton from left to right.
+
+    States are the histories seen in training: a bigram, a word, or the root; a text starts in the end token's state, of
+    which there were ``texts``. The state after a word is the longest history that ends there. An arc of state h that reads
+    w weighs (n(hw) + k * p) / (n(h) + k), where p is what the state without its first word gives; where there is no arc, the
+    failure arc weighs k / (n(h) + k) and leads there. So a state's arcs and its failure arc share all of its mass.
+    """
+    p = root.probability(n1)
+    word, pair = np.zeros(len(n1)), np.zeros(len(n1))  # counts of the states before each word
+    word[1:], pair[1:] = n1[:-1], n2[:-1]
+    word[first], pair[first] = texts, 0
+    for state, n, k in ((word, n2, BACKOFF[0]), (pair, n3, BACKOFF[1])):
+        p = n / (state + k) + k / (state + k) * p
+    return np.log10(p)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every whole text.
 
-    Learned from the rows whose fold is not HELD. Words and n-grams are told apart by 64-bit hashes. A null or empty
+    Learned from the rows whose fold is not HELD: all their words, bigrams and trigrams, each told apart by a hash. A null or empty
     text is the end token alone; rows with a null id are of fold 0; repeated rows each get a row and each count; an
     empty table gives an empty result; further columns are ignored.
 
-    Counts may not fit anywhere whole: texts are dealt into groups of bounded bytes, each group asks once for
-    each of its distinct words, bigrams and trigrams, the model joins those requests, and each group is scored with
-    its answers. The texts are shuffled once; groups are dealt by a hash of id and text, so no source or id makes
-    one large.
+    Counts may not fit anywhere whole. Texts are dealt into blocks of bounded bytes, by id, text and their place in the
+    input, so that no source, id or repeated row makes one large. Each block sends its distinct n-grams once, cut by
+    parts of the key space, with what it adds to their counts; a part of bounded size sums them and answers each block in the same
+    order; the block, whose texts are shuffled once for both, is scored with its answers.
     """
-    rows = docs.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), as_utf8(F.coalesce("text", F.lit(""))).alias("raw"))
-    model, tokens, kinds, cut = learn(rows.where(~F.col("held_out")).select("raw"))
-    size = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(blocks)).cast("int"))
+    rows = docs.select(
+        F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"),  # no null among longs, which pandas would make floats
+        (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), as_utf8(F.coalesce("text", F.lit(""))).alias("raw"),
+    )
+    size, texts = rows.agg(F.coalesce(F.sum(F.octet_length("raw") + 1), F.lit(0)), F.count_if(~F.col("held_out"))).first()
+    parts, blocks = Parts.for_bytes(size), max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES))
+    root = Root(*words_in_all(rows.where(~F.col("held_out")).select("raw"), parts))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "raw", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
 
     def ask(b: pd.DataFrame) -> pd.DataFrame:
-        found = [np.unique(np.concatenate((g.one, g.before, g.two, g.three))) for g in _grams(b["raw"], WordHashes())]
-        keys = np.unique(np.concatenate(found))
-        return pd.DataFrame({"block": np.int32(b["block"].iloc[0]), "key": keys[keys != 0].view(np.int64)})
-
-    def score(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        arcs, out = Arcs.of(answers, tokens, kinds, cut), []
-        for g in _grams(texts["raw"], WordHashes()):
-            n, p = arcs.score(g)
-            first = np.cumsum(g.sizes) - g.sizes
-            base = np.log10((n + 1) / (tokens + kinds + 1))
-            out.append(pd.DataFrame({"n_tokens": g.sizes, "n_known": np.add.reduceat((n > 0).astype(np.int64), first), "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(p, first)}))
-        got = pd.concat(out, ignore_index=True)
-        got["doc_id"], got["held_out"] = texts["doc_id"].array, texts["held_out"].array
-        return got[["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]]
-
-    asked = dealt.groupBy("block").applyInPandas(ask, "block int, key long")
-    answered = asked.join(model, "key").select("block", "key", "n", "taken")
-    scored = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        g, held = _whole(b["raw"]), b["held_out"].to_numpy(dtype=bool)
+        learned = np.repeat(~held, np.diff(np.append(g.first, len(g.one)))).astype(np.float64)
+        kinds = []
+        for key in (g.one, g.two, g.three):
+            own, where = np.unique(key, return_inverse=True)
+            n = np.bincount(where, weights=learned, minlength=len(own))
+            kinds.append((own[own != 0], n[own != 0]))
+        return cells(kinds, parts, int(b["block"].iloc[0]))
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        n, where, sizes = summed(group)
+        own = np.split(n[where], np.cumsum(sizes)[:-1])
+        return pd.DataFrame({"part": group["part"].to_numpy(dtype=np.int32), "block": group["block"].to_numpy(dtype=np.int32), "n": [_counts(x) for x in own]})
+
+    def score(b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        g = _whole(b["raw"])
+        found = [np.unique(key, return_inverse=True) for key in (g.one, g.two, g.three)]
+        bounds = [parts.bounds(own[own != 0]) for own, _ in found]
+        counts: list[list[np.ndarray]] = [[], [], []]
+        for p, cell in sorted(zip(answers["part"], answers["n"], strict=True)):
+            n, at = _numbers(cell), 0
+            for k, edge in enumerate(bounds):  # kind after kind, as they were sent
+                counts[k].append(n[at : at + edge[p + 1] - edge[p]])
+                at += edge[p + 1] - edge[p]
+        n1, n2, n3 = (np.concatenate([np.zeros(int(own[0] == 0)), *c])[where] for (own, where), c in zip(found, counts, strict=True))
+        base = np.log10((n1 + 1) / (root.tokens + root.kinds + 1))
+        total = lambda x: np.add.reduceat(x, g.first)
+        return pd.DataFrame({
+            "id": b["id"], "no_id": b["no_id"], "held_out": b["held_out"], "n_tokens": np.diff(np.append(g.first, len(n1))), "n_known": total((n1 > 0).astype(np.int64)),
+            "base_score": total(base), "score": total(traverse(root, n1, n2, n3, g.first, texts)),
+        })
+
+    answered = dealt.groupBy("block").applyInPandas(ask, CELLS).groupBy("part").applyInPandas(answer, "part int, block int, n binary")
+    scored = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(score, "id long, no_id boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(root.tokens).cast("long").alias("train_tokens"), "base_score", "score")

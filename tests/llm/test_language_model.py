@@ -5,7 +5,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import xxhash
 
 from flatspan.llm import language_model as lm
 from tests.llm.helpers import documents, frame, odd_documents
@@ -20,37 +19,48 @@ def held(doc_id) -> bool:
 
 
 class Brute:
-    """The same interpolated discounting by direct recursion over dictionaries."""
+    """The automaton itself: states, arcs and failure arcs in dictionaries, read from left to right."""
 
-    def __init__(self, texts, core_share=lm.CORE, arc_share=lm.ARC):
+    def __init__(self, texts):
         lists = [tokens(t) for t in texts]
         self.c = Counter(w for x in lists for w in x)
         self.n, self.v = sum(self.c.values()), len(self.c)
         once, twice = (sum(k == m for k in self.c.values()) for m in (1, 2))
         self.cut = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
-        core = {w for w, k in self.c.items() if k >= max(core_share * self.n, 1)}
-        least = max(2, math.ceil(arc_share * self.n))
-        grams: Counter = Counter()
+        self.unseen = max(self.v, once * (once - 1) / (2 * (twice + 1)))
+        self.grams: Counter = Counter()
         for x in lists:
             s = [b" ", *x]
             for k in (2, 3):
-                grams.update(tuple(s[i : i + k]) for i in range(len(s) - k + 1) if core.issuperset(s[i : i + k]))
-        self.g = {g: k for g, k in grams.items() if k >= least}
-        self.g = {g: k for g, k in self.g.items() if len(g) == 2 or g[:2] in self.g}
+                self.grams.update(tuple(s[i : i + k]) for i in range(len(s) - k + 1))
+        self.of: Counter = Counter()
+        for g, k in self.grams.items():
+            self.of[g[:-1]] += k
+        self.arcs: dict = {}
+        for g in sorted(self.grams, key=len):
+            self.arcs.setdefault(g[:-1], {})[g[-1]] = self.p(g[-1], g[:-1])
+
+    def root(self, w: bytes) -> float:
+        return (self.c[w] - self.cut if self.c[w] else self.cut * self.v / self.unseen) / self.n
 
     def p(self, w: bytes, h: tuple[bytes, ...]) -> float:
         if not h:
-            return (self.c[w] - self.cut) / self.n if self.c[w] else self.cut * self.v / self.n
-        found = [(g, k) for g, k in self.g.items() if g[:-1] == h]
-        if not found:
-            return self.p(w, h[1:])
-        of = self.c[h[0]] if len(h) == 1 else self.g[h]
-        rest = 1 - sum(k - lm.DISCOUNT for _, k in found) / of
-        return max(self.g.get((*h, w), 0) - lm.DISCOUNT, 0) / of * ((*h, w) in self.g) + max(rest, 1e-12) * self.p(w, h[1:])
+            return self.root(w)
+        k = lm.BACKOFF[len(h) - 1]
+        return (self.grams[(*h, w)] + k * self.p(w, h[1:])) / (self.of[h] + k)
 
     def score(self, text) -> float:
-        s = [b" ", *tokens(text)]
-        return sum(math.log10(self.p(s[i], tuple(s[max(0, i - 2) : i]))) for i in range(1, len(s)))
+        total, state = 0.0, (b" ",)
+        for w in tokens(text):
+            h = state
+            while h and w not in self.arcs.get(h, {}):
+                total += math.log10(lm.BACKOFF[len(h) - 1] / (self.of[h] + lm.BACKOFF[len(h) - 1]))
+                h = h[1:]
+            total += math.log10(self.arcs[h][w] if h else self.root(w))
+            state = (state + (w,))[-2:]
+            while state and state not in self.arcs:
+                state = state[1:]
+        return total
 
     def base(self, text) -> float:
         return sum(math.log10((self.c[w] + 1) / (self.n + self.v + 1)) for w in tokens(text))
@@ -80,31 +90,54 @@ def test_probabilities_sum_to_one(spark):
     docs, rows = small(spark)
     b = Brute([t for i, t in rows if not held(i)])
     for h in [(), (b" ",), (b"w0",), (b"a", b"b"), (b"w0", b"w1")]:
-        assert abs(sum(b.p(w, h) for w in [*b.c, b"never seen"]) - 1) < 1e-9
-
-
-def test_automaton_carries_states_over_failures():
-    core = np.array(sorted([xxhash.xxh64_intdigest(w) for w in (b"x", b"y")] + [lm.END]), dtype=np.uint64)
-    n1 = np.array([5.0, 5.0, 2.0])
-    auto = lm.build(core, n1, 12, 3, 0.5, {0 << 20 | 1: 3}, {})
-    uni = auto.unigram(n1).tolist()
-    s = auto.start[0]
-    assert s and math.isclose(auto.traverse([0, 1], [uni[0], uni[1]], 0), uni[0] + auto.arcs[s << 20 | 1][0])
-    assert math.isclose(auto.traverse([0, 2], [uni[0], uni[2]], 0), uni[0] + auto.back[s] + uni[2])
-    assert math.isclose(auto.traverse([0, -1], [uni[0], -4.0], 0), uni[0] + auto.back[s] - 4.0)
+        assert abs(sum(b.p(w, h) for w in b.c) + b.unseen * b.p(b"never seen", h) - 1) < 1e-9
 
 
 def test_rare_words_have_arcs_at_any_size(spark):
-    """Words of less than 1 in 10,000 tokens, in bigrams and trigrams that occur twice."""
+    """Words of less than 1 in 10,000 tokens, in bigrams and trigrams that occur once or more."""
     rows = [(i, "a b c d e " * 600) for i in range(20)] + [(100 + i, "seldom seen words follow here") for i in range(5)]
     rows += [(200 + i, f"few rare{i // 3} then odd{i // 3} a b") for i in range(9)]
-    brute = Brute([t for i, t in rows if not held(i)], 0, 0)
-    assert brute.g[(b"rare1", b"then", b"odd1")] < 1e-4 * brute.n
+    brute = Brute([t for i, t in rows if not held(i)])
+    assert brute.grams[(b"rare1", b"then", b"odd1")] < 1e-4 * brute.n
     text = dict(rows)
     for r in lm.score_documents(documents(spark, rows)).collect():
         assert math.isclose(r.score, brute.score(text[r.doc_id]), rel_tol=1e-9), (r.doc_id, r.score)
 
 
+def test_blocks_and_parts_change_nothing(spark, monkeypatch):
+    docs, _ = small(spark)
+    want = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
+    monkeypatch.setattr(lm, "LEAST_BLOCKS", 1)
+    monkeypatch.setattr(lm, "PART_BYTES", 50)
+    got = {r.doc_id: r.score for r in lm.score_documents(docs.repartition(3)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
+def test_noise_scores_below_held_out_text(spark, sf):
+    """Made-up words, none of them known, are less likely than real texts word by word."""
+    rng = np.random.default_rng(5)
+    real = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    noise = documents(spark, [(10**6 + i, " ".join(f"zq{k}x" for k in rng.integers(0, 10**9, 50))) for i in range(60)])
+    got = frame(lm.score_documents(real.union(noise)))
+    each = got.score.astype(float) / got.n_tokens.astype(float)
+    out = got.held_out.astype(bool)
+    assert each[out & (got.doc_id >= 10**6)].max() < each[out & (got.doc_id < 10**6)].mean() - 1
+
+
+def test_repeated_rows_spread_over_blocks(spark):
+    """A third of all rows equal, and rows without ids: each gets its row, and each counts."""
+    rows = [(3, "one and the same text " * 20)] * 400 + [(None, "no id here")] * 200 + [(i + 10, f"text {i} of its own") for i in range(600)]
+    got = frame(lm.score_documents(documents(spark, rows)))
+    assert len(got) == 1200 and (got.doc_id == 3).sum() == 400 and got.doc_id.isna().sum() == 200
+    brute = Brute([t for i, t in rows if not held(i)])
+    assert set(got.train_tokens) == {brute.n} and math.isclose(got[got.doc_id == 3].score.iloc[0], brute.score(rows[0][1]), rel_tol=1e-9)
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    got = frame(lm.score_documents(documents(spark, [(None, "a b"), (2**53 + 1, "a b c"), (None, None)]).coalesce(1)))
+    assert sorted(got.doc_id.dropna()) == [2**53 + 1] and got.doc_id.isna().sum() == 2
+
+
 def test_held_out_texts_fit_better_than_the_base(spark, sf):
     got = frame(lm.score_documents(spark.read.parquet(f"{sf}/documents.parquet")))
     out = got[got.held_out.astype(bool)]
