@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flatspan.llm.common import cut_lineage, small_or_whole, stored
+
 #: Rules as given: verdict and host/path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Words with at least this share of all words are in the lexicon, tokens with this share of all tokens in the
-#: model: at most 1 / LEAST of either, which bounds what is broadcast.
-LEAST = 1e-6
-LONGEST = 24
+#: A label of a host name has 63 characters at most (RFC 1035), and so has a word in it.
+LONGEST = 63
+#: What stands between tokens of hosts and paths.
+_BETWEEN = r"[^\p{L}\p{N}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,14 +35,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def lexicon(pages: DataFrame) -> tuple[dict[str, float], int]:
-    """(log10 probability by word, number of words) of the pages' visible words, counted over all of them."""
+def lexicon(pages: DataFrame) -> DataFrame:
+    """(word, n) of the pages' visible words, counted over all of them; counts stay in Spark."""
     words = F.split(F.lower(F.regexp_replace("html", r"(?s)<(script|style).*?</\1>|<[^>]*>|&[a-z]+;", " ")), r"[^\p{L}]+")
-    counts = pages.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.where(F.length("word") <= LONGEST)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") >= max(2, LEAST * total)).collect()
-    return {r["word"]: math.log10(r["n"] / total) for r in rows}, total
+    return pages.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def segment(name: str, words: dict[str, float], total: int) -> list[str]:
@@ -62,66 +58,84 @@ def segment(name: str, words: dict[str, float], total: int) -> list[str]:
     return out[::-1]
 
 
-def url_tokens(host: str, path: str, words: dict[str, float], total: int, known: dict[str, list[str]]) -> list[str]:
-    """Tokens of segmented host labels and of the path; numbers count as one token each."""
-    tokens = known.get(host)
-    if tokens is None:
-        if len(known) > 100_000:
-            known.clear()
-        tokens = known[host] = [f"h:{w}" for label in host.split(".") for part in re.split(r"[^\w]+|_", label) if part for w in (["0"] if part.isdigit() else segment(part, words, total))]
-    return tokens + [f"p:{'0' if w.isdigit() else w}" for w in re.split(r"[\W_]+", path.lower()) if w]
+def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
+    """(name, tokens): distinct names split into words. names: name; words: word and n.
+
+    Each name lists its pieces, the lexicon joins those, and the Viterbi split sees the words that stand in its name:
+    nothing of the lexicon is broadcast or left out.
+    """
+    total = words.agg(F.sum("n")).first()[0] or 0
+    size = F.length("name")
+    starts = F.sequence(F.lit(1), size)
+    pieces = F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(F.lit(1), F.least(size - a + 1, F.lit(LONGEST))), lambda n: F.substring("name", a, n))))
+    listed = names.select("name", F.explode(F.array_distinct(pieces)).alias("word"))
+    known = listed.join(words, "word").groupBy("name").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))
+
+    @F.pandas_udf("array<string>")
+    def split(name: pd.Series, own: pd.Series, ns: pd.Series) -> pd.Series:
+        none: list = []
+        return pd.Series([segment(x, {w: math.log10(n / total) for w, n in zip(none if o is None else o, none if k is None else k, strict=True)}, total) for x, o, k in zip(name, own, ns, strict=True)])
+
+    return names.join(known, "name", "left").select("name", split("name", "words", "ns").alias("tokens"))
+
 
+def parts_of(text: Column) -> Column:
+    """The runs of letters and digits in a text, in lower case; a number counts as the token 0."""
+    some = F.filter(F.split(F.lower(text), _BETWEEN), lambda w: w != "")
+    return F.transform(some, lambda w: F.when(w.rlike(r"^\p{N}+$"), F.lit("0")).otherwise(w))
 
-class Bayes:
-    """Multinomial naive Bayes with add-one smoothing: token weights and the bias, for block over allow."""
 
-    def __init__(self, counts: list[tuple[str, str, int]], urls: dict[str, int]):
-        by = {v: {t: n for t, w, n in counts if w == v} for v in ("allow", "block")}
-        kinds = {t for t, _, _ in counts}
-        size = {v: sum(by[v].values()) + len(kinds) + 1 for v in by}
-        self.weight = {t: math.log((by["block"].get(t, 0) + 1) / size["block"]) - math.log((by["allow"].get(t, 0) + 1) / size["allow"]) for t in kinds}
-        self.bias = math.log((urls.get("block", 0) + 1) / (urls.get("allow", 0) + 1)) if counts else -1.0
+def host_tokens(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """(host, token): the words of distinct hosts, marked as such."""
+    parts = hosts.select("host", F.explode(parts_of(F.col("host"))).alias("name"))
+    split = segmented(parts.select("name").distinct(), words)
+    return parts.join(split, "name").select("host", F.explode("tokens").alias("word")).select("host", F.concat(F.lit("h:"), "word").alias("token"))
 
-    def odds(self, tokens: list[str]) -> float:
-        return self.bias + math.fsum(self.weight.get(t, 0.0) for t in tokens)
 
+def path_tokens(paths: DataFrame, *carried: str) -> DataFrame:
+    """(path, token) and carried columns: the tokens of distinct paths, marked as such."""
+    return paths.select("path", *carried, F.explode(parts_of(F.col("path"))).alias("word")).select("path", F.concat(F.lit("p:"), "word").alias("token"), *carried)
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+
+def bayes(counts: DataFrame, urls: dict[str, int]) -> tuple[DataFrame, float]:
+    """(weights by token, bias) of multinomial naive Bayes with add-one smoothing, for block over allow.
+
+    counts: token, block, allow. urls: taught urls by verdict.
+    """
+    block, allow, kinds = counts.agg(F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("allow"), F.lit(0)), F.count(F.lit(1))).first()
+    weight = F.log((F.col("block") + 1) / (block + kinds + 1)) - F.log((F.col("allow") + 1) / (allow + kinds + 1))
+    bias = math.log((urls.get("block", 0) + 1) / (urls.get("allow", 0) + 1)) if kinds else -1.0
+    return counts.select("token", weight.alias("weight")), bias
+
+
+def judge(pages: DataFrame, rules=RULES, teaches: Column | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, odds of every url: the fitting rule's verdict, else the classifier's.
 
-    The classifier learns from all urls that a rule decides, and its lexicon from the words of all pages. It
-    blocks where block is likelier; with nothing to learn from it allows. A null url, or one without ``://``, has an
-    empty host and path. Repeated rows each get a row; an empty table gives an empty result; further columns are
-    ignored; a null page adds no words.
+    The classifier learns from all urls that a rule decides (and for which ``teaches`` holds, where given), and its
+    lexicon from the words of all pages. It blocks where block is likelier (odds above 0); with nothing to learn from it
+    allows. A null url, or one without ``://``, has an empty host and path. Repeated rows each get a row; an empty table
+    gives an empty result; further columns are ignored; a null page adds no words.
+
+    Distinct hosts and distinct paths are tokenised and weighed once each and joined back, so a host or path of
+    any number of urls costs one row of those tables, and no vocabulary goes through the driver.
     """
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    taught = F.lit(True) if teaches is None else teaches
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), taught.alias("taught"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"))
-    words, total = lexicon(pages.select("html"))
-    sc = pages.sparkSession.sparkContext
-    sent = sc.broadcast((words, total))
-
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list[str]] = {}
-        for b in batches:
-            counts: dict[tuple[str, str], int] = {}
-            for h, p, said in zip(b["host"], b["path"], b["said"], strict=True):
-                for t in url_tokens(h, p, *sent.value, known):
-                    counts[t, said] = counts.get((t, said), 0) + 1
-            yield pd.DataFrame([(t, s, n) for (t, s), n in counts.items()], columns=["token", "said", "n"])
-
-    taught = rows.where(F.col("said").isNotNull())
-    urls = {r["said"]: r["n"] for r in taught.groupBy("said").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = taught.select("host", "path", "said").mapInPandas(tokens, "token string, said string, n long").groupBy("token", "said").agg(F.sum("n").alias("n"))
-    shown = counts.agg(F.sum("n")).first()[0] or 0
-    model = sc.broadcast(Bayes([(r["token"], r["said"], r["n"]) for r in counts.where(F.col("n") >= LEAST * shown).collect()], urls))
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list[str]] = {}
-        for b in batches:
-            odds = [model.value.odds(url_tokens(h, p, *sent.value, known)) for h, p in zip(b["host"], b["path"], strict=True)]
-            said = [s if isinstance(s, str) else ("block" if o > 0 else "allow") for s, o in zip(b["said"], odds, strict=True)]
-            yield pd.DataFrame({"page_id": b["page_id"], "host": b["host"], "path": b["path"], "rule": b["rule"], "verdict": said, "odds": odds})
-
-    return rows.mapInPandas(decide, "page_id long, host string, path string, rule string, verdict string, odds double")
+    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"), "taught")
+    words = stored(lexicon(pages.select("html")))
+    of_hosts = cut_lineage(host_tokens(rows.select("host").distinct(), words))
+    lessons = rows.where(F.col("said").isNotNull() & F.col("taught"))
+    verdicts = F.count_if(F.col("said") == "block").alias("block"), F.count_if(F.col("said") == "allow").alias("allow")
+    by_host = lessons.groupBy("host").agg(*verdicts).join(of_hosts, "host").select("token", "block", "allow")
+    by_path = path_tokens(lessons.groupBy("path").agg(*verdicts), "block", "allow").drop("path")
+    counts = cut_lineage(by_host.union(by_path).groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")))
+    urls = {r["said"]: r["n"] for r in lessons.groupBy("said").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weights, bias = bayes(counts, urls)
+    weights = small_or_whole(weights)
+    hosts = small_or_whole(cut_lineage(of_hosts.join(weights, "token").groupBy("host").agg(F.sum("weight").alias("of_host"))))
+    paths = small_or_whole(cut_lineage(path_tokens(rows.select("path").distinct()).join(weights, "token").groupBy("path").agg(F.sum("weight").alias("of_path"))))
+    odds = F.round(F.lit(bias) + F.coalesce("of_host", F.lit(0.0)) + F.coalesce("of_path", F.lit(0.0)), 9)  # the order of sums leaves no trace
+    out = rows.join(hosts, "host", "left").join(paths, "path", "left").withColumn("odds", odds)
+    return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("odds") > 0, "block").otherwise("allow")).alias("verdict"), "odds")

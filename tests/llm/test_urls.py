@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -58,10 +60,11 @@ def test_viterbi_is_the_best_split():
         assert "".join(got) == name and math.isclose(sum(map(cost, got)), best)
 
 
-def test_bayes_matches_formula():
-    counts = [("a", "block", 3), ("a", "allow", 1), ("b", "allow", 4)]
-    m = urls.Bayes(counts, {"block": 2, "allow": 3})
-    assert math.isclose(m.odds(["a", "b", "unseen"]), math.log(3 / 4) + math.log((4 / 6) / (2 / 8)) + math.log((1 / 6) / (5 / 8)))
+def test_bayes_matches_formula(spark):
+    counts = spark.createDataFrame([("a", 3, 1), ("b", 0, 4)], "token string, block long, allow long")
+    weights, bias = urls.bayes(counts, {"block": 2, "allow": 3})
+    w = {r.token: r.weight for r in weights.collect()}
+    assert math.isclose(bias + w["a"] + w["b"], math.log(3 / 4) + math.log((4 / 6) / (2 / 8)) + math.log((1 / 6) / (5 / 8)))
 
 
 def test_hosts_are_split_and_learned(spark):
@@ -71,8 +74,63 @@ def test_hosts_are_split_and_learned(spark):
     rows += [(100, "http://bonuscasino.info/x", text), (101, "http://tulipgarden.info/x", text)]
     got = {r.page_id: r for r in urls.judge(pages(spark, rows)).collect()}
     assert got[100].verdict == "block" and got[101].verdict == "allow"
-    words, total = urls.lexicon(pages(spark, rows).select("html"))
-    assert urls.segment("bonuscasino", words, total) == ["bonus", "casino"] and total == 82 * 120
+    words = urls.lexicon(pages(spark, rows).select("html"))
+    assert words.agg(F.sum("n")).first()[0] == 82 * 120
+    names = spark.createDataFrame([("bonuscasino",), ("x",), ("gardenqq",)], "name string")
+    assert {r.name: r.tokens for r in urls.segmented(names, words).collect()} == {"bonuscasino": ["bonus", "casino"], "x": ["x"], "gardenqq": ["garden", "qq"]}
+
+
+def brute_judge(rows) -> dict[int, float]:
+    """Odds by the same formulas over dictionaries."""
+    words = Counter(w for _, _, h in rows for w in re.split(r"[^a-z]+", re.sub(r"<[^>]*>", " ", h).lower()) if w)
+    total = sum(words.values())
+    logs = {w: math.log10(n / total) for w, n in words.items()}
+    number = lambda w: "0" if w.isdigit() else w
+
+    def tokens(u):
+        host, path, _, said = brute(u)
+        names = [number(x) for x in re.split(r"[^a-z0-9]+", host) if x]
+        return [f"h:{w}" for x in names for w in urls.segment(x, logs, total)] + [f"p:{number(w)}" for w in re.split(r"[^a-z0-9]+", path.lower()) if w], said
+
+    by = {"block": Counter(), "allow": Counter()}
+    n = Counter()
+    for _, u, _ in rows:
+        own, said = tokens(u)
+        if said:
+            by[said].update(own)
+            n[said] += 1
+    kinds = {*by["block"], *by["allow"]}
+    size = {v: sum(c.values()) + len(kinds) + 1 for v, c in by.items()}
+    weight = {t: math.log((by["block"][t] + 1) / size["block"]) - math.log((by["allow"][t] + 1) / size["allow"]) for t in kinds}
+    bias = math.log((n["block"] + 1) / (n["allow"] + 1))
+    return {i: bias + sum(weight.get(t, 0.0) for t in tokens(u)[0]) for i, u, _ in rows}
+
+
+def test_whole_query_matches_brute_force(spark):
+    """Hosts glued from words, repeated hosts and paths, numbers; learned and judged."""
+    words = ["sun", "sunny", "day", "night", "casino", "win", "garden", "ny"]
+    rows = []
+    for i in range(300):
+        glued = words[i % 8] + words[(i * 3 + 1) % 8] + ("x7" if i % 11 == 0 else "")
+        rows.append((i, f"http://{glued}.{['com', 'net', 'info', 'example.com'][i % 4]}/{['en', 'de', 'q'][i % 3]}/{'Sun-day_' * (i % 2)}{i % 50}?x", f"<p>{' '.join(words[: i % 9])} other text"))
+    got = {r.page_id: r for r in urls.judge(pages(spark, rows)).collect()}
+    for i, odds in brute_judge(rows).items():
+        assert math.isclose(got[i].odds, odds, abs_tol=1e-8)
+        assert got[i].rule is not None or got[i].verdict == ("block" if got[i].odds > 0 else "allow")
+
+
+def test_held_out_accuracy(spark):
+    """Urls that a rule decides, judged by a classifier that has not learned from them."""
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    learned = F.crc32(F.col("page_id").cast("string").cast("binary")) % 5 != 0
+    got = urls.judge(df, teaches=learned).where("rule is not null").join(df.select("page_id", learned.alias("learned")), "page_id").where("not learned").collect()
+    assert len(got) > 20
+    assert sum((r.odds > 0) == (r.verdict == "block") for r in got) >= 0.95 * len(got)
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    got = frame(urls.judge(pages(spark, [(None, "http://a.com/en/1", "x"), (2**53 + 1, "http://a.net/de/1", "y")]).coalesce(1)))
+    assert 2**53 + 1 in set(got.page_id) and got.page_id.isna().sum() == 1
 
 
 def test_odd_and_empty(spark):
