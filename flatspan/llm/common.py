@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
 from uuid import uuid4
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flatspan.runtime import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["WORD", "WordHashes", "as_utf8", "cut_lineage", "ensure_checkpoint_dir", "fold", "local_roots", "mix", "odd_constants", "read_table", "small_or_whole", "stored", "words_of"]
+__all__ = ["WORD", "WordHashes", "as_utf8", "cut_lineage", "ensure_checkpoint_dir", "fold", "local_roots", "mix", "odd_constants", "read_table", "release", "small_or_whole", "stored", "stored_for_now", "words_of"]
 
 #: Word pattern of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -89,6 +91,25 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def stored_for_now(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """stored(df), and what deletes the table when nothing reads it any more."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/table-{uuid4().hex}"
+    df.write.parquet(folder)
+
+    def drop() -> None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    return spark.read.schema(df.schema).parquet(folder), drop
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished phases now: it does so when their owners are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_or_whole(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; else as it is, to be joined by a shuffle. df is written out already."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -10,21 +10,24 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flatspan.llm.common import WordHashes, as_utf8, cut_lineage, local_roots, mix, odd_constants, stored
+from flatspan.llm.common import WordHashes, as_utf8, cut_lineage, local_roots, mix, odd_constants, release, small_or_whole, stored_for_now
 from flatspan.llm.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: 1 - (1 - 0.8 ** 3) ** 7 = 0.993 of the pairs at the threshold collide, and more above it.
 BANDS, ROWS = 7, 3
-#: Lines with fewer words are no paragraphs of their own; they still count as sentences.
+#: Lines with fewer words are short. Short lines that follow each other form a paragraph, up to a blank line or to one
+#: that its content marks as the last; paragraphs of fewer words are left.
 MIN_PARAGRAPH = 20
-#: Sentences with fewer words join the next one; sentence units with fewer words are left.
-MIN_SENTENCE, MIN_UNIT = 6, 5
+#: Sentences with fewer words join the next one; sentence units with fewer words are left; longer sentences than
+#: LONG_SENTENCE are cut by content too, where a pair of words has the least hash of all within REACH words.
+MIN_SENTENCE, MIN_UNIT, LONG_SENTENCE, REACH = 6, 5, 12, 4
 #: Repeated units of a text that follow each other (over at most GAP other words) form a passage. It needs so many
 #: words outside lines of under 20 words: common short lines, however many stand together, are no passage. A passage
-#: of over 50 words loses at most parts of its first and last sentence to the text around it. Where a passage goes on
-#: through short lines, MIN_MIXED words suffice of which MIN_LONG stand outside them.
+#: of over 50 words loses the ends up to its first and last cut, some words each, to the text around it. Where a passage
+#: goes on through short lines, MIN_MIXED words suffice of which MIN_LONG stand outside them; and MIN_MIXED words in
+#: paragraphs of short lines that repeat as such.
 GAP, MIN_PASSAGE, MIN_MIXED, MIN_LONG = 5, 24, 40, 10
 #: Buckets with more paragraphs are compared in tiles.
 BUCKET, TILE = 48, 128
@@ -81,27 +84,40 @@ def _sums(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, powers: Powers)
     return mix(np.add.reduceat(h[at] * powers(int(n.max()))[place], np.cumsum(n) - n) + n.astype(np.uint64))
 
 
-def _lines(raw: bytes) -> tuple[list[bytes], list[int]]:
-    """All words, and where each line with words ends."""
-    words, ends = [], []
+def _lines(raw: bytes) -> tuple[list[bytes], list[int], list[bool]]:
+    """All words, where each line with words ends, and whether a blank line (or none) stands before it."""
+    words, ends, opens, blank = [], [], [], True
     for line in raw.lower().split(b"\n"):
         own = line.split()
         if own:
             words += own
             ends.append(len(words))
-    return words, ends
+            opens.append(blank)
+        blank = not own
+    return words, ends, opens
+
+
+def _least_nearby(v: np.ndarray) -> np.ndarray:
+    """For each word, whether its pair with the word before has the least hash of all within REACH words; v: from the second word on."""
+    padded = np.full(len(v) + 1 + 2 * REACH, np.iinfo(np.uint64).max, dtype=np.uint64)
+    padded[REACH + 1 : REACH + 1 + len(v)] = v
+    own = padded[REACH : REACH + 1 + len(v)]
+    least = own < np.iinfo(np.uint64).max
+    for k in (*range(-REACH, 0), *range(1, REACH + 1)):
+        least &= own < padded[REACH + k : REACH + k + 1 + len(v)]
+    return least
 
 
 def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Units of whole texts: paragraphs with their band keys, and sentences."""
     hashes, powers = MarkedHashes(), Powers()
-    held: list[tuple[int, np.ndarray, list[int]]] = []
+    held: list[tuple[int, np.ndarray, list[int], list[bool]]] = []
     total = 0
     for b in batches:
         for doc_id, raw in zip(b["doc_id"].tolist(), b["raw"], strict=True):
-            words, ends = _lines(raw)
+            words, ends, opens = _lines(raw)
             if words:
-                held.append((doc_id, hashes(words), ends))
+                held.append((doc_id, hashes(words), ends, opens))
                 total += len(words)
             if total > _CHUNK:
                 yield _units_of(held, powers)
@@ -110,15 +126,21 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _units_of(held, powers)
 
 
-def _units_of(held: list[tuple[int, np.ndarray, list[int]]], powers: Powers) -> pd.DataFrame:
-    h = np.concatenate([x for _, x, _ in held])
-    sizes = np.array([len(x) for _, x, _ in held])
+def _units_of(held: list[tuple[int, np.ndarray, list[int], list[bool]]], powers: Powers) -> pd.DataFrame:
+    h = np.concatenate([x for _, x, _, _ in held])
+    sizes = np.array([len(x) for _, x, _, _ in held])
     base = np.cumsum(sizes) - sizes
-    line_end = np.concatenate([np.asarray(e) + o for (_, _, e), o in zip(held, base, strict=True)])
+    line_end = np.concatenate([np.asarray(e) + o for (_, _, e, _), o in zip(held, base, strict=True)])
     line_start = np.concatenate(([0], line_end[:-1]))
-    # paragraphs
-    long = line_end - line_start >= MIN_PARAGRAPH
-    ps, pe = line_start[long], line_end[long]
+    # paragraphs: long lines, and short ones together
+    few = line_end - line_start < MIN_PARAGRAPH
+    last = mix(h[line_end - 1] * _CUT[0] + h[line_start] * _CUT[1]) >> np.uint64(62) == 0
+    opens = np.concatenate([np.asarray(o) for _, _, _, o in held]) | ~few
+    opens[1:] |= ~few[:-1] | last[:-1]
+    at = np.flatnonzero(opens)
+    ps, pe, joined = line_start[at], line_end[np.append(at[1:], len(few)) - 1], few[at]
+    long = pe - ps >= MIN_PARAGRAPH
+    ps, pe, joined = ps[long], pe[long], joined[long]
     bands = np.empty((0, BANDS), dtype=np.uint64)
     if len(ps):
         sh = shingles(h)
@@ -134,9 +156,8 @@ def _units_of(held: list[tuple[int, np.ndarray, list[int]]], powers: Powers) ->
     ends_line[line_end] = True
     stop = np.flatnonzero(((h & np.uint64(1)) == 1) | ends_line[1:]) + 1
     length = np.diff(stop, prepend=0)
-    pair = np.ones(len(h), dtype=bool)
-    pair[1:] = (mix(h[:-1] * _CUT[0] + h[1:] * _CUT[1]) >> np.uint64(59)) != 0
-    cut = ~pair
+    cut = _least_nearby(mix(h[:-1] * _CUT[0] + h[1:] * _CUT[1]))
+    cut &= np.repeat(length, length) > LONG_SENTENCE  # the last word of h ends a line, so lengths cover all words
     cut[stop[length >= MIN_SENTENCE] - 1] = True
     cut[line_end - 1] = True
     se = np.flatnonzero(cut) + 1
@@ -145,13 +166,13 @@ def _units_of(held: list[tuple[int, np.ndarray, list[int]]], powers: Powers) ->
     whole[ps] = True
     keep = (se - ss >= MIN_UNIT) & ~(whole[ss] & ends_line[se] & (se - ss >= MIN_PARAGRAPH))
     ss, se = ss[keep], se[keep]
-    ids = np.array([i for i, _, _ in held], dtype=np.int64)
+    ids = np.array([i for i, _, _, _ in held], dtype=np.int64)
     parts = []
-    short = (line_end - line_start < MIN_PARAGRAPH)[np.searchsorted(line_end, ss, "right")]
-    for kind, s, e, few, bs in (("p", ps, pe, False, list(bands.view(np.int64))), ("s", ss, se, short, None)):
+    short = few[np.searchsorted(line_end, ss, "right")]
+    for kind, s, e, in_short, bs in (("p", ps, pe, joined, list(bands.view(np.int64))), ("s", ss, se, short, None)):
         if len(s):
             doc = np.searchsorted(base, s, "right") - 1
-            parts.append(pd.DataFrame({"kind": kind, "key": _sums(h, s, e, powers).view(np.int64), "doc_id": ids[doc], "start": (s - base[doc]).astype(np.int32), "n": (e - s).astype(np.int32), "short": few, "bands": bs}))
+            parts.append(pd.DataFrame({"kind": kind, "key": _sums(h, s, e, powers).view(np.int64), "doc_id": ids[doc], "start": (s - base[doc]).astype(np.int32), "n": (e - s).astype(np.int32), "short": in_short, "bands": bs}))
     return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("kind", "key", "doc_id", "start", "n", "short", "bands")})
 
 
@@ -201,51 +222,90 @@ def paragraph_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """
     banded = classes.select("key", F.explode("bands").alias("bucket"))
     buckets = cut_lineage(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("key").alias("a"), F.max("key").alias("b")).where("members > 1"))
-    several = banded.join(buckets.where("members > 2").select("bucket", "members"), "bucket")
+    several = banded.join(buckets.where("members > 2").select("bucket", "members", F.col("a").alias("pivot")), "bucket")
     some = several.where(F.col("members") <= BUCKET).select("bucket", "key")
     pairs = some.select("bucket", F.col("key").alias("a")).join(some.select("bucket", F.col("key").alias("b")), "bucket").where("a < b").select("a", "b")
     pairs = cut_lineage(pairs.union(buckets.where("members = 2 and a < b").select("a", "b")).distinct())
-    crowded = cut_lineage(several.where(F.col("members") > BUCKET).withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")))
+    crowded = cut_lineage(several.where(F.col("members") > BUCKET).select("bucket", "key", "pivot"))
     wanted = pairs.select("a").union(pairs.select("b")).union(crowded.select("key")).distinct().select(F.col("a").alias("key"))
     where = classes.select("key", "doc_id", "start", "n").join(wanted, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("wanted"))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", as_utf8(F.col("text")).alias("raw")).join(where, "doc_id")
     sets = cut_lineage(texts.select("raw", "wanted").mapInPandas(_sets, "key long, shingles array<long>").dropDuplicates(["key"]))
+    del texts, where, wanted
+    release(docs.sparkSession)
     left, right = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
+    close = pairs.join(left, "a").join(right, "b").where(_similarity() >= SIMILARITY).select("a", "b")
+    return cut_lineage(close.union(crowded_links(crowded, sets)))
+
+
+def _similarity():
+    """Jaccard similarity of the sets sa and sb."""
     shared = F.size(F.array_intersect("sa", "sb"))
-    close = pairs.join(left, "a").join(right, "b").where(shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.struct(F.least(F.col("tile"), u).alias("t"), F.greatest(F.col("tile"), u).alias("u")))
-    tiled = crowded.select("bucket", "key", F.explode(meets).alias("m")).select("bucket", "key", "m.*").join(sets, "key")
-    return close.union(tiled.groupBy("bucket", "t", "u").applyInPandas(lambda g: compare_bucket(g), "a long, b long"))
+    return shared / (F.size("sa") + F.size("sb") - shared)
+
+
+def crowded_links(crowded: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links in crowded buckets (bucket, key, pivot), that connect all their pairs of similarity 0.8 or more.
+
+    Every member is compared with its bucket's pivot first: one row a member. Members within 0.2 of the pivot (Jaccard
+    distance is a metric) are linked to it and need no comparison with each other, and none of them is near a member more
+    than 0.4 away. What remains, the others with each other and those from 0.2 to 0.4 away with the near ones, meets in
+    tiles: few where a bucket holds copies of one paragraph, all pairs of tiles at worst.
+    """
+    pivots = crowded.select(F.col("pivot").alias("key")).distinct().join(sets, "key").select(F.col("key").alias("pivot"), F.col("shingles").alias("sa"))
+    seen = crowded.join(sets.select("key", F.col("shingles").alias("sb")), "key").join(small_or_whole(cut_lineage(pivots), 1000), "pivot")
+    seen = cut_lineage(seen.select("bucket", "key", "pivot", _similarity().alias("like")))
+    zone = F.when(F.col("like") >= SIMILARITY, 0).when(F.col("like") >= 2 * SIMILARITY - 1 - 1e-9, 1).otherwise(2)
+    placed = seen.withColumn("zone", zone)
+    counts = placed.groupBy("bucket").agg(*[F.ceil(F.count_if(c) / TILE).cast("int").alias(n) for n, c in (("near", F.col("zone") == 0), ("ring", F.col("zone") == 1), ("rest", F.col("zone") > 0))])
+    placed = placed.join(small_or_whole(cut_lineage(counts), 10_000), "bucket")
+    tile = lambda n: F.pmod(F.xxhash64("key"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    every = lambda n, make: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)).otherwise(F.array())
+    meet = lambda kind, t, u: F.struct(F.lit(kind).alias("kind"), t.cast("int").alias("t"), u.cast("int").alias("u"))
+    among = every("rest", lambda u: meet(0, F.least(tile("rest"), u), F.greatest(tile("rest"), u)))
+    across = F.when(F.col("zone") == 0, every("ring", lambda u: meet(1, u, tile("near")))).when(F.col("zone") == 1, every("near", lambda u: meet(1, tile("ring"), u))).otherwise(F.array())
+    meets = F.concat(F.when(F.col("zone") > 0, among).otherwise(F.array()), across)
+    tiled = placed.select("bucket", "key", F.explode(meets).alias("m")).select("bucket", "key", "m.*").join(sets, "key")
+    star = seen.where((F.col("like") >= SIMILARITY) & (F.col("key") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("key").alias("b"))
+    return star.union(tiled.groupBy("bucket", "kind", "t", "u").applyInPandas(lambda g: compare_bucket(g), "a long, b long"))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, n_words, cluster, first_doc, removed): passages that other documents hold too.
 
-    Units of a text are its lines of 20 words or more (paragraphs) and its sentences. Paragraphs are near-duplicates
-    where their sets of five-word shingles have a Jaccard similarity of 0.8 or more: MinHash bands propose pairs,
-    exact sets verify them, components cluster them. A passage may also stand inside different paragraphs; there its
-    sentences, cut by content alone, repeat word for word. Repeated units that follow each other form a passage;
-    of 24 words or more in lines of 20 or more (or 40 in all) it is returned, with the smallest document that shares one of its units (first_doc) and a
-    cluster: that of its longest unit. It is removed from all documents but that one.
+    Units of a text are its paragraphs (lines of 20 words or more, and shorter lines together) and its sentences.
+    Paragraphs are near-duplicates where their sets of five-word shingles have a Jaccard similarity of 0.8 or more:
+    MinHash bands propose pairs, exact sets verify them, components cluster them. A passage may also stand inside
+    different paragraphs; there its sentences and parts of long ones, cut by content alone, repeat word for word. Repeated
+    units that follow each other form a passage; of 24 words or more in lines of 20 or more (or 40 in all) it is
+    returned, with the smallest document that shares one of its units (first_doc) and a cluster: that of its longest
+    unit. It is removed from all documents but that one.
 
     Word numbers count A-Z-lowered words split at ASCII white space, over the whole text. Null ids and texts are
     ignored; repeats within one document alone are no passage; rows with equal ids are one document; an empty table
     gives an empty result; further columns are ignored.
     """
-    found = stored(units(docs))
+    spark = docs.sparkSession
+    found, drop_units = stored_for_now(units(docs))
     spread = F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")
+    place = "doc_id", "start", "n", "short", "run", "cluster", "lo"
+    sentences = found.where("kind = 's'").select("key", "doc_id", "start", "n", "short")
+    same = cut_lineage(sentences.groupBy("key").agg(*spread).where("lo < hi").select("key", "lo"))
+    equal = cut_lineage(sentences.join(same, "key").withColumn("cluster", F.col("key")).withColumn("run", F.lit(False)).select(*place))
+    del same
+    release(spark)
     paragraphs = found.where("kind = 'p'")
-    classes = stored(paragraphs.groupBy("key").agg(*spread, F.first("bands").alias("bands"), F.min(F.struct("doc_id", "start", "n")).alias("at")).select("key", "lo", "hi", "bands", "at.*"))
-    comps = connected_components(paragraph_links(docs, classes), "a", "b")
+    classes, drop_classes = stored_for_now(paragraphs.groupBy("key").agg(*spread, F.first("bands").alias("bands"), F.min(F.struct("doc_id", "start", "n")).alias("at")).select("key", "lo", "hi", "bands", "at.*"))
+    links = paragraph_links(docs, classes)
+    release(spark)
+    comps = connected_components(links, "a", "b")
     placed = classes.select("key", "lo", "hi").join(comps, F.col("key") == F.col("node"), "left").select("key", "lo", "hi", F.coalesce("component", "key").alias("cluster"))
     shared = placed.groupBy("cluster").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("cluster", "lo")
     # written out, so that the joins below stand between plain exchanges, whose hot keys Spark can split
     groups = cut_lineage(placed.select("key", "cluster").join(shared, "cluster").select("key", "cluster", "lo"))
-    place = "doc_id", "start", "n", "short", "cluster", "lo"
-    near = paragraphs.select("key", "doc_id", "start", "n", "short").join(groups, "key").select(*place)
-    sentences = found.where("kind = 's'").select("key", "doc_id", "start", "n", "short")
-    same = cut_lineage(sentences.groupBy("key").agg(*spread).where("lo < hi").select("key", "lo"))
-    equal = sentences.join(same, "key").withColumn("cluster", F.col("key")).select(*place)
+    near = cut_lineage(paragraphs.select("key", "doc_id", "start", "n", "short", F.col("short").alias("run")).join(groups, "key").select(*place))
+    drop_units()
+    drop_classes()
     return passages(near.union(equal))
 
 
@@ -255,8 +315,12 @@ def passages(repeated: DataFrame) -> DataFrame:
     before = F.max(F.col("start") + F.col("n")).over(in_text.rowsBetween(Window.unboundedPreceding, -1))
     opens = (before.isNull() | (F.col("start") > before + GAP)).cast("int")
     islands = repeated.withColumn("opens", opens).withColumn("island", F.sum("opens").over(in_text.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.max(F.struct("n", "cluster")).alias("most"), F.min("lo").alias("first_doc"), F.sum(F.when(F.col("short"), F.col("n")).otherwise(0)).alias("in_short"))
+    words = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    joined = islands.groupBy("doc_id", "island").agg(
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.max(F.struct("n", "cluster")).alias("most"), F.min("lo").alias("first_doc"),
+        words(F.col("short") & ~F.col("run")).alias("in_short"), words(F.col("run")).alias("in_runs"),
+    )
     joined = joined.withColumn("n_words", F.col("end") - F.col("start"))
-    outside = F.col("n_words") - F.col("in_short")
-    joined = joined.where((outside >= MIN_PASSAGE) | ((F.col("n_words") >= MIN_MIXED) & (outside >= MIN_LONG)))
+    outside = F.col("n_words") - F.greatest("in_short", "in_runs")
+    joined = joined.where((outside >= MIN_PASSAGE) | ((F.col("n_words") >= MIN_MIXED) & (outside >= MIN_LONG)) | (F.col("in_runs") >= MIN_MIXED))
     return joined.select("doc_id", "start", "end", "n_words", F.col("most.cluster").alias("cluster"), "first_doc", (F.col("first_doc") < F.col("doc_id")).alias("removed"))
