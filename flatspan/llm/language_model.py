@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flatspan.llm.common import WordHashes, as_utf8, fold, mix, odd_constants, words_of
+from flatspan.llm.common import WordHashes, as_utf8, fold, mix, odd_constants, release, words_of
 
 FOLDS, HELD = 7, 2
 #: Key of the end token; no word holds white space, so none shares its bytes. It also stands before a text.
@@ -225,6 +225,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     size, texts = rows.agg(F.coalesce(F.sum(F.octet_length("raw") + 1), F.lit(0)), F.count_if(~F.col("held_out"))).first()
     parts, blocks = Parts.for_bytes(size), max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES))
     root = Root(*words_in_all(rows.where(~F.col("held_out")).select("raw"), parts))
+    release(docs.sparkSession)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "raw", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
 
     def ask(b: pd.DataFrame) -> pd.DataFrame:
