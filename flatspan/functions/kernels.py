@@ -32,10 +32,10 @@ def residuals(x: np.ndarray, bases: np.ndarray) -> np.ndarray:
 
 
 def owl_weights(dim: int, max_val: float, max_off: int, min_val: float, min_off: int) -> np.ndarray:
-    """max_val up to max_off, a straight line to min_val at min_off, and min_val from there."""
+    """max_val up to and with max_off, then a straight line to min_val at min_off, and min_val from there (equal offsets: a step)."""
     place = np.arange(dim)
     ramp = max_val + (min_val - max_val) * (place - max_off) / max(min_off - max_off, 1)
-    return np.where(place <= max_off, max_val, np.where(place >= min_off, min_val, ramp)) if max_off < min_off else np.full(dim, float(max_val))
+    return np.where(place <= max_off, max_val, np.where(place >= min_off, min_val, ramp)).astype(float)
 
 
 def non_increasing(y: np.ndarray) -> np.ndarray:
@@ -80,26 +80,10 @@ def fista(gram: np.ndarray, xty: np.ndarray, yty: float, n: int, weights: np.nda
     return old, history
 
 
-def omp(x: np.ndarray, at: int, target: np.ndarray, level: int, thresh: float) -> tuple[list[int], np.ndarray]:
-    """Orthogonal matching pursuit of one point on the other rows of x: (atoms, coefficients).
-
-    at: the point's own row, which is no atom (-1: it isn't among them). Atoms are chosen by their raw inner
-    product with the residual of the normalised point, the lowest row on ties; coefficients fit the raw point.
-    """
-    unit = target / (np.linalg.norm(target) + EPS)
-    left, chosen = unit, []
-    for k in range(level):
-        score = np.abs(x @ left)
-        if at >= 0:
-            score[at] = -1
-        chosen.append(int(score.argmax()))
-        if k + 1 < level:
-            atoms = x[chosen]
-            b = (atoms / (np.linalg.norm(atoms, axis=1, keepdims=True) + EPS)).T
-            left = unit - b @ np.linalg.lstsq(b, unit, rcond=None)[0]
-            if left @ left < thresh:
-                break
-    return chosen, np.linalg.lstsq(x[chosen].T, target, rcond=None)[0]
+def left_over(unit: np.ndarray, atoms: np.ndarray) -> np.ndarray:
+    """What the normalised atoms (rows) leave of a normalised point, by least squares."""
+    b = (atoms / (np.linalg.norm(atoms, axis=1, keepdims=True) + EPS)).T
+    return unit - b @ np.linalg.lstsq(b, unit, rcond=None)[0]
 
 
 class AdmmProblem:
@@ -107,18 +91,17 @@ class AdmmProblem:
 
     With outliers, the dictionary is the points and a scaled identity. The affine variant adds the constraint
     that coefficients sum to 1. The linear system's inverse is applied through a matrix of the dimensions' size
-    (Woodbury), so no matrix of the points' number squared is ever made.
+    (Woodbury), and low, the smallest over points of the largest |inner product| with another entry of the dictionary,
+    is given, so no matrix of the points' number squared is ever made.
     """
 
-    def __init__(self, x: np.ndarray, alpha: float, affine: bool, outliers: bool):
+    def __init__(self, x: np.ndarray, alpha: float, affine: bool, outliers: bool, low: float):
         y = x.T
         self.d, self.n = y.shape
         self.affine, self.outliers = affine, outliers
         self.gamma = alpha / np.abs(y).sum(axis=0).max() if outliers else 0.0
         self.p = np.hstack([y, np.eye(self.d) / self.gamma]) if outliers else y
-        corr = np.abs(self.p.T @ y)
-        corr[np.arange(self.n), np.arange(self.n)] = 0
-        self.mu1, self.mu2 = alpha / corr.max(axis=0).min(), alpha
+        self.mu1, self.mu2 = alpha / low, alpha
         self.y = y
         self.ones = np.concatenate([np.ones(self.n), np.zeros(self.p.shape[1] - self.n)])
         big = np.vstack([self.p, np.sqrt(self.mu2 / self.mu1) * self.ones]) if affine else self.p

@@ -9,14 +9,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flatspan.frame import check_broadcast, width_of
 from flatspan.functions.kernels import orthonormal, residuals, top_eigenvectors
 from flatspan.functions.vectors import dot, literal_vector
+from flatspan.operators.pairing import against, packed
 from flatspan.operators.spectral import spectral_labels
 from flatspan.params import EnsembleParams, KSubspacesParams
+from flatspan.runtime import cut_lineage
 
 #: Steps after which the alternation stops with a warning where no limit is given.
 SAFETY_CAP = 1000
@@ -65,19 +68,55 @@ def scatter(df: DataFrame) -> DataFrame:
     return df.select("cluster", "features").mapInPandas(run, "cluster int, i int, j int, value double").groupBy("cluster", "i", "j").agg(F.sum("value").alias("value"))
 
 
-def update_bases(assigned: DataFrame, k: int, dim: int, width: int) -> np.ndarray:
-    """Leading eigenvectors of each cluster's scatter; the eigenproblems run in parallel, a group a cluster of bounded size."""
+#: Task sums of a cluster's scatter meet in so many groups before they meet in one.
+SALTS = 32
 
-    def top(g: pd.DataFrame) -> pd.DataFrame:
-        s = np.zeros((width, width))
-        s[g["i"], g["j"]] = g["value"]
-        s[g["j"], g["i"]] = g["value"]
-        return pd.DataFrame({"cluster": [g["cluster"].iloc[0]], "basis": [top_eigenvectors(s, dim).ravel()]})
 
-    bases = np.stack([np.eye(width)[:, :dim]] * k)  # an empty cluster's zero scatter has these
-    for r in scatter(assigned).groupBy("cluster").applyInPandas(top, "cluster int, basis array<double>").collect():
-        bases[r["cluster"]] = np.array(r["basis"]).reshape(width, dim)
-    return bases
+def step(df: DataFrame, bases: dict[int, np.ndarray], before: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], dict[int, int], dict[int, float]]:
+    """One alternation of several runs in one pass: (next bases, labels that differ from those of ``before``, sum of squared residuals).
+
+    Each task sums the scatter of its own rows by run and cluster and sends one packed matrix each; sums meet by salted
+    groups, then by cluster, where the eigenproblem is solved. Only bases reach the driver.
+    """
+    sent = df.sparkSession.sparkContext.broadcast((bases, before))
+    some = next(iter(bases.values()))
+    k, width, dim = some.shape
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        new, old = sent.value
+        total = {r: np.zeros((k, width, width)) for r in new}
+        changed, cost = dict.fromkeys(new, 0), dict.fromkeys(new, 0.0)
+        for b in batches:
+            x = _stack(b)
+            for r, own in new.items() if len(b) else ():
+                res = residuals(x, own)
+                label = res.argmin(axis=1)
+                cost[r] += float((res.min(axis=1) ** 2).sum())
+                changed[r] += int((label != residuals(x, old[r]).argmin(axis=1)).sum()) if r in old else len(x)
+                for c in np.unique(label):
+                    total[r][c] += x[label == c].T @ x[label == c]
+        salt = TaskContext.get().partitionId() % SALTS  # the same when a lost task runs again
+        yield pd.DataFrame([(r, c, salt, total[r][c].tobytes(), changed[r] if c == 0 else 0, cost[r] if c == 0 else 0.0) for r in new for c in range(k) if c == 0 or total[r][c].any()], columns=["run", "cluster", "salt", "sum", "changed", "cost"])
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(s) for s in g["sum"])
+        return pd.DataFrame({"run": [g["run"].iloc[0]], "cluster": [g["cluster"].iloc[0]], "sum": [total.tobytes()], "changed": [g["changed"].sum()], "cost": [g["cost"].sum()]})
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        m = meet(g)
+        scatter = np.frombuffer(m["sum"].iloc[0]).reshape(width, width)
+        return m.assign(sum=[np.ascontiguousarray(top_eigenvectors(scatter, dim)).tobytes()])
+
+    rows = df.select("features").mapInPandas(sums, "run int, cluster int, salt int, sum binary, changed long, cost double")
+    out = "run int, cluster int, sum binary, changed long, cost double"
+    rows = rows.groupBy("run", "cluster", "salt").applyInPandas(meet, out).groupBy("run", "cluster").applyInPandas(solve, out)
+    found = {r: np.stack([np.eye(width)[:, :dim]] * k) for r in bases}  # an empty cluster's zero scatter has these
+    changed, cost = dict.fromkeys(bases, 0), dict.fromkeys(bases, 0.0)
+    for r in rows.collect():
+        found[r["run"]][r["cluster"]] = np.frombuffer(r["sum"]).reshape(width, dim)
+        changed[r["run"]] += r["changed"]
+        cost[r["run"]] += r["cost"]
+    return found, changed, cost
 
 
 @dataclass
@@ -132,9 +171,9 @@ class KSubspaces:
     def fit(self, df: DataFrame, iterations: int | None = None) -> KSubspacesModel:
         """Until no label changes, or for so many steps. df: (id, features).
 
-        A step is one pass over the vectors: labels and the partial scatter sums are made together, and only
-        clusters x cells sums are shuffled. The labels of two steps are compared without storing either: the
-        previous bases give the previous labels again in the same pass.
+        A step is one pass over the vectors: labels and the partial scatter sums are made together, and only packed
+        sums by cluster are shuffled. The labels of two steps are compared without storing either: the previous
+        bases give the previous labels again in the same pass.
         """
         if iterations is not None and iterations < 1:
             raise ValueError("iterations must be 1 or more")
@@ -143,78 +182,55 @@ class KSubspaces:
             raise ValueError("dim_subspaces is above the number of features")
         rng = np.random.RandomState(p.random_seed)
         bases = self.init if self.init is not None else np.stack([orthonormal(rng, width, p.dim_subspaces) for _ in range(p.n_clusters)])
-        df, objective, done = df.persist(), [], 0
+        df, objective, done, before = df.persist(), [], 0, {}
         try:
-            for done in range(1, (iterations or SAFETY_CAP) + 1):
-                new = update_bases(_labelled(df, bases), p.n_clusters, p.dim_subspaces, width)
-                changed, cost = _changes(df, bases, new)
-                bases = new
-                objective.append(cost)
-                if not changed:
+            while True:
+                new, changed, cost = step(df, {0: bases}, before)
+                if before:
+                    objective.append(cost[0])
+                if (before and not changed[0]) or done == (iterations or SAFETY_CAP):
                     break
-            else:
-                if iterations is None:
-                    warnings.warn(f"labels still changed after {SAFETY_CAP} steps", stacklevel=2)
+                before, bases = {0: bases}, new[0]
+                done += 1
+            if changed[0] and iterations is None:
+                warnings.warn(f"labels still changed after {SAFETY_CAP} steps", stacklevel=2)
         finally:
             df.unpersist()
         return KSubspacesModel(p, bases, done, tuple(objective))
 
 
-def _labelled(df: DataFrame, bases: np.ndarray) -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast(bases)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({"cluster": residuals(_stack(b), sent.value).argmin(axis=1).astype(np.int32), "features": b["features"]})
-
-    return df.select("features").mapInPandas(run, "cluster int, features array<double>")
-
-
-def _changes(df: DataFrame, old: np.ndarray, new: np.ndarray) -> tuple[int, float]:
-    """(labels that differ, sum of squared residuals by the new bases)."""
-    sent = df.sparkSession.sparkContext.broadcast((old, new))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                x = _stack(b)
-                before, after = residuals(x, sent.value[0]), residuals(x, sent.value[1])
-                yield pd.DataFrame({"changed": [int((before.argmin(axis=1) != after.argmin(axis=1)).sum())], "cost": [float((after.min(axis=1) ** 2).sum())]})
-
-    r = df.select("features").mapInPandas(run, "changed long, cost double").agg(F.sum("changed"), F.sum("cost")).first()
-    return r[0] or 0, r[1] or 0.0
-
-
 def base_labels(df: DataFrame, params: EnsembleParams, iterations: int = 100) -> DataFrame:
     """(id, labels): each row's label in every base clustering, by number.
 
-    Runs are spread over the cluster, each in one task, with the vectors broadcast (their size is checked). Every
-    run has its own seed, drawn in order from the ensemble's.
+    All runs take each step in the same pass over the vectors; a run leaves when its labels stay as they are. Every run
+    has its own seed, drawn in order from the ensemble's. What the driver and a task hold is runs x clusters bases.
     """
-    width, n = width_of(df), df.count()
-    check_broadcast(n, width, "ensemble vectors")
-    rows = df.select("id", "features").orderBy("id").toPandas()
-    sent = df.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), np.vstack(rows["features"].to_list())))
+    width = width_of(df)
     seeds = np.random.RandomState(params.random_seed).randint(0, 2**32 - 1, params.n_base, dtype=np.uint32).tolist()
-    k, dim = params.n_clusters, params.dim_subspaces
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x = sent.value
-        for b in batches:
-            for r, seed in zip(b["run"], b["seed"], strict=True):
-                rng = np.random.RandomState(seed)
-                bases = np.stack([orthonormal(rng, x.shape[1], dim) for _ in range(k)])
-                labels = residuals(x, bases).argmin(axis=1)
-                for _ in range(iterations):
-                    bases = np.stack([top_eigenvectors(x[labels == c].T @ x[labels == c], dim) for c in range(k)])
-                    labels, old = residuals(x, bases).argmin(axis=1), labels
-                    if (labels == old).all():
-                        break
-                yield pd.DataFrame({"run": r, "id": ids, "cluster": labels.astype(np.int32)})
-
-    runs = df.sparkSession.createDataFrame(list(enumerate(seeds)), "run int, seed long").repartition(params.n_base, "run")
-    return gather_labels(runs.mapInPandas(run, "run int, id long, cluster int"))
+    bases = {}
+    for r, seed in enumerate(seeds):
+        rng = np.random.RandomState(seed)
+        bases[r] = np.stack([orthonormal(rng, width, params.dim_subspaces) for _ in range(params.n_clusters)])
+    df, live, before = df.select("id", "features").persist(), set(bases), {}
+    try:
+        for k in range(iterations + 1):
+            new, changed, _ = step(df, {r: bases[r] for r in live}, before)
+            live = {r for r in live if changed[r]}
+            if not live or k == iterations:
+                break
+            before = {r: bases[r] for r in live}
+            bases |= {r: new[r] for r in live}
+        sent = df.sparkSession.sparkContext.broadcast([bases[r] for r in range(len(bases))])
+
+        def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    x = _stack(b)
+                    yield pd.DataFrame({"id": b["id"], "labels": list(np.stack([residuals(x, own).argmin(axis=1) for own in sent.value], axis=1).astype(np.int32))})
+
+        return cut_lineage(df.mapInPandas(label, "id long, labels array<int>"))
+    finally:
+        df.unpersist()
 
 
 def gather_labels(labels: DataFrame) -> DataFrame:
@@ -225,28 +241,21 @@ def gather_labels(labels: DataFrame) -> DataFrame:
 def coassociation(gathered: DataFrame, queries: Column | str | None = None) -> DataFrame:
     """(i, j, value): the share of base clusterings in which i and j agree, where it isn't 0; 1 for i = j.
 
-    Rows i (all, or a stated query set) are compared block by block with the broadcast label matrix, whose size is
-    checked; no pairs are shuffled.
+    Rows i (all, or a stated query set) are compared with all rows in packed blocks of labels. For all rows the result is
+    the whole affinity: as many entries as pairs that ever agree.
     """
-    n = gathered.count()
-    first = gathered.first()
-    if first is None:
-        return gathered.sparkSession.createDataFrame([], "i long, j long, value double")
-    check_broadcast(n, max(1, len(first["labels"]) // 2), "co-association labels")
-    rows = gathered.orderBy("id").toPandas()
-    sent = gathered.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), np.vstack(rows["labels"].to_list()).astype(np.int32)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, all_labels = sent.value
-        for b in batches:
-            for i, own in zip(b["id"], b["labels"], strict=True):
-                share = (all_labels == np.asarray(own)).mean(axis=1)
-                share[ids == i] = 1.0
-                at = np.flatnonzero(share)
-                yield pd.DataFrame({"i": i, "j": ids[at], "value": share[at]})
+    def compare(ids: np.ndarray, own: np.ndarray, others: np.ndarray, theirs: np.ndarray) -> pd.DataFrame:
+        out = []
+        for i, labels in zip(ids, own, strict=True):
+            share = (theirs == labels).mean(axis=1)
+            share[others == i] = 1.0
+            at = np.flatnonzero(share)
+            out.append(pd.DataFrame({"i": i, "j": others[at], "value": share[at]}))
+        return pd.concat(out)
 
     asked = gathered.where(queries) if queries is not None else gathered
-    return asked.mapInPandas(run, "i long, j long, value double")
+    return against(packed(asked, "labels", "i4", 1024), packed(gathered, "labels", "i4", 1024), compare, "i long, j long, value double", "i4")
 
 
 def trim_rows(affinity: DataFrame, n: int, thresh: int, mode: str = "drop_smallest") -> DataFrame:

@@ -1,6 +1,7 @@
 """Sparse subspace clustering: coefficients by ADMM, by convex programs and by orthogonal matching pursuit.
 
-Every point is expressed by few others. Given the points, these problems are independent, so the points (the
+Every point is expressed by few others. Correlations and matching pursuit compare packed blocks of points, at any size.
+An ADMM or convex problem has a variable for every other point, so its task needs all of them: there the points (the
 atoms) are broadcast, after a check of their size, and the problems are spread over the cluster.
 """
 
@@ -15,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flatspan.frame import check_broadcast, width_of
-from flatspan.functions.kernels import AdmmProblem, convex_point, omp
+from flatspan.functions.kernels import EPS, AdmmProblem, convex_point, left_over
+from flatspan.operators.pairing import packed, top_partners
 from flatspan.operators.spectral import adjacency, distance, plain_affinity, spectral_labels
 from flatspan.params import SscAdmmParams, SscConvexParams, SscOmpParams
+from flatspan.runtime import cut_lineage
 
 COEFFICIENTS = "row_id long, col_id long, coef double"
 #: Points of one ADMM block.
@@ -38,21 +41,7 @@ def _points(df: DataFrame, queries: Column | None) -> DataFrame:
 
 def gram_top(df: DataFrame, k: int, queries: Column | str | None = None) -> DataFrame:
     """(id, rank, other, score): for each query row the k others with the largest |inner product|, smallest id on ties."""
-    sent, _, _ = atoms(df)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x = sent.value
-        for b in batches:
-            if not len(b):
-                continue
-            score = np.abs(np.vstack(b["features"].to_list()) @ x.T)
-            score[b["id"].to_numpy()[:, None] == ids[None, :]] = -1
-            for i, row in zip(b["id"], score, strict=True):
-                top = np.argsort(-row, kind="stable")[:k]
-                top = top[row[top] >= 0]
-                yield pd.DataFrame({"id": i, "rank": np.arange(1, len(top) + 1, dtype=np.int32), "other": ids[top], "score": row[top]})
-
-    return _points(df, queries).mapInPandas(run, "id long, rank int, other long, score double")
+    return top_partners(_points(df, queries), packed(df, "features"), k)
 
 
 def penalty_scale(df: DataFrame) -> float:
@@ -72,19 +61,60 @@ def outlier_scale(df: DataFrame) -> float:
 
 
 def omp_coefficients(df: DataFrame, level: int, thresh: float, queries: Column | str | None = None) -> DataFrame:
-    """(row_id, col_id, coef): each point (col_id) by at most ``level`` others (row_id); duplicates of an atom are summed."""
-    sent, _, _ = atoms(df)
+    """(row_id, col_id, coef): each point (col_id) by at most ``level`` others (row_id); duplicates of an atom are summed.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x = sent.value
+    A step is one comparison of packed blocks: atoms are chosen by their raw inner product with what is left of the
+    normalised point, the lowest id on ties, and joined to their points. A point whose rest is below thresh takes no
+    further atom. Coefficients fit the raw points.
+    """
+    level, atom_blocks = min(level, df.count() - 1), packed(df, "features")
+    own = df.select(F.col("id").alias("other"), F.col("features").alias("atom"))
+    state = _points(df, queries).select("id", "features", F.expr("cast(array() as array<long>)").alias("chosen"), F.expr("cast(array() as array<array<double>>)").alias("atoms"), F.lit(None).cast("array<double>").alias("rest"))
+    state = cut_lineage(_rests(state, thresh))
+    for k in range(level):
+        best = top_partners(state.where("rest is not null").select("id", F.col("rest").alias("features")), atom_blocks, 1).select("id", "other")
+        found = state.join(best, "id", "left").join(own, "other", "left")
+        grown = F.col("other").isNotNull()
+        found = found.select("id", "features", F.when(grown, F.concat("chosen", F.array("other"))).otherwise(F.col("chosen")).alias("chosen"), F.when(grown, F.concat("atoms", F.array("atom"))).otherwise(F.col("atoms")).alias("atoms"), F.when(grown, F.col("rest")).alias("rest"))
+        state = cut_lineage(_rests(found, thresh) if k + 1 < level else found)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i, f in zip(b["id"], b["features"], strict=True):
-                at = int(np.searchsorted(ids, i))
-                chosen, coef = omp(x, at, np.asarray(f, dtype=float), min(level, len(ids) - 1), thresh)
-                found = pd.DataFrame({"row_id": ids[chosen], "col_id": i, "coef": coef})
-                yield found.groupby(["row_id", "col_id"], as_index=False).sum()
+            for i, x, chosen, atoms in zip(b["id"], b["features"], b["chosen"], b["atoms"], strict=True):
+                if len(chosen):
+                    coef = np.linalg.lstsq(np.vstack(list(atoms)).T, np.asarray(x, dtype=float), rcond=None)[0]
+                    yield pd.DataFrame({"row_id": chosen, "col_id": i, "coef": coef}).groupby(["row_id", "col_id"], as_index=False).sum()
+
+    return state.select("id", "features", "chosen", "atoms").mapInPandas(solve, COEFFICIENTS)
+
 
-    return _points(df, queries).mapInPandas(run, COEFFICIENTS)
+def _rests(state: DataFrame, thresh: float) -> DataFrame:
+    """state with what the chosen atoms leave of each point; null where that is below thresh, or was already."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for x, atoms, before in zip(b["features"], b["atoms"], b["rest"], strict=True):
+                x = np.asarray(x, dtype=float)
+                unit, last = x / (np.linalg.norm(x) + EPS), None
+                if not len(atoms):
+                    last = unit
+                elif before is not None:
+                    last = left_over(unit, np.vstack(list(atoms)))
+                    last = None if last @ last < thresh else last
+                out.append(last)
+            yield b.assign(rest=pd.Series(out, index=b.index, dtype=object))
+
+    return state.mapInPandas(run, "id long, features array<double>, chosen array<long>, atoms array<array<double>>, rest array<double>")
+
+
+def admm_scale(df: DataFrame, alpha: float, outliers: bool) -> float:
+    """Smallest over points of the largest |inner product| with another point or, with outliers, a scaled unit vector."""
+    best = gram_top(df, 1).select("id", "score")
+    if outliers:
+        gamma = alpha / largest_l1(df)
+        best = best.join(df.select("id", (F.array_max(F.transform("features", F.abs)) / gamma).alias("unit")), "id").select(F.greatest("score", "unit").alias("score"))
+    return best.agg(F.min("score")).first()[0]
 
 
 def admm_coefficients(df: DataFrame, params: SscAdmmParams, iterations: int = 200, stop: str = "global") -> DataFrame:
@@ -97,7 +127,7 @@ def admm_coefficients(df: DataFrame, params: SscAdmmParams, iterations: int = 20
     sent, n, width = atoms(df)
     alpha = params.alpha if params.alpha != -1 else (20 if params.use_outliers else 800)
     steps, eps = max(iterations if iterations >= 5 else 200, 2) - 1, params.epsilon
-    args = (float(alpha), params.use_affine, params.use_outliers)
+    args = (float(alpha), params.use_affine, params.use_outliers, admm_scale(df, alpha, params.use_outliers))
     blocks = df.select("id").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // BLOCK)))).cast("int"))
 
     def errors(g: pd.DataFrame) -> pd.DataFrame:

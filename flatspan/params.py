@@ -96,5 +96,3 @@ class OwlParams(Params):
         super().__post_init__()
         if self.weight_max_off > self.weight_min_off or self.weight_max_val < self.weight_min_val:
             raise ValueError("weights must not rise: max_off <= min_off and max_val >= min_val")
-        if self.weight_max_off == self.weight_min_off and self.weight_max_val != self.weight_min_val:
-            raise ValueError("equal offsets need equal values")

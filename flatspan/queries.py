@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
+from uuid import uuid4
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flatspan.frame import vectors
 from flatspan.functions.kernels import owl_weights, prox_owl
-from flatspan.functions.tracking import TrackerOptions
+from flatspan.functions.tracking import TrackerOptions, TrackerState
 from flatspan.functions.vectors import dot, literal_vector, normalize, norm2, rounded, soft_threshold, step_sigmoid
 from flatspan.operators import ksubspaces as ks
 from flatspan.operators import regression, sparse_subspace, spectral, tabular, tracking
@@ -151,6 +151,38 @@ def ksub_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ks.KSubspaces(n_clusters=10, dim_subspaces=2).fit(df, iterations=5).transform(df)
 
 
+#: Squarings of a scatter matrix until nothing but its leading direction is left.
+_SQUARINGS = 16
+
+
+def _leading_sql(labels: str, name: str) -> str:
+    """SQL of the projectors on the leading direction of each cluster's scatter: the matrix squared again and again, scaled to trace 1."""
+    at = f"{name}_0"
+    out = (
+        f"{name}_s AS (SELECT a.cluster AS c, e.x, unnest(generate_series(1, len(e.x))) AS i FROM {labels} AS a JOIN e ON e.id = a.id), "
+        f"{name}_r AS (SELECT c, i, x, unnest(generate_series(1, len(x))) AS j FROM {name}_s), "
+        f"{name}_m AS (SELECT c, i, j, sum(x[i] * x[j]) AS v FROM {name}_r GROUP BY c, i, j), "
+        f"{at} AS (SELECT c, i, j, v / sum(CASE WHEN i = j THEN v END) OVER (PARTITION BY c) AS v FROM {name}_m)"
+    )
+    for k in range(_SQUARINGS):
+        square = f"SELECT a.c, a.i, b.j, sum(a.v * b.v) AS v FROM {name}_{k} AS a JOIN {name}_{k} AS b ON a.c = b.c AND a.j = b.i GROUP BY a.c, a.i, b.j"
+        out += f", {name}_{k + 1} AS MATERIALIZED (SELECT c, i, j, v / sum(CASE WHEN i = j THEN v END) OVER (PARTITION BY c) AS v FROM ({square}))"
+    return out + f", {name} AS (SELECT c, i, list(v ORDER BY j) AS row FROM {name}_{_SQUARINGS} GROUP BY c, i)"
+
+
+def _nearest_sql(projectors: str, name: str) -> str:
+    """SQL of labels by projectors, the lowest cluster on ties."""
+    inside = f"SELECT e.id, p.c, list_dot_product(any_value(e.x), any_value(e.x)) - sum(e.x[p.i] * list_dot_product(e.x, p.row)) AS r2 FROM e, {projectors} AS p GROUP BY e.id, p.c"
+    return f"{name} AS (SELECT id, CAST(arg_min(c, (greatest(r2, 0.0), c)) AS INTEGER) AS cluster FROM ({inside}) GROUP BY id)"
+
+
+@query(f"WITH {E}, {_assign_sql(name='a0')}, {_leading_sql('a0', 'p')}, {_nearest_sql('p', 'a1')}, {_leading_sql('a1', 'q')}, {_nearest_sql('q', 'a2')} SELECT id, cluster FROM a2")
+def ksub_fit_two_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit from fixed lines: two rounds of assignment and leading eigenvectors, then the labels."""
+    df = embedded(spark, sf_dir)
+    return ks.KSubspaces(init=row_bases(df, 0), n_clusters=5, dim_subspaces=1).fit(df, iterations=2).transform(df)
+
+
 # --- ensemble
 
 _RUNS = (0, 5, 10, 15)
@@ -179,6 +211,20 @@ def ensemble_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ks.trim_rows(ks.coassociation(found, ASKED), found.count(), 300)
 
 
+_ALL = _COASSOC.replace("q.id % 100 = 0", "true")
+
+
+@query(
+    f"{_ALL}, r AS (SELECT i, j, value FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY value, j) AS k FROM w) WHERE k > 300 AND value > 0) "
+    f"SELECT id, {R6.format('sum(v) / 2')} AS degree, count(DISTINCT j) AS n FROM (SELECT i AS id, j, value AS v FROM r UNION ALL SELECT j, i, value FROM r) GROUP BY id"
+)
+def ensemble_trim_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row sums of the whole affinity after its rows and columns are trimmed."""
+    found = fixed_ensemble(spark, sf_dir)
+    w = ks.trim(ks.coassociation(found), found.count(), 300)
+    return w.groupBy(F.col("i").alias("id")).agg(rounded(F.sum("value")).alias("degree"), F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def eksub_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ks.EnsembleKSubspaces(n_clusters=10, dim_subspaces=2).transform(embedded(spark, sf_dir))
@@ -209,6 +255,12 @@ def omp_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.plain_affinity(sparse_subspace.omp_coefficients(embedded(spark, sf_dir), 2, 1e-6)).withColumn("value", rounded(F.col("value")))
 
 
+@query(f"WITH {E}, {_FIRST}, {_UNIT}, {_SECOND}, {_COEF} SELECT i, j, {R6.format('1 - sum(v)')} AS value FROM (SELECT row_id AS i, col_id AS j, abs(coef) AS v FROM k UNION ALL SELECT col_id, row_id, abs(coef) FROM k) GROUP BY i, j")
+def omp_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spectral.distance(spectral.plain_affinity(sparse_subspace.omp_coefficients(embedded(spark, sf_dir), 2, 1e-6)))
+    return found.withColumn("value", rounded(F.col("value")))
+
+
 _BEST = "m AS (SELECT a.id, max(abs(list_dot_product(a.x, b.x))) AS score FROM e AS a JOIN e AS b ON a.id <> b.id GROUP BY a.id)"
 _L1 = "s AS (SELECT id, list_sum(list_transform(x, lambda v: abs(v))) AS n FROM e)"
 
@@ -335,6 +387,25 @@ def owl_ols_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(rounded(F.lit(float(model.coef[0])), 4).alias("slope"), rounded(F.lit(model.intercept), 4).alias("intercept"))
 
 
+_PAIR = "p AS (SELECT l_quantity AS a, l_discount AS b, l_extendedprice / 1000 + l_quantity + 100 * l_discount AS y FROM lineitem)"
+_PAIR += ", m AS (SELECT avg(a) AS a, avg(b) AS b, avg(y) AS y, count(*) AS n FROM p)"
+_PAIR += ", g AS (SELECT sqrt(sum((p.a - m.a) ** 2)) AS sa, sqrt(sum((p.b - m.b) ** 2)) AS sb, sum((p.a - m.a) * (p.b - m.b)) AS ab, sum((p.a - m.a) * (p.y - m.y)) AS ay, sum((p.b - m.b) * (p.y - m.y)) AS b_y, any_value(m.n) / 2.0 AS k FROM p, m)"
+_PAIR += ", h AS (SELECT sa, sb, k, ab / (sa * sb) AS g, ay / sa AS c1, b_y / sb AS c2 FROM g), f AS (SELECT *, c1 - k * 0.002 * sign(c1) AS d1 FROM h)"
+_PAIR += ", t AS (SELECT *, sign(c2 - g * d1) * greatest(abs(c2 - g * d1) - k * 0.001, 0.0) / (1 - g * g) AS b2 FROM f)"
+
+
+@query(f"WITH {_PAIR} SELECT floor((d1 - g * b2) / sa * 1e5 + 0.5) / 1e5 AS quantity, floor(b2 / sb * 1e3 + 0.5) / 1e3 AS discount FROM t")
+def owl_fit_two_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit with falling weights, where the first coefficient is the larger: its optimum has a closed form."""
+    t = read_table(spark, sf_dir, "lineitem")
+    label = F.col("l_extendedprice") / 1000 + F.col("l_quantity") + 100 * F.col("l_discount")
+    df = t.select(F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double")).alias("features"), label.alias("label"))
+    n = df.count()
+    model = regression.OwlRegression(normalize=True, learning_rate=0.2 * n, tol=1e-14, weight_max_val=0.002, weight_min_val=0.001, weight_min_off=1).fit(df, iterations=5000)
+    one = df.agg(F.count(F.lit(1)).alias("n"))
+    return one.select(rounded(F.lit(float(model.coef[0])), 5).alias("quantity"), rounded(F.lit(float(model.coef[1])), 3).alias("discount"))
+
+
 @query()
 def owl_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = lines(spark, sf_dir)
@@ -388,8 +459,28 @@ def split_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- tracking and pipelines
 
 
-def _tracked(df: DataFrame) -> DataFrame:
-    return df.select("id", rounded(norm2(F.col("low_rank")), 4).alias("low_rank_norm"), rounded(norm2(F.col("sparse")), 4).alias("sparse_norm"))
+def _tracked(df: DataFrame, *more: Column) -> DataFrame:
+    return df.select("id", *more, rounded(norm2(F.col("low_rank")), 4).alias("low_rank_norm"), rounded(norm2(F.col("sparse")), 4).alias("sparse_norm"))
+
+
+_FROM_STATE = "d AS (SELECT list_transform(list_zip(a.x, b.x), lambda p: p[1] + p[2]) AS v FROM e AS a, e AS b WHERE a.id = 0 AND b.id = 1), u AS (SELECT list_transform(v, lambda c: c / sqrt(list_dot_product(v, v))) AS u FROM d)"
+_FROM_STATE += ", r AS (SELECT id, 0 AS k, x, u, list_transform(x, lambda c: 0.0::DOUBLE) AS s, list_transform(x, lambda c: 0.0::DOUBLE) AS y, 1.8::DOUBLE AS mu, 0.0::DOUBLE AS w, list_transform(x, lambda c: 0.0::DOUBLE) AS h, 1.0::DOUBLE AS size FROM e, u"
+_FROM_STATE += " UNION ALL SELECT id, k + 1, x, u, s2, list_transform(list_zip(y, h2), lambda p: p[1] + mu * p[2]), mu * 1.8, w2, h2, sqrt(list_dot_product(h2, h2)) FROM ("
+_FROM_STATE += "SELECT *, list_transform(list_zip(fit, s2), lambda p: p[1] - p[2]) AS h2 FROM (SELECT *, list_transform(list_zip(fit, y), lambda p: sign(p[1] + p[2] / mu) * greatest(abs(p[1] + p[2] / mu) - 1 / mu, 0.0)) AS s2 FROM ("
+_FROM_STATE += "SELECT *, list_transform(list_zip(x, u), lambda p: p[1] - w2 * p[2]) AS fit FROM (SELECT *, (list_dot_product(u, x) - list_dot_product(u, s) + list_dot_product(u, y) / mu) / list_dot_product(u, u) AS w2 FROM r WHERE k < 21 AND size >= 1e-8)))))"
+_FROM_STATE += ", z AS (SELECT * FROM r WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1), g AS (SELECT *, list_transform(list_zip(y, h), lambda p: p[1] + p[2]) AS g1 FROM z)"
+_FROM_STATE += ", c AS (SELECT *, list_transform(list_zip(g1, u), lambda p: p[1] - p[2] * list_dot_product(u, g1)) AS gamma FROM g)"
+_FROM_STATE += ", t AS (SELECT id, x, list_transform(list_zip(u, gamma), lambda p: w * (cos(pi() / 3) * p[1] + sin(pi() / 3) * sign(w) * p[2] / sqrt(list_dot_product(gamma, gamma)))) AS low FROM c)"
+
+
+@query(f"WITH RECURSIVE {E}, {_FROM_STATE} SELECT id, floor(low[1] * 1e4 + 0.5) / 1e4 AS low_first, floor(sqrt(list_dot_product(low, low)) * 1e4 + 0.5) / 1e4 AS low_rank_norm, floor(sqrt(list_sum(list_transform(list_zip(x, low), lambda p: (p[1] - p[2]) ** 2))) * 1e4 + 0.5) / 1e4 AS sparse_norm FROM t")
+def tracker_first_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's separation by one step from a fixed direction: weights and sparse part by ADMM, then the turn of the basis."""
+    df = embedded(spark, sf_dir)
+    line = row_bases(df, 0, 2).sum(axis=0)
+    state = TrackerState(line / np.linalg.norm(line), 1.0, 20)
+    found = tracking.SubspaceTrackerModel(TrackerOptions(rank=1), state).transform(df)
+    return _tracked(found, rounded(F.col("low_rank")[0], 4).alias("low_first"))
 
 
 @query()
@@ -403,7 +494,7 @@ def tracker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors as a file stream: the tracker advances over micro-batches and scores them."""
     from flatspan.runtime import ensure_checkpoint_dir
 
-    folder = f"{ensure_checkpoint_dir(spark)}/tracker-{next(tempfile._get_candidate_names())}"
+    folder = f"{ensure_checkpoint_dir(spark)}/tracker-{uuid4().hex}"
     df = embedded(spark, sf_dir)
     df.repartitionByRange(4, "id").write.parquet(f"{folder}/in")
     stream = TrackerStream(spark, TrackerOptions(rank=3), len(df.first()["features"]), folder)

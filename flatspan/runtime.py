@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there: lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored_for_now(df: DataFrame, *partition_by: str) -> tuple[DataFrame, Callable[..., None]]:
+    """(df as a Parquet table in the shared folder, what deletes it or a part of it when nothing reads that any more)."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/table-{uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(folder)
+
+    def drop(part: str = "") -> None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}".rstrip("/"))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    return spark.read.schema(df.schema).parquet(folder), drop

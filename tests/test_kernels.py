@@ -13,7 +13,7 @@ RNG = np.random.default_rng(0)
 
 
 def test_params_are_checked_and_round_trip():
-    for bad in (lambda: KSubspacesParams(n_clusters=1), lambda: EnsembleParams(n_base=9), lambda: SscAdmmParams(alpha=5), lambda: SscOmpParams(sparsity_level=2), lambda: OwlParams(weight_max_off=3, weight_min_off=1), lambda: OwlParams(weight_max_val=1.0)):
+    for bad in (lambda: KSubspacesParams(n_clusters=1), lambda: EnsembleParams(n_base=9), lambda: SscAdmmParams(alpha=5), lambda: SscOmpParams(sparsity_level=2), lambda: OwlParams(weight_max_off=3, weight_min_off=1), lambda: OwlParams(weight_min_val=1.0)):
         with pytest.raises(ValueError):
             bad()
     p = EnsembleParams(n_clusters=7, thresh=-1)
@@ -50,14 +50,26 @@ def test_prox_owl_is_the_minimiser(z, seed):
 def test_owl_weights():
     assert np.allclose(k.owl_weights(6, 1.0, 1, 0.2, 4), [1, 1, 1 - 0.8 / 3, 1 - 1.6 / 3, 0.2, 0.2])
     assert np.allclose(k.owl_weights(3, 0.5, 0, 0.5, 0), 0.5)
+    assert np.allclose(k.owl_weights(4, 1.0, 0, 0.1, 0), [1, 0.1, 0.1, 0.1])  # equal offsets: a step
+    assert np.allclose(k.owl_weights(4, 1.0, 2, 0.1, 2), [1, 1, 1, 0.1])
+    assert np.allclose(k.owl_weights(3, 1.0, 0, 0.1, 1), [1, 0.1, 0.1])
 
 
-def test_omp_finds_a_planted_combination():
-    x = RNG.standard_normal((40, 30))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = 2 * x[3] - x[17]
-    chosen, coef = k.omp(np.vstack([x, y]), 40, y, 5, 1e-10)
-    assert set(chosen[:2]) == {3, 17} and len(chosen) == 2 and np.allclose(sorted(coef), [-1, 2])
+def test_what_atoms_leave_over():
+    x = RNG.standard_normal((2, 30))
+    y = 2 * x[0] - x[1]
+    assert np.allclose(k.left_over(y / np.linalg.norm(y), x), 0)
+    rest = k.left_over(y / np.linalg.norm(y), x[:1])
+    assert abs(rest @ x[0]) < 1e-12 and rest @ rest > 0.01
+
+
+def low(x, alpha, outliers):
+    """The smallest of the largest correlations, from the whole dictionary."""
+    y = x.T
+    p = np.hstack([y, np.eye(len(y)) * np.abs(y).sum(axis=0).max() / alpha]) if outliers else y
+    corr = np.abs(p.T @ y)
+    corr[np.arange(len(x)), np.arange(len(x))] = 0
+    return corr.max(axis=0).min()
 
 
 def reference_admm(x, alpha, affine, outliers, steps):
@@ -92,7 +104,7 @@ def reference_admm(x, alpha, affine, outliers, steps):
 @pytest.mark.parametrize("outliers", [False, True])
 def test_admm_matches_the_full_inverse(affine, outliers):
     x = RNG.standard_normal((25, 8))
-    problem = k.AdmmProblem(x, 20.0, affine, outliers)
+    problem = k.AdmmProblem(x, 20.0, affine, outliers, low(x, 20.0, outliers))
     whole, errors = problem.solve(np.arange(25), 15)
     assert np.allclose(whole, reference_admm(x, 20.0, affine, outliers, 15), atol=1e-8)
     a, ea = problem.solve(np.arange(0, 10), 15)

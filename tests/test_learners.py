@@ -10,10 +10,10 @@ from flatspan import queries
 from flatspan.frame import vectors, width_of
 from flatspan.operators import ksubspaces as ks
 from flatspan.operators import sparse_subspace as ssc
-from flatspan.operators import spectral
+from flatspan.operators import pairing, spectral
 from flatspan.operators.regression import LinearSVR, OwlModel, OwlRegression
 from flatspan.operators.tracking import SubspaceTracker, SubspaceTrackerModel
-from flatspan.params import SscAdmmParams, SscConvexParams
+from flatspan.params import EnsembleParams, SscAdmmParams, SscConvexParams
 from flatspan.sources.synthetic import linear_data, union_of_subspaces
 
 
@@ -111,6 +111,41 @@ def test_sparse_subspace_clusterings(spark):
             assert accuracy(spectral.kmeans_labels(spectral.embedding(w, union.select("id"), 3), 3, starts=3), union) > 0.8
 
 
+def test_pursuit_and_correlations_over_blocks(spark, monkeypatch):
+    """Blocks of a few rows give what whole matrices give: partners, planted combinations, early stop, scales."""
+    monkeypatch.setattr(pairing.packed, "__defaults__", ("f8", 7))
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 30))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[40], x[41], x[42] = 2 * x[3] - x[17], x[5], x[5]  # equal rows tie
+    df = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>").repartition(3)
+    got = ssc.gram_top(df, 4).collect()
+    score = np.abs(x @ x.T)
+    np.fill_diagonal(score, -1)
+    for i in range(60):
+        own = sorted((r for r in got if r.id == i * 3), key=lambda r: r["rank"])
+        want = np.sort(score[i])[::-1][:4]
+        assert np.allclose([r.score for r in own], want) and all(np.isclose(score[i, r.other // 3], r.score) for r in own)
+    tied = [r.other for r in sorted((r for r in got if r.id == 15), key=lambda r: r["rank"])][:2]
+    assert tied == [123, 126]
+    coef = {(r.row_id // 3, r.col_id // 3): r.coef for r in ssc.omp_coefficients(df, 5, 1e-10).collect()}
+    assert {a: round(c, 9) for (a, p), c in coef.items() if p == 40} == {3: 2.0, 17: -1.0}  # stops after two atoms
+    p = np.hstack([x.T, np.eye(30) * np.abs(x).sum(axis=1).max() / 20])
+    corr = np.abs(p.T @ x.T)
+    corr[np.arange(60), np.arange(60)] = 0
+    assert np.isclose(ssc.admm_scale(df, 20, True), corr.max(axis=0).min()) and np.isclose(ssc.admm_scale(df, 20, False), score.max(axis=1).min())
+
+
+def test_ensemble_runs_match_single_runs(spark, union):
+    """All runs at once give the labels that each run gives alone."""
+    params = EnsembleParams(n_clusters=3, dim_subspaces=1, n_base=10)
+    got = {r.id: r.labels for r in ks.base_labels(union, params).collect()}
+    seeds = np.random.RandomState(0).randint(0, 2**32 - 1, 10, dtype=np.uint32)
+    for k in (0, 7):
+        alone = ks.KSubspaces(n_clusters=3, dim_subspaces=1, random_seed=int(seeds[k])).fit(union, iterations=100)
+        assert {r.id: r.cluster for r in alone.transform(union).collect()} == {i: labels[k] for i, labels in got.items()}
+
+
 def test_owl_closed_forms(spark, tmp_path):
     df = spark.createDataFrame([(1, [1.0], 2.0), (2, [2.0], 3.0)], "id long, features array<double>, label double")
     zero = dict(weight_max_val=0.0, weight_min_val=0.0, tol=1e-8)
