@@ -24,7 +24,7 @@ BACKOFF = (100.0, 3.0)
 BLOCK_BYTES, LEAST_BLOCKS = 16 << 20, 8
 #: Bytes of text for each part of the key space: two million n-grams or so are counted together.
 PART_BYTES = 8 << 20
-#: Bits of a key that are sent beside its part: with two million keys a part, 1 in 500,000 meets another's.
+#: Bits of a key that count beside its part: with two million keys a part, 1 in 500,000 meets another's.
 KEY_BITS = 40
 _CHUNK = 400_000
 _PAIR, _TRIPLE = odd_constants(2, 21), odd_constants(2, 22)
@@ -97,16 +97,16 @@ class Parts:
         return np.append(np.searchsorted(keys, starts), len(keys))
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """The low KEY_BITS of each key."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes()
+def _packed(keys: np.ndarray, bits: int) -> tuple[bytes, bytes]:
+    """The KEY_BITS after the part of ascending keys, as differences: three low bytes each, and what is above them, compressed."""
+    d = np.diff((keys << np.uint64(bits)) >> np.uint64(64 - KEY_BITS), prepend=np.uint64(0))
+    return d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3].tobytes(), zlib.compress((d >> np.uint64(24)).astype("<u2").tobytes(), 1)
 
 
-def _unpacked(cells: Iterable[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(cells), dtype=np.uint8).reshape(-1, KEY_BITS // 8)
-    out = np.zeros((len(raw), 8), dtype=np.uint8)
-    out[:, : KEY_BITS // 8] = raw
-    return out.view("<u8").ravel()
+def _unpacked(low: bytes, high: bytes) -> np.ndarray:
+    d = np.zeros((len(low) // 3, 8), dtype=np.uint8)
+    d[:, :3] = np.frombuffer(low, dtype=np.uint8).reshape(-1, 3)
+    return np.cumsum(d.view("<u8").ravel() + (np.frombuffer(zlib.decompress(high), dtype="<u2").astype(np.uint64) << np.uint64(24)))
 
 
 def _counts(n: np.ndarray) -> bytes:
@@ -119,25 +119,22 @@ def _numbers(cell: bytes) -> np.ndarray:
 
 
 def cells(kinds: list[tuple[np.ndarray, np.ndarray]], parts: Parts, block: int) -> pd.DataFrame:
-    """A row a part: the block's distinct keys there (kind after kind, ascending) and what it adds to their counts."""
-    bounds = [parts.bounds(keys) for keys, _ in kinds]
+    """A row a part and kind (words, bigrams, trigrams): the block's distinct keys there, ascending, and what it adds to their counts."""
     rows = []
-    for p in range(1 << parts.bits):
-        own = [slice(b[p], b[p + 1]) for b in bounds]
-        if any(s.stop > s.start for s in own):
-            rows.append((p, block, b"".join(_packed(keys[s]) for (keys, _), s in zip(kinds, own, strict=True)), _counts(np.concatenate([n[s] for (_, n), s in zip(kinds, own, strict=True)]))))
-    return pd.DataFrame(rows, columns=["part", "block", "keys", "n"])
+    for kind, (keys, n) in enumerate(kinds):
+        edge = parts.bounds(keys)
+        rows += [(p, block, kind, *_packed(keys[edge[p] : edge[p + 1]], parts.bits), _counts(n[edge[p] : edge[p + 1]])) for p in np.flatnonzero(np.diff(edge)).tolist()]
+    return pd.DataFrame(rows, columns=["part", "block", "kind", "low", "high", "n"])
 
 
-CELLS = "part int, block int, keys binary, n binary"
+CELLS = "part int, block int, kind int, low binary, high binary, n binary"
 
 
 def summed(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """(counts by distinct key, each sent key's place among them, keys by cell) of one part."""
-    sizes = [len(k) // (KEY_BITS // 8) for k in group["keys"]]
-    kinds, where = np.unique(_unpacked(group["keys"]), return_inverse=True)
+    kinds, where = np.unique(np.concatenate([_unpacked(*c) for c in zip(group["low"], group["high"], strict=True)]), return_inverse=True)
     n = np.bincount(where, weights=np.concatenate([_numbers(c) for c in group["n"]]), minlength=len(kinds))
-    return n, where, sizes
+    return n, where, [len(low) // 3 for low in group["low"]]
 
 
 def words_in_all(train: DataFrame, parts: Parts) -> tuple[int, int, int, int]:
@@ -241,19 +238,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         n, where, sizes = summed(group)
         own = np.split(n[where], np.cumsum(sizes)[:-1])
-        return pd.DataFrame({"part": group["part"].to_numpy(dtype=np.int32), "block": group["block"].to_numpy(dtype=np.int32), "n": [_counts(x) for x in own]})
+        return group[["part", "block", "kind"]].assign(n=[_counts(x) for x in own])
 
     def score(b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        g = _whole(b["raw"])
-        found = [np.unique(key, return_inverse=True) for key in (g.one, g.two, g.three)]
-        bounds = [parts.bounds(own[own != 0]) for own, _ in found]
-        counts: list[list[np.ndarray]] = [[], [], []]
-        for p, cell in sorted(zip(answers["part"], answers["n"], strict=True)):
-            n, at = _numbers(cell), 0
-            for k, edge in enumerate(bounds):  # kind after kind, as they were sent
-                counts[k].append(n[at : at + edge[p + 1] - edge[p]])
-                at += edge[p + 1] - edge[p]
-        n1, n2, n3 = (np.concatenate([np.zeros(int(own[0] == 0)), *c])[where] for (own, where), c in zip(found, counts, strict=True))
+        g, found = _whole(b["raw"]), []
+        for kind, key in enumerate((g.one, g.two, g.three)):
+            own, where = np.unique(key, return_inverse=True)
+            said = answers[answers["kind"] == kind].sort_values("part")["n"]
+            found.append(np.concatenate([np.zeros(int(own[0] == 0), dtype="<u4"), *map(_numbers, said)])[where].astype(np.float64))
+        n1, n2, n3 = found
         base = np.log10((n1 + 1) / (root.tokens + root.kinds + 1))
         total = lambda x: np.add.reduceat(x, g.first)
         return pd.DataFrame({
@@ -261,6 +254,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
             "base_score": total(base), "score": total(traverse(root, n1, n2, n3, g.first, texts)),
         })
 
-    answered = dealt.groupBy("block").applyInPandas(ask, CELLS).groupBy("part").applyInPandas(answer, "part int, block int, n binary")
+    answered = dealt.groupBy("block").applyInPandas(ask, CELLS).groupBy("part").applyInPandas(answer, "part int, block int, kind int, n binary")
     scored = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(score, "id long, no_id boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(root.tokens).cast("long").alias("train_tokens"), "base_score", "score")
