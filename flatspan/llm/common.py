@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable
-from uuid import uuid4
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flatspan.runtime import cut_lineage, ensure_checkpoint_dir
+from flatspan.runtime import cut_lineage, ensure_checkpoint_dir, stored_for_now
 
 __all__ = ["WORD", "WordHashes", "as_utf8", "cut_lineage", "ensure_checkpoint_dir", "fold", "local_roots", "mix", "odd_constants", "read_table", "release", "small_or_whole", "stored", "stored_for_now", "words_of"]
 
@@ -86,22 +84,7 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def stored(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: lineage is cut, and columns can be pruned."""
-    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def stored_for_now(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """stored(df), and what deletes the table when nothing reads it any more."""
-    spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/table-{uuid4().hex}"
-    df.write.parquet(folder)
-
-    def drop() -> None:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    return spark.read.schema(df.schema).parquet(folder), drop
+    return stored_for_now(df)[0]
 
 
 def release(spark: SparkSession) -> None:

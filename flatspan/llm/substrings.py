@@ -227,6 +227,7 @@ def paragraph_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = some.select("bucket", F.col("key").alias("a")).join(some.select("bucket", F.col("key").alias("b")), "bucket").where("a < b").select("a", "b")
     pairs = cut_lineage(pairs.union(buckets.where("members = 2 and a < b").select("a", "b")).distinct())
     crowded = cut_lineage(several.where(F.col("members") > BUCKET).select("bucket", "key", "pivot"))
+    release(docs.sparkSession)
     wanted = pairs.select("a").union(pairs.select("b")).union(crowded.select("key")).distinct().select(F.col("a").alias("key"))
     where = classes.select("key", "doc_id", "start", "n").join(wanted, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("wanted"))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", as_utf8(F.col("text")).alias("raw")).join(where, "doc_id")
@@ -286,12 +287,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
-    found, drop_units = stored_for_now(units(docs))
+    found, drop_units = stored_for_now(units(docs), "kind")
     spread = F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")
     place = "doc_id", "start", "n", "short", "run", "cluster", "lo"
     sentences = found.where("kind = 's'").select("key", "doc_id", "start", "n", "short")
     same = cut_lineage(sentences.groupBy("key").agg(*spread).where("lo < hi").select("key", "lo"))
     equal = cut_lineage(sentences.join(same, "key").withColumn("cluster", F.col("key")).withColumn("run", F.lit(False)).select(*place))
+    drop_units("kind=s")
     del same
     release(spark)
     paragraphs = found.where("kind = 'p'")
