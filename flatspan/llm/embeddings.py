@@ -9,15 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flatspan.llm.common import cut_lineage, local_roots
+from flatspan.llm.common import cut_lineage, local_roots, stored
 from flatspan.llm.components import connected_components
 
 THRESHOLD = 0.95
-#: Vectors of a tile; a comparison holds two tiles.
-TILE = 8192
+#: Bytes of a tile at most; a comparison holds two tiles. Smaller tables have about FEWEST tiles, so that tasks share the work.
+TILE_BYTES, FEWEST = 16 << 20, 4
+#: Leading coordinates whose boxes tell tiles apart.
+LEAD = 8
 #: Leading dimensions after which the bound is looked at again.
 STEPS = (12, 24, 48)
-BINS = 1 << 16
 MAX_DIMENSIONS = 4096
 _SLACK = 1e-9
 
@@ -119,43 +120,73 @@ def compare_tiles(group: pd.DataFrame, width: int, threshold: float) -> pd.DataF
     return pd.DataFrame({"node": node[linked], "gain": gain[linked].astype(np.int64), "root": node[root[linked]]})
 
 
-def tile_plan(counts: dict[int, int], tile: int, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first tile by bin, tiles by bin, first and last partner by tile): bins of the first coordinate packed into tiles in order.
+class Tree:
+    """Cuts of space into cells by leading coordinates, level by level: cell c has the cells 2c and 2c + 1 below it."""
 
-    A bin with more vectors than a tile gets several. Partners of a tile are those whose nearest edge is within
-    reach, as the first coordinate alone already separates the others.
+    def __init__(self):
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # by cell: coordinate, and where it is cut
+
+    def cells(self, lead: np.ndarray) -> np.ndarray:
+        cell = np.zeros(len(lead), dtype=np.int64)
+        for axis, cut in self.levels:
+            cell = 2 * cell + (lead[np.arange(len(lead)), axis[cell]] > cut[cell])
+        return cell
+
+
+def _cell_of(tree: Tree, lead: int):
+    @F.pandas_udf("long")
+    def cell(x: pd.Series) -> pd.Series:
+        return pd.Series(tree.cells(_matrix(x, lead)))
+
+    return cell
+
+
+def grow(turned: DataFrame, lead: int, rows: int) -> tuple[Tree, dict[int, tuple]]:
+    """(tree, by cell: vectors, lowest and highest leading coordinates) with at most ``rows`` vectors a cell, where they differ.
+
+    Each level halves the cells that are too large at the median of their widest coordinate; what the driver holds is a
+    few numbers a cell.
+    """
+    tree = Tree()
+    while True:
+        by = turned.select("lead", _cell_of(tree, lead)("lead").alias("cell")).groupBy("cell")
+        numbers = lambda f: F.array(*[f(F.col("lead")[d]) for d in range(lead)])
+        found = {r["cell"]: r for r in by.agg(F.count(F.lit(1)).alias("n"), numbers(F.min).alias("low"), numbers(F.max).alias("high"), numbers(lambda c: F.percentile_approx(c, 0.5, 1000)).alias("mid")).collect()}
+        large = [r for r in found.values() if r["n"] > rows and max(np.subtract(r["high"], r["low"])) > 0]
+        if not large or len(tree.levels) == 40:
+            return tree, {c: (r["n"], r["low"], r["high"]) for c, r in found.items()}
+        axis, cut = np.zeros(1 << len(tree.levels), dtype=np.int64), np.full(1 << len(tree.levels), np.inf)
+        for r in large:
+            d = int(np.argmax(np.subtract(r["high"], r["low"])))
+            axis[r["cell"]], cut[r["cell"]] = d, r["mid"][d] if r["mid"][d] < r["high"][d] else (r["low"][d] + r["high"][d]) / 2
+        tree.levels.append((axis, cut))
+
+
+def tile_plan(cells: dict[int, tuple], rows: int, reach: float) -> tuple[dict[int, tuple[int, int]], list[np.ndarray]]:
+    """(by cell: its first tile and number of tiles, by tile: the tiles it meets).
+
+    A cell of equal leading coordinates may be too large; it gets several tiles. Tiles meet where their boxes of leading
+    coordinates are within reach of each other: others hold no close pair.
     """
-    first, many = np.zeros(BINS, dtype=np.int64), np.ones(BINS, dtype=np.int64)
-    edges: list[list[int]] = []  # first and last bin by tile
-    held = 0
-    for b in range(BINS):
-        n = counts.get(b, 0)
-        if n > tile:
-            many[b] = -(-n // tile)
-            first[b] = len(edges)
-            edges += [[b, b] for _ in range(many[b])]
-            held = tile  # the next bin opens a tile
-        elif n:
-            if not edges or held + n > tile:
-                edges.append([b, b])
-                held = 0
-            held += n
-            edges[-1][1] = b
-            first[b] = len(edges) - 1
-    low, high = np.array([e[0] for e in edges], dtype=np.int64), np.array([e[1] for e in edges], dtype=np.int64)
-    far = int(np.floor(reach / (2.0 / BINS))) + 1  # bins whose nearest edges are within reach
-    last = np.searchsorted(low, high + far, "right") - 1
-    begin = np.searchsorted(high, low - far, "left")
-    return first, many, np.stack((begin, last), axis=1) if edges else np.empty((0, 2), dtype=np.int64)
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+    tiles, low, high = {}, [], []
+    for cell in sorted(cells):
+        n, a, b = cells[cell]
+        many = -(-n // rows)
+        tiles[cell] = len(low), many
+        low += [a] * many
+        high += [b] * many
+    lo, hi = np.array(low), np.array(high)
+    apart = lambda t: (np.maximum(np.maximum(lo - hi[t], lo[t] - hi), 0) ** 2).sum(axis=1)
+    return tiles, [np.flatnonzero(apart(t) <= reach**2 + _SLACK) for t in range(len(lo))]
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept: vectors linked where their cosine is at least ``threshold``.
 
     Compared are classes of equal directions, so copies never meet as pairs: each vector's links are its class's
-    other members and the members of all linked classes. Every close pair of classes is found: tiles of vectors in
-    the order of the first principal coordinate are compared pair by pair, but for tiles further apart on it than
-    close vectors can be, and within a comparison the bound on suffix norms stops a product early.
+    other members and the members of all linked classes. Every close pair of classes is found: tiles of vectors, cut
+    by leading principal coordinates, are compared pair by pair, but for tiles whose boxes are further apart than close
+    vectors can be, and within a comparison the bound on suffix norms stops a product early. tile: vectors of a tile.
 
     Null, empty or zero vectors and those with null or non-finite components link with nothing, and vectors of
     different lengths do not link. Rows without a vec_id link as others do but name no component. Repeated rows
@@ -169,25 +200,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         raise ValueError(f"more than {MAX_DIMENSIONS} dimensions")
     axes = principal_axes(classes, width)
 
+    lead = min(LEAD, width)
+
     def rotate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = _matrix(b["unit"], width) @ axes
-            bins = np.clip(((x[:, 0] + 1) / 2 * BINS).astype(np.int64), 0, BINS - 1)
-            yield pd.DataFrame({"node": b["node"], "size": b["size"], "dims": b["unit"].map(len).astype(np.int32), "bin": bins.astype(np.int32), "vec": [v.tobytes() for v in x]})
-
-    turned = cut_lineage(classes.select("node", "size", "unit").mapInPandas(rotate, "node long, size long, dims int, bin int, vec binary"))
-    counts = {r["bin"]: r["n"] for r in turned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # BINS rows at most
-    first, many, partners = tile_plan(counts, tile, float(np.sqrt(2 - 2 * threshold)))
+            yield pd.DataFrame({"node": b["node"], "size": b["size"], "dims": b["unit"].map(len).astype(np.int32), "lead": list(x[:, :lead]), "vec": [v.tobytes() for v in x]})
 
-    def meets(t: int) -> list[int]:
-        u = np.arange(partners[t, 0], partners[t, 1] + 1)
-        return (np.minimum(u, t) * len(partners) + np.maximum(u, t)).tolist()
+    turned = stored(classes.select("node", "size", "unit").mapInPandas(rotate, "node long, size long, dims int, lead array<double>, vec binary"))
+    rows_of = tile or max(min(-(-turned.count() // FEWEST), TILE_BYTES // (8 * width)), 1)
+    tree, cells = grow(turned, lead, rows_of)
+    tiles, partners = tile_plan(cells, rows_of, float(np.sqrt(2 - 2 * threshold)))
+    first = np.array([tiles[c][0] if c in tiles else 0 for c in range(1 << len(tree.levels))])
+    many = np.array([tiles[c][1] if c in tiles else 1 for c in range(1 << len(tree.levels))])
+    plan = vectors.sparkSession.sparkContext.broadcast((tree, first, many, partners))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, first, many, partners = plan.value
         for b in batches:
-            at, node = b["bin"].to_numpy(), b["node"].to_numpy()
-            tiles = first[at] + node % many[at]
-            yield b[["node", "size", "dims", "vec"]].assign(tile=tiles.astype(np.int64), pairs=[meets(t) for t in tiles])
+            cell = tree.cells(_matrix(b["lead"], lead))
+            at = first[cell] + b["node"].to_numpy() % many[cell]
+            meets = [(np.minimum(partners[t], t) * len(partners) + np.maximum(partners[t], t)).tolist() for t in at]
+            yield b[["node", "size", "dims", "vec"]].assign(tile=at.astype(np.int64), pairs=meets)
 
     dealt = turned.mapInPandas(deal, "node long, size long, dims int, vec binary, tile long, pairs array<long>")
     met = dealt.select("node", "size", "dims", "vec", "tile", F.explode("pairs").alias("pair"))

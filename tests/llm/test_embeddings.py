@@ -42,7 +42,7 @@ def test_matches_brute_force(spark):
     x = clustered(5)
     ids = (np.random.default_rng(1).permutation(len(x)) + 2**53).tolist()
     want = brute(ids, x)
-    for tile in (32, 8192):
+    for tile in (32, None):
         got = frame(embeddings.near_duplicates(table(spark, ids, x), tile=tile))
         assert {r.vec_id: (r.n_links, r.component_id) for r in got.itertuples()} == want
         assert all(r.kept == (r.vec_id == r.component_id) for r in got.itertuples())
@@ -59,20 +59,23 @@ def test_suffix_bound_loses_nothing():
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and want
 
 
-def test_tiles_cover_close_pairs():
+def test_tiles_cover_close_pairs(spark):
+    """Every close pair shares a tile or meets; tiles keep to their size though many vectors have equal coordinates; far ones don't meet."""
     rng = np.random.default_rng(3)
-    bins = np.clip(rng.normal(embeddings.BINS / 2, 3000, 20_000).astype(int), 0, embeddings.BINS - 1)
-    bins[:3000] = 77  # one bin larger than a tile
-    counts = dict(zip(*np.unique(bins, return_counts=True), strict=True))
-    first, many, partners = embeddings.tile_plan(counts, 1000, 0.3)
-    tile = first[bins] + np.arange(len(bins)) % many[bins]
-    assert np.bincount(tile).max() <= 1000
-    far = 0.3 / (2 / embeddings.BINS)
-    for _ in range(3000):
-        p, q = rng.integers(0, len(bins), 2)
-        if abs(int(bins[p]) - int(bins[q])) + 1 <= far:
-            assert partners[tile[p], 0] <= tile[q] <= partners[tile[p], 1]
-            assert partners[tile[q], 0] <= tile[p] <= partners[tile[q], 1]
+    centres = rng.standard_normal((40, 3)) * [1.0, 0.7, 0.4]
+    x = centres[rng.integers(0, 40, 3000)] + 0.02 * rng.standard_normal((3000, 3))
+    x[:500] = x[0]
+    turned = spark.createDataFrame([(v.tolist(),) for v in x], "lead array<double>")
+    tree, cells = embeddings.grow(turned, 3, 200)
+    tiles, partners = embeddings.tile_plan(cells, 200, 0.3)
+    cell = tree.cells(x)
+    tile = np.array([tiles[c][0] + k % tiles[c][1] for k, c in enumerate(cell)])
+    assert np.bincount(tile).max() <= 200
+    met = np.zeros((len(partners), len(partners)), dtype=bool)
+    for k, p in enumerate(partners):
+        met[k, p] = True
+    close = np.linalg.norm(x[:, None] - x[None], axis=2) <= 0.3
+    assert met[tile[:, None], tile[None]][close].all() and met.mean() < 0.8
 
 
 def test_odd_rows(spark):
