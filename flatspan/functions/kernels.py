@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 
 EPS = np.finfo(float).eps
@@ -62,12 +64,22 @@ def prox_owl(z: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.sign(z) * out
 
 
+def owl_cost(gram: np.ndarray, xty: np.ndarray, yty: float, n: int, weights: np.ndarray, b: np.ndarray) -> float:
+    """(1/n)|y - Xb|^2 + OWL(b)."""
+    return float((yty - 2 * b @ xty + b @ gram @ b) / n + np.sort(np.abs(b))[::-1] @ weights)
+
+
+def owl_gradient(gram: np.ndarray, xty: np.ndarray, n: int, b: np.ndarray) -> np.ndarray:
+    """Gradient of (1/n)|y - Xb|^2."""
+    return (2 / n) * (gram @ b - xty)
+
+
 def fista(gram: np.ndarray, xty: np.ndarray, yty: float, n: int, weights: np.ndarray, rate: float, tol: float, most: int) -> tuple[np.ndarray, list[float]]:
     """Accelerated proximal gradient on (1/n)|y - Xb|^2 + OWL(b), from the Gram matrix alone: (b, cost by step)."""
     old = z = np.zeros(len(gram))
     t_old, history = 1.0, []
     for _ in range(most):
-        new = prox_owl(z - rate * (2 / n) * (gram @ z - xty), rate * weights)
+        new = prox_owl(z - rate * owl_gradient(gram, xty, n, z), rate * weights)
         if not np.isfinite(new).all():
             raise FloatingPointError("the steps diverge; take a smaller learning_rate")
         t = (1 + np.sqrt(1 + 4 * t_old * t_old)) / 2
@@ -76,7 +88,8 @@ def fista(gram: np.ndarray, xty: np.ndarray, yty: float, n: int, weights: np.nda
         if change < tol:
             return new, history
         old, t_old = new, t
-        history.append(float((yty - 2 * new @ xty + new @ gram @ new) / n + np.sort(np.abs(new))[::-1] @ weights))
+        history.append(owl_cost(gram, xty, yty, n, weights, new))
+    warnings.warn(f"coefficients still changed by more than {tol} after {most} steps", stacklevel=2)
     return old, history
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -21,8 +23,8 @@ DIRECT = 2500
 def adjacency(coefficients: DataFrame) -> DataFrame:
     """(i, j, value) from (row_id, col_id, coef): columns of |C| by their maximum, plus the transpose, without a diagonal.
 
-    The machine epsilon that makes every other entry positive is left to ``degrees`` (it is a constant of the
-    whole matrix, so it is never written out).
+    The machine epsilon that would make every other entry positive is left out: a sparse table has no room for a constant of
+    the whole matrix, and a degree would change by 2e-16 a row.
     """
     size = F.abs("coef")
     scaled = coefficients.where("row_id <> col_id and coef <> 0").withColumn("value", size / (F.max(size).over(Window.partitionBy("col_id")) + EPS))
@@ -39,10 +41,10 @@ def plain_affinity(coefficients: DataFrame) -> DataFrame:
     return symmetric(coefficients.where("row_id <> col_id").select(F.col("row_id").alias("i"), F.col("col_id").alias("j"), F.abs("coef").alias("value")))
 
 
-def degrees(affinity: DataFrame, ids: DataFrame, n: int, background: float = 0.0) -> DataFrame:
-    """(id, degree): sums of rows, with the constant that stands in all n - 1 other entries, and epsilon."""
+def degrees(affinity: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, degree): sums of rows, and epsilon."""
     sums = affinity.groupBy(F.col("i").alias("id")).agg(F.sum("value").alias("sum"))
-    return ids.join(sums, "id", "left").select("id", (F.coalesce("sum", F.lit(0.0)) + (n - 1) * background + EPS).alias("degree"))
+    return ids.join(sums, "id", "left").select("id", (F.coalesce("sum", F.lit(0.0)) + EPS).alias("degree"))
 
 
 def normalized(affinity: DataFrame, degree: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def embedding(affinity: DataFrame, ids: DataFrame, k: int, seed: int = 0, most:
     n, wide = ids.count(), k + 4
     if n <= DIRECT:
         return _direct(affinity, ids, k)
-    w = normalized(affinity, degrees(affinity, ids, n)).persist()
+    w = normalized(affinity, degrees(affinity, ids)).persist()
     noise = F.array(*[(F.xxhash64("id", F.lit(seed), F.lit(c)).cast("double") / float(2**63)) for c in range(wide)])
     v = cut_lineage(ids.select("id", noise.alias("v")))
     last = None
@@ -93,6 +95,8 @@ def embedding(affinity: DataFrame, ids: DataFrame, k: int, seed: int = 0, most:
             if last is not None and np.abs(now - last).max() < tol:
                 break
             last = now
+    else:
+        warnings.warn(f"the embedding still changed by more than {tol} after {most} steps", stacklevel=2)
     w.unpersist()
     own = F.slice("v", 1, k)
     norm = F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, x: s + x * x)) + EPS

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flatspan.frame import role_of
@@ -58,7 +58,7 @@ def select_by_role(df: DataFrame, *roles: str, exclude: tuple[int, ...] = ()) ->
     return df.select(*[F.col(f"`{f.name}`") for k, f in enumerate(df.schema.fields) if role_of(f) in roles and k not in exclude])
 
 
-def impute_mean(df: DataFrame, columns: list[str], group: list[Column] | None = None) -> DataFrame:
+def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls and NaNs of numeric columns replaced by the column's mean over the rest: one aggregate, one narrow pass."""
     known = {c: F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c).cast("double")) for c in columns}
     mean = df.agg(*[F.avg(v).alias(c) for c, v in known.items()]).first()

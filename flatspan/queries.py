@@ -9,7 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flatspan.frame import vectors
+from flatspan.frame import vectors, with_roles
+from flatspan.functions.kernels import owl_cost as owl_cost_of
+from flatspan.functions.kernels import owl_gradient as owl_gradient_of
 from flatspan.functions.kernels import owl_weights, prox_owl
 from flatspan.functions.tracking import TrackerOptions, TrackerState
 from flatspan.functions.vectors import dot, literal_vector, normalize, norm2, rounded, soft_threshold, step_sigmoid
@@ -148,7 +150,7 @@ def ksub_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ksub_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = embedded(spark, sf_dir)
-    return ks.KSubspaces(n_clusters=10, dim_subspaces=2).fit(df, iterations=5).transform(df)
+    return ks.KSubspaces(n_clusters=10, dim_subspaces=2).fit(df).transform(df)
 
 
 #: Squarings of a scatter matrix until nothing but its leading direction is left.
@@ -296,14 +298,14 @@ def ssc_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_COO}, d AS (SELECT i AS id, sum(value) + {EPS} AS degree FROM w GROUP BY i) SELECT w.i, w.j, {R6.format('-w.value / sqrt(a.degree * b.degree)')} AS value FROM w JOIN d AS a ON a.id = w.i JOIN d AS b ON b.id = w.j UNION ALL SELECT id, id, 1.0 FROM d")
 def degree_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, ids = spectral.adjacency(top_coefficients(spark, sf_dir)), embedded(spark, sf_dir).select("id")
-    return spectral.laplacian(w, spectral.degrees(w, ids, ids.count())).withColumn("value", rounded(F.col("value")))
+    return spectral.laplacian(w, spectral.degrees(w, ids)).withColumn("value", rounded(F.col("value")))
 
 
 @query()
 def ssc_omp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = embedded(spark, sf_dir)
     w = spectral.plain_affinity(sparse_subspace.omp_coefficients(df, 5, 1e-6))
-    return spectral.spectral_labels(w, df.select("id"), 10, starts=2)
+    return spectral.spectral_labels(w.persist(), df.select("id"), 10)
 
 
 @query()
@@ -333,17 +335,19 @@ _ERR = f"list_dot_product(x, {BETA}::DOUBLE[]) - y"
 @query(f"WITH {LINES} SELECT floor((avg(({_ERR}) ** 2) + 3.0 * 0.4 + 2.0 * 0.3 + 1.5 * 0.2 + 0.25 * 0.1) * 1e3 + 0.5) / 1e3 AS cost FROM l")
 def owl_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean squared error and the sorted-L1 penalty of fixed coefficients."""
-    weights = literal_vector(owl_weights(4, 0.4, 0, 0.1, 3))
-    sizes = F.reverse(F.array_sort(F.transform(literal_vector(BETA), F.abs)))
-    e = dot(F.col("features"), literal_vector(BETA)) - F.col("label")
-    return lines(spark, sf_dir).agg(F.avg(e * e).alias("mse")).select(rounded(F.col("mse") + dot(sizes, weights), 3).alias("cost"))
+    df = lines(spark, sf_dir)
+    gram, xty, yty = regression.centred_sums(df, np.zeros(4), 0.0)
+    one = df.agg(F.count(F.lit(1)).alias("n"))
+    cost = owl_cost_of(gram, xty, yty, one.first()["n"], owl_weights(4, 0.4, 0, 0.1, 3), np.array(BETA))
+    return one.select(rounded(F.lit(cost), 3).alias("cost"))
 
 
 @query(f"WITH {LINES}, p AS (SELECT unnest(generate_series(1, 4)) AS k, x, {_ERR} AS r FROM l) SELECT CAST(k - 1 AS INTEGER) AS feature, floor(2 * avg(x[k] * r) * 1e3 + 0.5) / 1e3 AS gradient FROM p GROUP BY k")
 def owl_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = dot(F.col("features"), literal_vector(BETA)) - F.col("label")
-    r = lines(spark, sf_dir).agg(F.array(*[2 * F.avg(F.col("features")[k] * e) for k in range(4)]).alias("g"))
-    return r.select(F.posexplode("g").alias("feature", "g")).select("feature", rounded(F.col("g"), 3).alias("gradient"))
+    df = lines(spark, sf_dir)
+    gram, xty, _ = regression.centred_sums(df, np.zeros(4), 0.0)
+    g = owl_gradient_of(gram, xty, df.count(), np.array(BETA))
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(g)], "feature int, g double").select("feature", rounded(F.col("g"), 3).alias("gradient"))
 
 
 @query(
@@ -456,6 +460,32 @@ def split_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("n", rounded(F.col("mse"), 3).alias("mse"), rounded(F.col("mae"), 4).alias("mae"))
 
 
+@query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer")
+def select_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index and attributes, but for the attribute at one place."""
+    t = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", "c_nationkey")
+    marked = with_roles(t, {"c_custkey": "index", "c_name": "attribute", "c_mktsegment": "attribute", "c_acctbal": "attribute", "c_nationkey": "target"})
+    return tabular.select_by_role(marked, "index", "attribute", exclude=(1,))
+
+
+@query("SELECT c_nationkey FROM customer")
+def select_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return tabular.select_by_role(with_roles(t, {"c_custkey": "index", "c_nationkey": "target"}), "target")
+
+
+@query(f"WITH {E} SELECT id, x[1] AS f0, x[2] AS f1, x[3] AS f2 FROM e")
+def spread_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tabular.spread(embedded(spark, sf_dir), width=3)
+
+
+@query(f"WITH {E}, {_assign_sql()}, p AS (SELECT a.cluster, e.label, count(*) AS n FROM a JOIN e ON e.id = a.id GROUP BY ALL), c AS (SELECT max(n) AS most, sum(n) AS n FROM p GROUP BY cluster) SELECT floor(sum(most) / sum(n) * 1e9 + 0.5) / 1e9 AS purity FROM c")
+def cluster_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, df = read_table(spark, sf_dir, "embeddings"), embedded(spark, sf_dir)
+    found = tabular.purity(ks.assign(df, row_bases(df, 0)), t.select(F.col("vec_id").alias("id"), "label"))
+    return found.select(rounded(F.col("purity"), 9).alias("purity"))
+
+
 # --- tracking and pipelines
 
 
@@ -486,7 +516,7 @@ def tracker_first_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tracker_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = embedded(spark, sf_dir)
-    return _tracked(tracking.SubspaceTracker(rank=3, max_train_cycles=1).fit(df).transform(df))
+    return _tracked(tracking.SubspaceTracker(rank=3).fit(df).transform(df))
 
 
 @query()
@@ -518,16 +548,32 @@ def pipeline_owl(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pipeline_ksubspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pipelines.clustering("kss", "ksubspaces", "vec_id", "embedding", n_clusters=20, dim_subspaces=1)
-    return p.run(read_table(spark, sf_dir, "embeddings"), fit={"iterations": 3}).select("vec_id", "label", "prediction")
+    return p.run(read_table(spark, sf_dir, "embeddings")).select("vec_id", "label", "prediction")
 
 
-@query()
-def pipeline_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tracked_prices(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
     t = read_table(spark, sf_dir, "part").withColumn("size", F.when(F.col("p_partkey") % 7 != 0, F.col("p_size").cast("double"))).withColumn("key", F.col("p_partkey").cast("double") / 1000).withColumn("letters", F.length("p_name").cast("double"))
-    p = pipelines.tracked_regression("tracked", "p_partkey", ["size", "key", "letters"], "p_retailprice", max_train_cycles=1)
+    p = pipelines.tracked_regression("tracked", "p_partkey", ["size", "key", "letters"], "p_retailprice", **params)
     return p.run(t).select("p_partkey", "p_retailprice", "prediction")
 
 
+@query()
+def pipeline_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tracked_prices(spark, sf_dir)
+
+
+@query()
+def pipeline_tracked_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracker's pipeline with steps of one size."""
+    return _tracked_prices(spark, sf_dir, constant_step=0.1)
+
+
+@query()
+def pipeline_omp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pipelines.clustering("omp", "ssc_omp", "vec_id", "embedding", n_clusters=20, sparsity_level=5)
+    return p.run(read_table(spark, sf_dir, "embeddings")).select("vec_id", "label", "prediction")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ksub_fit(spark, sf_dir)
 
