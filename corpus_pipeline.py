@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 
 from flatspan.llm import decontamination, language, mixing, sharding, simhash
-from flatspan.llm.common import ensure_checkpoint_dir, read_table
-from flatspan.runtime import ship_package
+from flatspan.llm.common import read_table
+from flatspan.runtime import ship_package, stored_for_now
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written as Parquet to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    """All stages over documents; each stage's rows are written as Parquet to the shared folder, read by the next one and deleted."""
+    docs, drop = read_table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        done, drop_done = stored_for_now(stage(spark, docs, sf_dir))
+        if drop:
+            drop()  # what this stage read
+        docs, drop = done, drop_done
     return docs
