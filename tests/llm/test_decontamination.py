@@ -126,3 +126,25 @@ def test_given_tables(spark, sf):
     texts = {r.doc_id: " ".join(r.text.lower().split()) for r in docs.collect()}
     exact = {(d, r.item_id) for r in table.collect() for d, t in texts.items() if f" {' '.join(r.text.lower().split())} " in f" {t} "}
     assert exact <= set(got) and exact
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    item = "one two three four five six seven"
+    docs = documents(spark, [(None, item), (2**53 + 1, f"before {item}"), (2, None)]).coalesce(1)
+    got = frame(dc.contaminated(docs, benchmark(spark, [(2**53 + 3, item)])))
+    assert sorted(got.doc_id.dropna()) == [2**53 + 1] and got.doc_id.isna().sum() == 1 and set(got.item_id) == {2**53 + 3}
+
+
+def test_repetitive_texts_stay_in_bounded_memory():
+    """Thousands of equal words against an item of equal words: every pair of places is a hit."""
+    import tracemalloc
+
+    block = dc.TestBlock([(1, [b"a"] * 120), (2, [b"a"] * 60 + [b"b"] + [b"a"] * 59), (3, [b"a", b"b"] * 40)])
+    texts = [b"a " * 12_000, b"a b " * 3000, b"c " * 50]
+    tracemalloc.start()
+    found = {(t, i): (start, n, same) for t, _, i, start, n, same in dc.overlaps([block], texts)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    assert found[0, 0] == (0, 120, 120) and found[0, 1] == (0, 120, 119) and found[1, 2] == (0, 80, 80)
+    assert not any(t == 2 for t, _ in found)

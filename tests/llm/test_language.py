@@ -77,3 +77,9 @@ def test_empty_and_unlearned(spark):
     assert language.identify(none, language.learn(none)).count() == 0
     unmarked = documents(spark, [(7, "some words", None)])
     assert language.identify(unmarked, language.learn(unmarked)).first().lang_pred == "und"
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    docs = documents(spark, [(None, "some words", "en"), (2**53 + 1, "some words", "en"), (3, None, "en")]).coalesce(1)
+    got = frame(language.identify(docs, language.learn(docs)))
+    assert sorted(got.doc_id.dropna()) == [3, 2**53 + 1] and got.doc_id.isna().sum() == 1

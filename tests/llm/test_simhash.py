@@ -97,3 +97,10 @@ def test_empty(spark):
 def test_group_without_id_keeps_one(spark):
     docs = documents(spark, [(None, "a b c d"), (None, "a b c d"), (7, "totally other words here now")])
     assert sorted((r.doc_id is None, r.text) for r in simhash.keep_one(docs).collect()) == [(False, "totally other words here now"), (True, "a b c d")]
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    docs = documents(spark, [(None, "a b c d"), (2**53 + 1, "other words"), (None, None), (2**60 + 3, "other words")]).coalesce(1)
+    got = frame(simhash.digest(simhash.near_duplicates(docs)))
+    assert sorted(got.doc_id.dropna()) == [2**53 + 1, 2**60 + 3] and set(got[got.doc_id.notna()].component_id) == {2**53 + 1}
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect() if r.doc_id is not None) == [2**53 + 1]

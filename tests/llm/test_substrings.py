@@ -168,6 +168,30 @@ def test_units_are_cut_by_content(spark):
     assert len(keys[0] & keys[1] & keys[2]) >= 3
 
 
+def test_given_table_against_all_shared_stretches(spark, sf):
+    """Stretches of 51 words that another document holds word for word overlap a passage; passages are shared words."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    words = {r.doc_id: r.text.encode().lower().split() for r in docs.collect()}
+    holders: dict[bytes, set[int]] = {}
+    for i, w in words.items():
+        for k in range(len(w) - 50):
+            holders.setdefault(b" ".join(w[k : k + 51]), set()).add(i)
+    passages: dict[int, list[tuple[int, int]]] = {}
+    for r in sub.repeated_passages(docs).collect():
+        passages.setdefault(r.doc_id, []).append((r.start, r.end))
+    stretches = [(i, k) for i, w in words.items() for k in range(len(w) - 50) if len(holders[b" ".join(w[k : k + 51])]) > 1]
+    met = [any(s < k + 51 and k < e for s, e in passages.get(i, [])) for i, k in stretches]
+    assert stretches and sum(met) >= 0.98 * len(met)
+    owners: dict[bytes, set[int]] = {}
+    for i, w in words.items():
+        for k in range(len(w) - 4):
+            owners.setdefault(b" ".join(w[k : k + 5]), set()).add(i)
+    for i, own in passages.items():
+        for s, e in own:
+            runs = [b" ".join(words[i][k : k + 5]) for k in range(s, e - 4)]
+            assert sum(len(owners[r]) > 1 for r in runs) >= 0.6 * len(runs), (i, s, e)
+
+
 def test_odd_rows(spark):
     got = frame(sub.repeated_passages(odd_documents(spark)))
     assert len(got) == 0
