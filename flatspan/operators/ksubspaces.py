@@ -70,13 +70,15 @@ def scatter(df: DataFrame) -> DataFrame:
 
 #: Task sums of a cluster's scatter meet in so many groups before they meet in one.
 SALTS = 32
+#: Clusters whose scatter matrices travel in one row.
+TOGETHER = 16
 
 
 def step(df: DataFrame, bases: dict[int, np.ndarray], before: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], dict[int, int], dict[int, float]]:
     """One alternation of several runs in one pass: (next bases, labels that differ from those of ``before``, sum of squared residuals).
 
-    Each task sums the scatter of its own rows by run and cluster and sends one packed matrix each; sums meet by salted
-    groups, then by cluster, where the eigenproblem is solved. Only bases reach the driver.
+    Each task sums the scatter of its own rows by run and cluster and sends the matrices packed, a few clusters a row; sums
+    meet by salted groups, then by those clusters, where the eigenproblems are solved. Only bases reach the driver.
     """
     sent = df.sparkSession.sparkContext.broadcast((bases, before))
     some = next(iter(bases.values()))
@@ -96,7 +98,8 @@ def step(df: DataFrame, bases: dict[int, np.ndarray], before: dict[int, np.ndarr
                 for c in np.unique(label):
                     total[r][c] += x[label == c].T @ x[label == c]
         salt = TaskContext.get().partitionId() % SALTS  # the same when a lost task runs again
-        yield pd.DataFrame([(r, c, salt, total[r][c].tobytes(), changed[r] if c == 0 else 0, cost[r] if c == 0 else 0.0) for r in new for c in range(k) if c == 0 or total[r][c].any()], columns=["run", "cluster", "salt", "sum", "changed", "cost"])
+        rows = [(r, c, salt, total[r][c : c + TOGETHER], changed[r] if c == 0 else 0, cost[r] if c == 0 else 0.0) for r in new for c in range(0, k, TOGETHER)]
+        yield pd.DataFrame([(r, c, s, m.tobytes(), *rest) for r, c, s, m, *rest in rows if c == 0 or m.any()], columns=["run", "cluster", "salt", "sum", "changed", "cost"])
 
     def meet(g: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(s) for s in g["sum"])
@@ -104,8 +107,8 @@ def step(df: DataFrame, bases: dict[int, np.ndarray], before: dict[int, np.ndarr
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         m = meet(g)
-        scatter = np.frombuffer(m["sum"].iloc[0]).reshape(width, width)
-        return m.assign(sum=[np.ascontiguousarray(top_eigenvectors(scatter, dim)).tobytes()])
+        scatters = np.frombuffer(m["sum"].iloc[0]).reshape(-1, width, width)
+        return m.assign(sum=[np.stack([top_eigenvectors(s, dim) for s in scatters]).tobytes()])
 
     rows = df.select("features").mapInPandas(sums, "run int, cluster int, salt int, sum binary, changed long, cost double")
     out = "run int, cluster int, sum binary, changed long, cost double"
@@ -113,7 +116,8 @@ def step(df: DataFrame, bases: dict[int, np.ndarray], before: dict[int, np.ndarr
     found = {r: np.stack([np.eye(width)[:, :dim]] * k) for r in bases}  # an empty cluster's zero scatter has these
     changed, cost = dict.fromkeys(bases, 0), dict.fromkeys(bases, 0.0)
     for r in rows.collect():
-        found[r["run"]][r["cluster"]] = np.frombuffer(r["sum"]).reshape(width, dim)
+        own = np.frombuffer(r["sum"]).reshape(-1, width, dim)
+        found[r["run"]][r["cluster"] : r["cluster"] + len(own)] = own
         changed[r["run"]] += r["changed"]
         cost[r["run"]] += r["cost"]
     return found, changed, cost
