@@ -121,8 +121,8 @@ def admm_coefficients(df: DataFrame, params: SscAdmmParams, iterations: int = 20
     """(row_id, col_id, coef) of the four ADMM variants.
 
     Blocks of points are solved apart. All share one number of steps, found in a first pass: the first step at
-    which the largest errors over all blocks are within epsilon (or the last). ``stop='block'`` lets each block
-    stop by its own errors, at half the cost.
+    which the largest errors over all blocks are within epsilon (or the last, whose coefficients that pass has already).
+    ``stop='block'`` lets each block stop by its own errors.
     """
     sent, n, width = atoms(df)
     alpha = params.alpha if params.alpha != -1 else (20 if params.use_outliers else 800)
@@ -131,9 +131,13 @@ def admm_coefficients(df: DataFrame, params: SscAdmmParams, iterations: int = 20
     blocks = df.select("id").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // BLOCK)))).cast("int"))
 
     def errors(g: pd.DataFrame) -> pd.DataFrame:
+        """A row a step with its largest error, and (step -1) the coefficients after the last."""
         ids, x = sent.value
-        _, e = AdmmProblem(x, *args).solve(np.searchsorted(ids, np.sort(g["id"].to_numpy())), steps)
-        return pd.DataFrame({"step": np.arange(steps, dtype=np.int32), "worst": e.max(axis=1)})
+        cols = np.searchsorted(ids, np.sort(g["id"].to_numpy()))
+        c, e = AdmmProblem(x, *args).solve(cols, steps)
+        i, j = np.nonzero(c)
+        said = pd.DataFrame({"step": np.arange(steps), "worst": e.max(axis=1), "row_id": -1, "col_id": -1, "coef": 0.0})
+        return pd.concat([said, pd.DataFrame({"step": -1, "worst": 0.0, "row_id": ids[i], "col_id": ids[cols[j]], "coef": c[i, j]})])
 
     def solve(g: pd.DataFrame, until: int) -> pd.DataFrame:
         ids, x = sent.value
@@ -148,9 +152,12 @@ def admm_coefficients(df: DataFrame, params: SscAdmmParams, iterations: int = 20
 
     until = -1
     if stop == "global":
-        worst = blocks.groupBy("block").applyInPandas(errors, "step int, worst double").groupBy("step").agg(F.max("worst").alias("worst"))
+        whole = cut_lineage(blocks.groupBy("block").applyInPandas(errors, f"step int, worst double, {COEFFICIENTS}"))
+        worst = whole.where("step >= 0").groupBy("step").agg(F.max("worst").alias("worst"))
         first = worst.where(F.col("worst") <= eps).agg(F.min("step")).first()[0]
-        until = first + 1 if first is not None else steps
+        if first is None or first + 1 == steps:
+            return whole.where("step < 0").select("row_id", "col_id", "coef")
+        until = first + 1
     return blocks.groupBy("block").applyInPandas(lambda g: solve(g, until), COEFFICIENTS)
 
 
