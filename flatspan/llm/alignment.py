@@ -6,13 +6,16 @@ import hashlib
 import math
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +25,13 @@ from flatspan.llm.minimal_hash import MinimalHash
 #: Where the vocabulary files are, and their names: byte-level BPE (A) and pieces with byte fallback (B).
 FOLDER, A_FILE, B_FILE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text of a block (one document at least), and blocks whose counts are summed together before they meet the others.
-BLOCK_BYTES, BRANCH = 8 << 20, 512
+BLOCK_BYTES, BRANCH = 4 << 20, 1024
 #: Parts of the pairs by their A id. A part has at most (A's entries / PARTS) x B's entries pairs, 25 million of 4 bytes here.
 PARTS = 64
 #: Bits of a B id in a pair's key.
 B_BITS = 20
+#: Distinct pieces that a worker remembers, so that frequent ones go through the tokenizers once.
+REMEMBERED = 300_000
 #: Bytes of pieces that go through a tokenizer together.
 _TOGETHER = 32_000
 
@@ -70,8 +75,8 @@ def _byte_letters() -> dict[str, int]:
 
 
 @lru_cache(maxsize=1)
-def _vocabularies(a_file: bytes, b_file: bytes) -> Vocabularies:
-    return Vocabularies(a_file, b_file)
+def _lexicon(a_file: bytes, b_file: bytes) -> Lexicon:
+    return Lexicon(Vocabularies(a_file, b_file))
 
 
 def pieces_of(text: str, cuts: bool = True) -> list[str]:
@@ -85,37 +90,50 @@ def pieces_of(text: str, cuts: bool = True) -> list[str]:
     return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
 
+def _distinct(ascending: np.ndarray) -> np.ndarray:
+    return ascending[np.append(True, ascending[1:] != ascending[:-1])] if len(ascending) else ascending
+
+
 @dataclass
-class Aligned:
-    """Tokens of distinct pieces: ids of A and B one after another, numbers by piece, and every overlapping pair."""
+class Tokens:
+    """Token ids of distinct pieces, one piece after another, and how many each has; ok: both tokenizers give its bytes back."""
 
     ok: np.ndarray
     a: np.ndarray
     b: np.ndarray
     n_a: np.ndarray
     n_b: np.ndarray
+
+    def extended(self, more: Tokens) -> Tokens:
+        return Tokens(*[np.concatenate([getattr(self, f.name), getattr(more, f.name)]) for f in fields(self)])
+
+    def of(self, pieces: np.ndarray) -> Tokens:
+        n_a, n_b = self.n_a[pieces], self.n_b[pieces]
+        return Tokens(self.ok[pieces], self.a[_spread((np.cumsum(self.n_a) - self.n_a)[pieces], n_a)], self.b[_spread((np.cumsum(self.n_b) - self.n_b)[pieces], n_b)], n_a, n_b)
+
+
+@dataclass
+class Aligned:
+    """Groups and overlapping pairs of the tokens of pieces, piece by piece."""
+
     n_groups: np.ndarray
     a_last: np.ndarray  # whether an A (B) token ends a group
     b_last: np.ndarray
-    keys: np.ndarray  # of the pairs, piece by piece
+    keys: np.ndarray  # of the pairs
     n_links: np.ndarray
 
 
-def aligned(pieces: list[str], v: Vocabularies) -> Aligned:
-    """Byte ranges of A and B tokens of each piece, met at their ends.
-
-    Pieces go through the tokenizers in strings of many. Where a string's tokens don't give its bytes back, its pieces go
+def tokenized(pieces: list[str], v: Vocabularies) -> Tokens:
+    """Pieces go through the tokenizers in strings of many. Where a string's tokens don't give its bytes back, its pieces go
     alone, and those that still don't have no tokens.
     """
-    ok = np.ones(len(pieces), dtype=bool)
-    found_a: list[list[int]] = []
-    found_b: list[list[int]] = []
+    found: list[tuple[list[int], list[int]]] = []  # of each string
+    order: list[np.ndarray] = []  # its pieces
     sizes = np.array([len(p.encode()) + 1 for p in pieces], dtype=np.int64)
     alone = np.array([not p or _EDGE.search(p) is not None for p in pieces], dtype=bool)
+    ok = np.ones(len(pieces), dtype=bool)
     together = np.flatnonzero(~alone)
-    chunks = np.split(together, np.flatnonzero(np.diff(np.cumsum(sizes[together]) // _TOGETHER)) + 1) if len(together) else []
-    groups = [c for c in chunks if len(c)] + [np.array([k]) for k in np.flatnonzero(alone)]
-    order: list[np.ndarray] = []
+    strings = np.split(together, np.flatnonzero(np.diff(np.cumsum(sizes[together]) // _TOGETHER)) + 1) if len(together) else []
 
     def add(group: np.ndarray) -> None:
         text = " ".join([pieces[k] for k in group])
@@ -124,8 +142,7 @@ def aligned(pieces: list[str], v: Vocabularies) -> Aligned:
         if b"".join([v.a_bytes[i] for i in a]) == raw and b"".join([v.b_bytes[i] for i in b]) == raw:
             ends = np.cumsum(sizes[group])
             if len(group) == 1 or (np.isin(ends, np.cumsum(v.a_size[a])).all() and np.isin(ends, np.cumsum(v.b_size[b])).all()):
-                found_a.append(a)
-                found_b.append(b)
+                found.append((a, b))
                 order.append(group)
                 return
         if len(group) == 1:
@@ -134,30 +151,39 @@ def aligned(pieces: list[str], v: Vocabularies) -> Aligned:
             for k in group:
                 add(np.array([k]))
 
-    for g in groups:
+    for g in [*strings, *np.flatnonzero(alone)[:, None]]:
         add(g)
-    flat = lambda found: np.array([i for x in found for i in x], dtype=np.int64)
-    a, b = flat(found_a), flat(found_b)
     rank = np.concatenate(order) if order else np.zeros(0, dtype=np.int64)
-    ends, a_ends, b_ends = np.cumsum(sizes[rank]), np.cumsum(v.a_size[a]), np.cumsum(v.b_size[b])
-    piece = lambda at: np.searchsorted(ends, at, side="left")  # noqa: E731  which piece a byte range ends in
-    both = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    cuts = np.union1d(a_ends, b_ends)  # between two cuts lies one A token and one B token: a pair that overlaps, each once
-    keys = (a[np.searchsorted(a_ends, cuts)] << B_BITS) | b[np.searchsorted(b_ends, cuts)]
-    # back to the order of the pieces
-    a_piece, b_piece, cut_piece = rank[piece(a_ends)], rank[piece(b_ends)], rank[piece(cuts)]
-    count = lambda x: np.bincount(x, minlength=len(pieces))
-    sort_a, sort_b, sort_c = (np.argsort(x, kind="stable") for x in (a_piece, b_piece, cut_piece))
-    return Aligned(
-        ok, a[sort_a], b[sort_b], count(a_piece), count(b_piece), count(rank[piece(both)]),
-        np.isin(a_ends, both, assume_unique=True)[sort_a], np.isin(b_ends, both, assume_unique=True)[sort_b], keys[sort_c], count(cut_piece),
-    )
-
-
-def group_texts(x: Aligned) -> list[str]:
+    ends, ids, counts = np.cumsum(sizes[rank]), [], []
+    for k, size in enumerate((v.a_size, v.b_size)):
+        flat = np.array([i for x in found for i in x[k]], dtype=np.int64)
+        piece = rank[np.searchsorted(ends, np.cumsum(size[flat]))]
+        ids.append(flat[np.argsort(piece, kind="stable")])
+        counts.append(np.bincount(piece, minlength=len(pieces)))
+    return Tokens(ok, *ids, *counts)
+
+
+def aligned(t: Tokens, v: Vocabularies) -> Aligned:
+    """Byte ranges of A and B tokens, met at their ends. All pieces lie one after another, and each begins and ends with both tokenizers' tokens."""
+    a_ends, b_ends = np.cumsum(v.a_size[t.a]), np.cumsum(v.b_size[t.b])
+    ends = np.cumsum(_segments(v.a_size[t.a], t.n_a))
+    every = np.sort(np.concatenate([a_ends, b_ends]))
+    twice = every[1:] == every[:-1] if len(every) else np.zeros(0, dtype=bool)
+    both, cuts = every[1:][twice], _distinct(every)
+    # between two cuts lies one A token and one B token: a pair that overlaps, each once
+    keys = (t.a[np.searchsorted(a_ends, cuts)] << B_BITS) | t.b[np.searchsorted(b_ends, cuts)]
+    upto = lambda x: np.diff(np.searchsorted(x, ends, side="right"), prepend=0)  # noqa: E731  how many of x each piece has
+    return Aligned(upto(both), _within(a_ends, both), _within(b_ends, both), keys, upto(cuts))
+
+
+def _within(x: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    return ascending[np.minimum(np.searchsorted(ascending, x), len(ascending) - 1)] == x if len(ascending) else np.zeros(len(x), dtype=bool)
+
+
+def group_texts(t: Tokens, x: Aligned) -> list[str]:
     """``a1,a2|b1;a3|b2,b3`` for every piece."""
     joined = []
-    for ids, last in ((x.a, x.a_last), (x.b, x.b_last)):
+    for ids, last in ((t.a, x.a_last), (t.b, x.b_last)):
         said, out, at = list(map(str, ids.tolist())), [], 0
         for end in (np.flatnonzero(last) + 1).tolist():
             out.append(",".join(said[at:end]) if end - at > 1 else said[at])
@@ -172,26 +198,11 @@ def group_texts(x: Aligned) -> list[str]:
 
 @dataclass
 class Block:
-    """The texts of a block as numbers of distinct pieces."""
+    """The texts of a block as numbers of its distinct pieces, and those pieces' tokens."""
 
-    pieces: list[str]
     which: np.ndarray  # piece of every place
-    first: np.ndarray  # where each text begins in it
-    size: np.ndarray  # its places
-
-    @classmethod
-    def of(cls, raws: list[bytes], cuts: bool) -> Block:
-        number: dict[str, int] = {}
-        which: list[int] = []
-        size = []
-        for raw in raws:
-            own = pieces_of(raw.decode(), cuts) if raw else []
-            for p in set(own).difference(number):
-                number[p] = len(number)
-            which += map(number.__getitem__, own)
-            size.append(len(own))
-        n = np.array(size, dtype=np.int64)
-        return cls(list(number), np.array(which, dtype=np.int64), np.cumsum(n) - n, n)
+    size: np.ndarray  # places of each text
+    tokens: Tokens
 
     def documents(self) -> np.ndarray:
         """The text of every place."""
@@ -201,9 +212,45 @@ class Block:
         """By text."""
         return _segments(by_piece[self.which], self.size)
 
-    def whole(self, x: Aligned) -> np.ndarray:
+    def whole(self) -> np.ndarray:
         """Texts that have tokens: not empty, and both tokenizers give every byte back."""
-        return (self.sums((~x.ok).astype(np.int64)) == 0) & (self.size > 0)
+        return (self.sums((~self.tokens.ok).astype(np.int64)) == 0) & (self.size > 0)
+
+    def to_row(self) -> dict[str, bytes]:
+        t = self.tokens
+        return {"which": self.which.astype("<u4").tobytes(), "size": self.size.astype("<i8").tobytes(), "ok": t.ok.tobytes()} | {k: getattr(t, k).astype("<u4").tobytes() for k in ("a", "b", "n_a", "n_b")}
+
+    @classmethod
+    def from_row(cls, r: dict) -> Block:
+        whole = lambda k: np.frombuffer(r[k], dtype="<u4").astype(np.int64)
+        return cls(whole("which"), np.frombuffer(r["size"], dtype="<i8"), Tokens(np.frombuffer(r["ok"], dtype=bool), *map(whole, ("a", "b", "n_a", "n_b"))))
+
+
+class Lexicon:
+    """Pieces met by a worker and their tokens; begins anew beyond REMEMBERED pieces."""
+
+    def __init__(self, v: Vocabularies):
+        self.v, self.number = v, defaultdict()
+        self.forget()
+
+    def forget(self) -> None:
+        self.number.default_factory = None  # it refers to its dictionary, which would stay until garbage is looked for
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.tokens = tokenized([], self.v)
+
+    def block(self, raws: list[bytes]) -> Block:
+        if len(self.number) > REMEMBERED:
+            self.forget()
+        number, which, size, known = self.number, [], [], len(self.number)
+        for raw in raws:
+            own = pieces_of(raw.decode(), self.v.cuts) if raw else []
+            which += map(number.__getitem__, own)
+            size.append(len(own))
+        if len(number) > known:
+            self.tokens = self.tokens.extended(tokenized(list(islice(number, known, None)), self.v))
+        used, own = np.unique(np.array(which, dtype=np.int64), return_inverse=True)
+        return Block(own, np.array(size, dtype=np.int64), self.tokens.of(used))
 
 
 def _segments(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -214,20 +261,22 @@ def _segments(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def pair_counts(block: Block, x: Aligned) -> tuple[np.ndarray, np.ndarray]:
     """(keys, ascending; number of the block's documents that hold each linked)."""
-    good = block.whole(x)
     doc = block.documents()
-    keep = good[doc]
-    seen = np.unique((doc[keep] << 32) | block.which[keep])
+    keep = block.whole()[doc]
+    seen = _distinct(np.sort((doc[keep] << 32) | block.which[keep]))
     doc, piece = seen >> 32, seen & 0xFFFFFFFF
-    start = np.cumsum(x.n_links) - x.n_links
-    n = x.n_links[piece]
-    at = np.repeat(start[piece] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     kinds, number = np.unique(x.keys, return_inverse=True)
-    held = np.unique((np.repeat(doc, n) << 32) | number[at]) & 0xFFFFFFFF
-    count = np.bincount(held, minlength=len(kinds))
+    n = x.n_links[piece]
+    held = (np.repeat(doc, n) << 32) | number[_spread((np.cumsum(x.n_links) - x.n_links)[piece], n)]
+    count = np.bincount(_distinct(np.sort(held)) & 0xFFFFFFFF, minlength=len(kinds))
     return kinds[count > 0], count[count > 0]
 
 
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run of n."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def _packed(keys: np.ndarray) -> bytes:
     """Ascending keys as differences."""
     return zlib.compress(np.diff(keys, prepend=0).astype("<i8").tobytes(), 1)
@@ -249,48 +298,53 @@ def _one(b: pd.DataFrame) -> dict:
     return b.iloc[0].to_dict()
 
 
-def in_blocks(docs: DataFrame) -> DataFrame:
-    """(block, ids, no_id, sizes, raw): the texts of documents that stand together, in one row a block, stored in the shared folder.
+CELLS = "cells array<struct<part int, keys binary, n binary>>"
+ROW = f"ids binary, no_id binary, which binary, size binary, ok binary, a binary, b binary, n_a binary, n_b binary, {CELLS}"
+
+
+def _cells(block: Block, x: Aligned) -> list[dict]:
+    keys, n = pair_counts(block, x)
+    part = (keys >> B_BITS) % PARTS
+    return [{"part": p, "keys": _packed(keys[part == p]), "n": _numbers(n[part == p])} for p in np.unique(part).tolist()]
+
+
+def tokenized_blocks(docs: DataFrame, files: Broadcast) -> DataFrame:
+    """A row a block of documents that stand together: their ids and tokens, and the block's distinct linked pairs, stored in the shared folder.
 
     Nothing is shuffled. Numbers of blocks are fixed once written, so a lost executor changes none.
     """
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = _lexicon(*files.value)
+
+        def row(held: list) -> pd.DataFrame:
+            block = lexicon.block([r.raw for r in held])
+            ids = {"ids": np.array([r.id for r in held], dtype="<i8").tobytes(), "no_id": np.array([r.no_id for r in held], dtype=bool).tobytes()}
+            return pd.DataFrame([ids | block.to_row() | {"cells": _cells(block, aligned(block.tokens, lexicon.v))}])
+
         held, size = [], 0
         for b in batches:
-            for row in b.itertuples(index=False):
-                held.append(row)
-                size += len(row.raw)
-                if size >= BLOCK_BYTES or len(held) >= 200_000:
-                    yield _row(held)
+            for r in b.itertuples(index=False):
+                held.append(r)
+                size += len(r.raw)
+                if size >= BLOCK_BYTES or len(held) >= 100_000:
+                    yield row(held)
                     held, size = [], 0
         if held:
-            yield _row(held)
-
-    def _row(held: list) -> pd.DataFrame:
-        return pd.DataFrame({
-            "ids": [np.array([r.id for r in held], dtype="<i8").tobytes()], "no_id": [np.array([r.no_id for r in held], dtype=bool).tobytes()],
-            "sizes": [np.array([len(r.raw) for r in held], dtype="<i8").tobytes()], "raw": [b"".join(r.raw for r in held)],
-        })
+            yield row(held)
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), as_utf8(F.coalesce("text", F.lit(""))).alias("raw"))
-    packed = rows.mapInPandas(pack, "ids binary, no_id binary, sizes binary, raw binary")
-    return stored(packed.withColumn("block", F.monotonically_increasing_id()))
-
-
-def _texts(sizes: bytes, raw: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(sizes, dtype="<i8")).tolist()
-    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return stored(rows.mapInPandas(read, ROW).withColumn("block", F.monotonically_increasing_id()))
 
 
 def align_documents(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for every whole text.
 
-    First pass: each block of texts sends its distinct linked pairs, cut in parts by A id, with the number of its documents
-    that hold each. A part unites its pairs and gives them a minimal perfect hash function; blocks' numbers become dense
+    First pass: texts are tokenized once and stored as ids, in blocks; each block sends its distinct linked pairs, cut in parts by
+    A id, with the number of its documents that hold each. A part unites its pairs and gives them a minimal perfect hash function; blocks' numbers become dense
     vectors indexed by it, summed in a tree (blocks of a branch, then branches), and keys kept in the same order verify every
     lookup. An A id's pairs are all in one part, so its highest count is known there. Second pass: documents are aligned
-    again and look up the counts of their block's pairs.
+    again, from the stored ids, and look up the counts of their block's pairs.
 
     A null or empty text, or one whose tokens don't give back its bytes, has zeros and an empty digest. Repeated
     rows each get a row and each count as a document; a null id stays null; an empty table gives an empty result; further
@@ -299,20 +353,10 @@ def align_documents(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     """
     spark = docs.sparkSession
     files = spark.sparkContext.broadcast(tuple((Path(folder) / f).read_bytes() for f in (A_FILE, B_FILE)))
-    blocks = in_blocks(docs)
+    blocks = tokenized_blocks(docs, files)
     branches = max(1, math.ceil(blocks.count() / BRANCH))
     of_branch = F.pmod(F.xxhash64("block"), F.lit(branches)).cast("int").alias("branch")
-
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = _vocabularies(*files.value)
-        for b in batches:
-            for block, sizes, raw in zip(b["block"], b["sizes"], b["raw"], strict=True):
-                own = Block.of(_texts(sizes, raw), v.cuts)
-                keys, n = pair_counts(own, aligned(own.pieces, v))
-                part = (keys >> B_BITS) % PARTS
-                yield pd.DataFrame([(p, block, _packed(keys[part == p]), _numbers(n[part == p])) for p in np.unique(part).tolist()], columns=["part", "block", "keys", "n"])
-
-    cells = stored(blocks.select("block", "sizes", "raw").mapInPandas(send, "part int, block long, keys binary, n binary")).select("part", of_branch, "block", "keys", "n")
+    cells = blocks.select("block", of_branch, F.explode("cells").alias("c")).select("c.part", "branch", "block", "c.keys", "c.n")
 
     def unite(g: pd.DataFrame) -> pd.DataFrame:
         kinds = np.unique(np.concatenate([_unpacked(k) for k in g["keys"]]))
@@ -367,27 +411,25 @@ def align_documents(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     answers = cells.groupBy("part", "branch").cogroup(counts.select("*", to_all).groupBy("part", "branch")).applyInPandas(answer, "block long, keys binary, n binary, best binary")
 
     def look_up(b: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-        v, b = _vocabularies(*files.value), _one(b)
-        own = Block.of(_texts(b["sizes"], b["raw"]), v.cuts)
-        x = aligned(own.pieces, v)
-        good = own.whole(x)
+        b = _one(b)
+        own = Block.from_row(b)
+        x, good = aligned(own.tokens, _lexicon(*files.value).v), own.whole()
         keys = np.concatenate([np.zeros(0, dtype=np.int64), *[_unpacked(k) for k in said["keys"]]])
         n = np.concatenate([np.zeros(0, dtype=np.int64), *[_read(k) for k in said["n"]]])
         best = np.concatenate([np.zeros(0, dtype=bool), *[np.unpackbits(np.frombuffer(k, dtype=np.uint8), count=len(_unpacked(q))).astype(bool) for k, q in zip(said["best"], said["keys"], strict=True)]])
         order = np.argsort(keys)
         keys, n, best = keys[order], n[order], best[order]
-        # pairs of pieces that stand in texts without tokens alone have no count; those texts' sums are not used
+        # pairs that only texts without tokens hold have no count; no sum uses them
         at = np.minimum(np.searchsorted(keys, x.keys), max(len(keys) - 1, 0))
         known = keys[at] == x.keys if len(keys) else np.zeros(len(x.keys), dtype=bool)
         by_piece = lambda w: _segments(np.where(known, w[at] if len(w) else 0, 0), x.n_links)
-        texts = group_texts(x)
-        which, first = own.which.tolist(), own.first.tolist()
+        texts, which, first = group_texts(own.tokens, x), own.which.tolist(), (np.cumsum(own.size) - own.size).tolist()
         digests = [hashlib.sha256(";".join([texts[k] for k in which[s : s + m]]).encode()).hexdigest() if ok else "" for s, m, ok in zip(first, own.size.tolist(), good.tolist(), strict=True)]
         count = lambda by: np.where(good, own.sums(by), 0)
         return pd.DataFrame({
-            "id": np.frombuffer(b["ids"], dtype="<i8"), "no_id": np.frombuffer(b["no_id"], dtype=bool), "n_a": count(x.n_a), "n_b": count(x.n_b), "n_groups": count(x.n_groups),
+            "id": np.frombuffer(b["ids"], dtype="<i8"), "no_id": np.frombuffer(b["no_id"], dtype=bool), "n_a": count(own.tokens.n_a), "n_b": count(own.tokens.n_b), "n_groups": count(x.n_groups),
             "n_links": count(x.n_links), "n_best": count(by_piece(best)), "count_sum": count(by_piece(n)), "groups_sha256": digests,
         })
 
-    done = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(look_up, "id long, no_id boolean, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    done = blocks.drop("cells").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(look_up, "id long, no_id boolean, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
     return done.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), *done.columns[2:])

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from flatspan.llm.alignment import A_FILE, B_FILE, FOLDER, Vocabularies, align_documents, aligned, group_texts, pieces_of
+from flatspan.llm.alignment import A_FILE, B_FILE, FOLDER, Vocabularies, align_documents, aligned, group_texts, pieces_of, tokenized
 from flatspan.llm.minimal_hash import MinimalHash
 from tests.llm.helpers import documents, frame, odd_documents
 
@@ -97,13 +97,13 @@ def test_nulls_repeats_long_texts_and_empty_tables(spark, vocabularies):
 @given(st.text(alphabet=st.one_of(st.sampled_from("ab  \t\n  　​.,'é1日🙂́"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_pieces_have_the_tokens_of_the_whole_text(text):
     v = _cached()
-    x = aligned(pieces_of(text), v)
+    t = tokenized(pieces_of(text), v)
     whole = tokens(v, text)
     if text:
-        assert bool(x.ok.all()) == (whole is not None)
+        assert bool(t.ok.all()) == (whole is not None)
     if whole and text:
-        assert (x.a.tolist(), x.b.tolist()) == whole[:2]
-        assert ";".join(group_texts(x)) == ";".join(groups_of(*whole))
+        assert (t.a.tolist(), t.b.tolist()) == whole[:2]
+        assert ";".join(group_texts(t, aligned(t, v))) == ";".join(groups_of(*whole))
 
 
 _KEPT: list = []
