@@ -25,13 +25,13 @@ from flatspan.llm.minimal_hash import MinimalHash
 #: Where the vocabulary files are, and their names: byte-level BPE (A) and pieces with byte fallback (B).
 FOLDER, A_FILE, B_FILE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text of a block (one document at least), and blocks whose counts are summed together before they meet the others.
-BLOCK_BYTES, BRANCH = 4 << 20, 1024
+BLOCK_BYTES, BRANCH = 2 << 20, 2048
 #: Parts of the pairs by their A id. A part has at most (A's entries / PARTS) x B's entries pairs, 25 million of 4 bytes here.
 PARTS = 64
 #: Bits of a B id in a pair's key.
 B_BITS = 20
 #: Distinct pieces that a worker remembers, so that frequent ones go through the tokenizers once.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: Bytes of pieces that go through a tokenizer together.
 _TOGETHER = 32_000
 
@@ -218,12 +218,22 @@ class Block:
 
     def to_row(self) -> dict[str, bytes]:
         t = self.tokens
-        return {"which": self.which.astype("<u4").tobytes(), "size": self.size.astype("<i8").tobytes(), "ok": t.ok.tobytes()} | {k: getattr(t, k).astype("<u4").tobytes() for k in ("a", "b", "n_a", "n_b")}
+        return {"which": _narrow(self.which), "size": self.size.astype("<i8").tobytes(), "ok": t.ok.tobytes()} | {k: _narrow(getattr(t, k)) for k in ("a", "b", "n_a", "n_b")}
 
     @classmethod
     def from_row(cls, r: dict) -> Block:
-        whole = lambda k: np.frombuffer(r[k], dtype="<u4").astype(np.int64)
-        return cls(whole("which"), np.frombuffer(r["size"], dtype="<i8"), Tokens(np.frombuffer(r["ok"], dtype=bool), *map(whole, ("a", "b", "n_a", "n_b"))))
+        size, ok = np.frombuffer(r["size"], dtype="<i8"), np.frombuffer(r["ok"], dtype=bool)
+        n_a, n_b = (_wide(r[k], len(ok)) for k in ("n_a", "n_b"))
+        return cls(_wide(r["which"], size.sum()), size, Tokens(ok, _wide(r["a"], n_a.sum()), _wide(r["b"], n_b.sum()), n_a, n_b))
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers in two bytes each where they fit, else four."""
+    return x.astype("<u2" if len(x) and x.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{len(raw) // n}" if n else "<u4").astype(np.int64)
 
 
 class Lexicon:
