@@ -228,11 +228,12 @@ class Block:
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """Numbers in two bytes each where they fit, else four."""
-    return x.astype("<u2" if len(x) and x.max() < 1 << 16 else "<u4").tobytes()
+    """Numbers in two bytes each where they fit, else four, compressed."""
+    return zlib.compress(x.astype("<u2" if len(x) and x.max() < 1 << 16 else "<u4").tobytes(), 1)
 
 
 def _wide(raw: bytes, n: int) -> np.ndarray:
+    raw = zlib.decompress(raw)
     return np.frombuffer(raw, dtype=f"<u{len(raw) // n}" if n else "<u4").astype(np.int64)
 
 
