@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,8 @@ BLOCK, PIECE = 4096, 256
 
 
 def packed(df: DataFrame, column: str, dtype: str = "f8", rows: int = BLOCK) -> DataFrame:
-    """(block, ids, x): rows that stand together in a partition, as arrays of bytes. Narrow: nothing is shuffled."""
+    """(block, ids, x): rows that stand together, as arrays of bytes. As many blocks as the rows ask for, whatever df's partitions."""
+    df = df.select("id", column).repartition(max(1, math.ceil(df.count() / rows)))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -34,7 +36,7 @@ def packed(df: DataFrame, column: str, dtype: str = "f8", rows: int = BLOCK) ->
     def _one(b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"ids": [b["id"].to_numpy(dtype=np.int64).tobytes()], "x": [np.array(b[column].to_list(), dtype=dtype).tobytes()]})
 
-    return cut_lineage(df.select("id", column).mapInPandas(pack, "ids binary, x binary").withColumn("block", F.monotonically_increasing_id()))
+    return cut_lineage(df.mapInPandas(pack, "ids binary, x binary").withColumn("block", F.monotonically_increasing_id()))
 
 
 def against(left: DataFrame, right: DataFrame, compare: Callable, schema: str, dtype: str = "f8") -> DataFrame:

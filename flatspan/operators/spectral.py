@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import warnings
-
 import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flatspan.functions.vectors import EPS
-from flatspan.runtime import cut_lineage
+from flatspan.operators.kmeans import kmeans_labels
+from flatspan.operators.krylov import leading_vectors
 
-#: k-means starts, and steps of the subspace iteration between two looks at its convergence.
-STARTS, STEPS = 20, 5
-#: Up to so many rows, the eigenproblem is one task's work (its matrix is of bounded size).
-DIRECT = 2500
+#: k-means starts.
+STARTS = 20
 
 
 def adjacency(coefficients: DataFrame) -> DataFrame:
@@ -64,80 +58,17 @@ def distance(affinity: DataFrame) -> DataFrame:
     return affinity.select("i", "j", (1 - F.col("value")).alias("value"))
 
 
-def embedding(affinity: DataFrame, ids: DataFrame, k: int, seed: int = 0, most: int = 150, tol: float = 1e-7) -> DataFrame:
-    """(id, vector): the k smallest singular directions of the Laplacian, each row scaled to norm 1.
+def embedding(affinity: DataFrame, ids: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """(id, vector): the k smallest singular directions of the Laplacian, each row scaled to norm 1."""
+    v, _ = smallest_directions(affinity, ids, k, seed)
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)) + EPS
+    return v.select("id", F.zip_with("vector", F.array_repeat(norm, F.size("vector")), lambda x, m: x / m).alias("vector"))
 
-    Subspace iteration on I + D^-1/2 W D^-1/2 (whose largest directions these are): the rows' k + 4 numbers are one
-    distributed table, a step is one join along the edges and one sum by row, and the driver only sees Gram
-    matrices of k + 4 columns. Nothing has the size of the rows squared.
-    """
-    n, wide = ids.count(), k + 4
-    if n <= DIRECT:
-        return _direct(affinity, ids, k)
-    w = normalized(affinity, degrees(affinity, ids)).persist()
-    noise = F.array(*[(F.xxhash64("id", F.lit(seed), F.lit(c)).cast("double") / float(2**63)) for c in range(wide)])
-    v = cut_lineage(ids.select("id", noise.alias("v")))
-    last = None
-    for step in range(most):
-        moved = w.join(v.select(F.col("id").alias("j"), "v"), "j").select(F.col("i").alias("id"), *[(F.col("value") * F.col("v")[c]).alias(f"c{c}") for c in range(wide)])
-        moved = moved.groupBy("id").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(wide)])
-        y = v.join(moved, "id", "left").select("id", F.array(*[F.col("v")[c] + F.coalesce(f"c{c}", F.lit(0.0)) for c in range(wide)]).alias("v"))
-        y = cut_lineage(y)
-        gram = _gram(y, wide)
-        values, vectors = np.linalg.eigh(gram)
-        good = values > values.max() * 1e-14
-        turn = np.zeros((wide, wide))
-        turn[:, good] = vectors[:, good] / np.sqrt(values[good])
-        turn = turn[:, ::-1]
-        v = y.select("id", F.array(*[sum((F.col("v")[a] * float(turn[a, c]) for a in range(wide)), F.lit(0.0)) for c in range(wide)]).alias("v"))
-        if step % STEPS == STEPS - 1:
-            now = np.sqrt(np.maximum(values[::-1][:k], 0))
-            if last is not None and np.abs(now - last).max() < tol:
-                break
-            last = now
-    else:
-        warnings.warn(f"the embedding still changed by more than {tol} after {most} steps", stacklevel=2)
-    w.unpersist()
-    own = F.slice("v", 1, k)
-    norm = F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, x: s + x * x)) + EPS
-    return v.select("id", F.zip_with(own, F.array_repeat(norm, k), lambda x, m: x / m).alias("vector"))
-
-
-def _direct(affinity: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """The embedding of at most DIRECT rows by one dense eigenproblem, in one task."""
-
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        names = np.sort(g.loc[g["j"].isna(), "i"].to_numpy().astype(np.int64))
-        e = g[g["j"].notna()]
-        w = np.zeros((len(names), len(names)))
-        w[np.searchsorted(names, e["i"].to_numpy().astype(np.int64)), np.searchsorted(names, e["j"].to_numpy().astype(np.int64))] = e["value"]
-        d = 1 / np.sqrt(w.sum(axis=1) + EPS)
-        vectors = np.linalg.eigh(np.eye(len(names)) - d[:, None] * w * d[None, :])[1][:, :k]
-        vectors = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + EPS)
-        return pd.DataFrame({"id": names, "vector": list(vectors)})
-
-    rows = affinity.select("i", "j", "value").union(ids.select("id", F.lit(None).cast("long"), F.lit(None).cast("double")))
-    return rows.groupBy(F.lit(0).alias("g")).applyInPandas(solve, "id long, vector array<double>")
-
-
-def _gram(v: DataFrame, wide: int) -> np.ndarray:
-    cells = [(a, c) for a in range(wide) for c in range(a, wide)]
-    r = v.agg(*[F.sum(F.col("v")[a] * F.col("v")[c]).alias(f"g{a}_{c}") for a, c in cells]).first()
-    out = np.zeros((wide, wide))
-    for a, c in cells:
-        out[a, c] = out[c, a] = r[f"g{a}_{c}"] or 0.0
-    return out
-
-
-def kmeans_labels(embedded: DataFrame, k: int, seed: int = 0, iterations: int = 200, starts: int = STARTS) -> DataFrame:
-    """(id, cluster): the best of several k-means runs by training cost."""
-    data = embedded.select("id", array_to_vector("vector").alias("features")).persist()
-    try:
-        fits = [KMeans(k=k, seed=seed + s, maxIter=iterations).fit(data) for s in range(starts)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        return best.transform(data).select("id", F.col("prediction").alias("cluster"))
-    finally:
-        data.unpersist()
+
+def smallest_directions(affinity: DataFrame, ids: DataFrame, k: int, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """((id, vector), singular values) of the Laplacian: the largest eigenvectors of D^-1/2 W D^-1/2, whose values are at most 1."""
+    v, values = leading_vectors(normalized(affinity, degrees(affinity, ids)), ids, k, seed)
+    return v, 1 - values
 
 
 def spectral_labels(affinity: DataFrame, ids: DataFrame, k: int, seed: int = 0, iterations: int = 200, starts: int = STARTS) -> DataFrame:

@@ -301,6 +301,18 @@ def degree_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.laplacian(w, spectral.degrees(w, ids)).withColumn("value", rounded(F.col("value")))
 
 
+@query("SELECT CAST(k AS INTEGER) AS pair, true AS settled, true AS unit FROM range(10) AS r(k)")
+def spectral_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each of the ten smallest directions solves the Laplacian's equation, |Lv - sv| <= 2e-5, by joins with its entries."""
+    w, ids = spectral.adjacency(top_coefficients(spark, sf_dir)).persist(), embedded(spark, sf_dir).select("id")
+    found, values = spectral.smallest_directions(w, ids, 10)
+    v = found.select("id", F.posexplode("vector").alias("pair", "v"))
+    moved = spectral.laplacian(w, spectral.degrees(w, ids)).join(v.withColumnRenamed("id", "j"), "j").groupBy(F.col("i").alias("id"), "pair").agg(F.sum(F.col("value") * F.col("v")).alias("lv"))
+    rest = F.col("lv") - F.col("v") * F.element_at(literal_vector(values), F.col("pair") + 1)
+    sums = moved.join(v, ["id", "pair"]).groupBy("pair").agg(F.sqrt(F.sum(rest * rest)).alias("rest"), F.sum(F.col("v") * F.col("v")).alias("norm"))
+    return sums.select("pair", (F.col("rest") <= 2e-5).alias("settled"), (F.abs(F.col("norm") - 1) <= 1e-6).alias("unit"))
+
+
 @query()
 def ssc_omp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = embedded(spark, sf_dir)

@@ -10,7 +10,7 @@ from flatspan import queries
 from flatspan.frame import vectors, width_of
 from flatspan.operators import ksubspaces as ks
 from flatspan.operators import sparse_subspace as ssc
-from flatspan.operators import pairing, spectral
+from flatspan.operators import kmeans, krylov, pairing, spectral
 from flatspan.operators.regression import LinearSVR, OwlModel, OwlRegression
 from flatspan.operators.tracking import SubspaceTracker, SubspaceTrackerModel
 from flatspan.params import EnsembleParams, SscAdmmParams, SscConvexParams
@@ -81,21 +81,51 @@ def test_trim_matches_dense(spark):
     assert ks.trim(coo, 12, -1) is coo
 
 
-def test_embedding_ways_agree(spark, monkeypatch):
+def coo(spark, a):
+    i, j = np.nonzero(a)
+    return spark.createDataFrame([(int(p), int(q), float(a[p, q])) for p, q in zip(i, j)], "i long, j long, value double")
+
+
+def test_embedding_equals_dense_eigenvectors(spark, monkeypatch):
+    monkeypatch.setattr(krylov, "ROWS", 16)
     rng = np.random.default_rng(0)
     a = rng.random((60, 60)) * np.where(np.arange(60)[:, None] // 20 == np.arange(60) // 20, 1.0, 0.03)
     a = np.triu(a, 1) + np.triu(a, 1).T
-    w = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(60) for j in range(60) if i != j], "i long, j long, value double").persist()
-    ids = spark.range(60)
-    direct = spectral.embedding(w, ids, 3)
-    monkeypatch.setattr(spectral, "DIRECT", 0)
-    iterated = spectral.embedding(w, ids, 3, most=25)
-    gram = lambda e: (lambda v: v @ v.T)(np.array([r.vector for r in e.orderBy("id").collect()]))
-    assert np.abs(gram(direct) - gram(iterated)).max() < 1e-3
-    labels = [r.cluster for r in spectral.kmeans_labels(direct, 3, starts=2).orderBy("id").collect()]
+    a[59] = a[:, 59] = 0  # a row without entries
+    w, ids = coo(spark, a).persist(), spark.range(60)
+    found, values = spectral.smallest_directions(w, ids, 3)
+    d = 1 / np.sqrt(a.sum(axis=1) + 2.3e-16)
+    want, vectors = np.linalg.eigh(np.eye(60) - d[:, None] * a * d)
+    got = np.array([r.vector for r in found.orderBy("id").collect()])
+    assert np.abs(values - want[:3]).max() < 1e-8 and np.abs(got @ got.T - vectors[:, :3] @ vectors[:, :3].T).max() < 1e-4
+    labels = [r.cluster for r in spectral.kmeans_labels(spectral.embedding(w, ids, 3), 3, starts=4).orderBy("id").collect()][:59]
     assert len({(c, i // 20) for i, c in enumerate(labels)}) == 3
 
 
+def test_embedding_of_separate_parts_and_few_rows(spark):
+    a = np.kron(np.eye(4), np.ones((15, 15)) - np.eye(15))
+    found, values = spectral.smallest_directions(coo(spark, a), spark.range(60), 4)
+    assert np.abs(values).max() < 1e-9 and found.count() == 60
+    found, values = spectral.smallest_directions(coo(spark, np.array([[0, 1.0], [1.0, 0]])), spark.range(2), 5)
+    assert np.allclose(values, [0, 2]) and found.count() == 2
+
+
+def test_kmeans_finds_groups_and_takes_all_starts_in_a_pass(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(6, 3)) * 20
+    x = np.repeat(centers, 50, axis=0) + rng.normal(size=(300, 3))
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(300)], "id long, vector array<double>")
+    data = pairing.packed(rows, "vector", rows=64)
+    found, cost = kmeans.kmeans_centers(data, 6, 0, 100, 8)
+    own = ((x[:, None] - found) ** 2).sum(axis=2)
+    assert np.isclose(cost, own.min(axis=1).sum()) and cost < 1.01 * ((x - np.repeat([x[50 * g : 50 * g + 50].mean(axis=0) for g in range(6)], 50, axis=0)) ** 2).sum()
+    again, _ = kmeans.kmeans_centers(data, 6, 0, 100, 8)
+    assert np.allclose(found, again)
+    labels = [r.cluster for r in kmeans.kmeans_labels(rows, 6).orderBy("id").collect()]
+    assert len({(c, i // 50) for i, c in enumerate(labels)}) == 6
+    assert kmeans.kmeans_labels(rows.limit(2), 3, starts=2).count() == 2
+
+
 def test_sparse_subspace_clusterings(spark):
     union = union_of_subspaces(spark, k=3, dim=20, width=2, each=25, noise=1e-4, seed=5).persist()
     df = union.select("id", "features")
