@@ -156,41 +156,143 @@ class AdmmProblem:
         return c[: self.n], errors
 
 
-def convex_point(x: np.ndarray, at: int, le: float, lz: float, affine: bool, tol: float = 1e-7, most: int = 4000) -> np.ndarray:
-    """min |c|_1 + le |e|_1 + lz/2 |z|^2 with y = Yc + e + z, c[at] = 0 (affine: sum c = 1), for the point x[at].
+def weighted_l1(a: np.ndarray, cost: np.ndarray, rhs: np.ndarray, lz: float, ones: np.ndarray | None, tol: float = 1e-9, most: int = 6000) -> tuple[np.ndarray, np.ndarray, float]:
+    """min cost'|v| + lz/2 |rhs - a v|^2 (lz = 0: with a v = rhs), where ones'v = 1 if ones is given: (v, dual of a, dual of ones).
 
-    le = 0 leaves e out, lz = 0 leaves z out. Solved by ADMM over the variables (c, e) and an exact projection:
-    with z present, y - Yc - e is penalised; without it, equality holds. Returns c for all rows of x.
+    ADMM over v and an exact projection, over-relaxed, its step balanced while residuals differ. At the end the scaled multipliers are the
+    cost's slopes at v, and a' dual + dual of ones gives them back.
     """
+    d, n = a.shape
+    rho = max(1.0, lz / 10) if lz else 10.0
+    v, u = np.zeros(n), np.zeros(n)
+
+    def parts(rho: float):
+        if lz:
+            inner = np.linalg.inv(rho / lz * np.eye(d) + a @ a.T)
+            inv = (np.eye(n) - a.T @ inner @ a) / rho
+            shift = inv @ (lz * (a.T @ rhs))
+            if ones is None:
+                return rho * inv, shift
+            ig = inv @ ones
+            keep = np.eye(n) - np.outer(ig, ones) / (ones @ ig)
+            return keep @ (rho * inv), keep @ shift + ig / (ones @ ig)
+        full, target = (a, rhs) if ones is None else (np.vstack([a, ones]), np.append(rhs, 1.0))
+        back = np.linalg.pinv(full)
+        return np.eye(n) - back @ full, back @ target
+
+    turn, shift = parts(rho)
+    for step in range(most):
+        w = turn @ (v - u) + shift
+        old, mixed = v, 1.6 * w - 0.6 * v
+        v = soft(mixed + u, cost / rho)
+        u = u + mixed - v
+        primal, dual = np.abs(w - v).max(initial=0.0), rho * np.abs(v - old).max(initial=0.0)
+        if primal < tol and dual < tol * max(1.0, rho):
+            break
+        if step % 50 == 49 and (exact := _smooth_corner(a, cost, rhs, lz, ones, v) if lz else _corner(a if ones is None else np.vstack([a, ones]), cost, rhs if ones is None else np.append(rhs, 1.0), v)):
+            v, both = exact
+            return v, both[:d], float(both[d]) if ones is not None else 0.0
+        if not lz and step == 299 and (exact := _pivoted(a if ones is None else np.vstack([a, ones]), cost, rhs if ones is None else np.append(rhs, 1.0), v)):
+            v, both = exact
+            return v, both[:d], float(both[d]) if ones is not None else 0.0
+        if step % 50 == 49 and step < most // 2 and not 0.1 < primal / max(dual, 1e-300) < 10:
+            scale = 2.0 if primal > dual else 0.5
+            rho, u = rho * scale, u / scale
+            turn, shift = parts(rho)
+    slope = rho * u
+    if not lz:
+        full = a if ones is None else np.vstack([a, ones])
+        dual = np.linalg.lstsq(full.T, slope, rcond=None)[0]
+        return v, dual[:d], float(dual[d]) if ones is not None else 0.0
+    dual = lz * (rhs - a @ v)
+    at = ones > 0 if ones is not None else None
+    return v, dual, float(np.mean(slope[at] - (a.T @ dual)[at])) if at is not None and at.any() else 0.0
+
+
+def _corner(full: np.ndarray, cost: np.ndarray, target: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(v, dual) if the largest entries make an optimal corner of min cost'|v| with full v = target, as both conditions prove."""
+    at = np.sort(np.argsort(-np.abs(v), kind="stable")[: min(len(target), np.count_nonzero(v))])
+    if not len(at):
+        return None
+    exact = np.linalg.lstsq(full[:, at], target, rcond=None)[0]
+    dual = np.linalg.lstsq(full[:, at].T, cost[at] * np.sign(exact), rcond=None)[0]
+    scale = 1e-8 * max(1.0, np.abs(target).max())
+    if np.abs(full[:, at] @ exact - target).max() > scale or (np.abs(full.T @ dual) > cost * (1 + 1e-7)).any():
+        return None
+    out = np.zeros(len(v))
+    out[at] = exact
+    return out, dual
+
+
+def _pivoted(full: np.ndarray, cost: np.ndarray, target: np.ndarray, v: np.ndarray, most: int = 3000) -> tuple[np.ndarray, np.ndarray] | None:
+    """(v, dual) of min cost'|v| with full v = target by simplex steps from the largest independent entries of v on.
+
+    A column may be used with either sign at the same cost, so any basis is feasible. None where columns don't span.
+    """
+    rows, basis = len(target), []
+    q = np.zeros((rows, 0))
+    for j in np.argsort(-np.abs(v), kind="stable"):
+        rest = full[:, j] - q @ (q.T @ full[:, j])
+        rest -= q @ (q.T @ rest)
+        size = np.linalg.norm(rest)
+        if size > 1e-7 * max(1.0, np.linalg.norm(full[:, j])):
+            basis.append(int(j))
+            q = np.column_stack([q, rest / size])
+            if len(basis) == rows:
+                break
+    else:
+        return None
+    for pivot in range(most):
+        own = full[:, basis]
+        x = np.linalg.solve(own, target)
+        sign = np.where(x < 0, -1.0, 1.0)
+        dual = np.linalg.solve(own.T, cost[basis] * sign)
+        slope = full.T @ dual
+        over = np.abs(slope) / cost
+        over[basis] = 0
+        better = np.flatnonzero(over > 1 + 1e-9)
+        if not len(better):
+            out = np.zeros(len(v))
+            out[basis] = x
+            return out, dual
+        j = better[0] if pivot > most // 2 else better[over[better].argmax()]  # late steps by lowest number, which can't go in circles
+        fall = np.linalg.solve(own, full[:, j] * np.sign(slope[j])) * sign
+        at = np.flatnonzero(fall > 1e-11)
+        if not len(at):
+            return None
+        basis[at[(np.abs(x[at]) / fall[at]).argmin()]] = int(j)
+    return None
+
+
+def _smooth_corner(a: np.ndarray, cost: np.ndarray, rhs: np.ndarray, lz: float, ones: np.ndarray | None, v: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(v, dual) if the signs of v are those of the optimum of cost'|v| + lz/2 |rhs - a v|^2, which then solves a linear system."""
+    at = np.flatnonzero(v)
+    if not 0 < len(at) <= len(rhs) + (ones is not None):
+        return None
+    own, sign = a[:, at], np.sign(v[at])
+    system, target = lz * own.T @ own, lz * own.T @ rhs - cost[at] * sign
+    if ones is not None:
+        system = np.block([[system, -ones[at][:, None]], [ones[at][None, :], np.zeros((1, 1))]])
+        target = np.append(target, 1.0)
+    found = np.linalg.lstsq(system, target, rcond=None)[0]
+    out = np.zeros(len(v))
+    out[at] = found[: len(at)]
+    dual, tau = lz * (rhs - a @ out), float(found[-1]) if ones is not None else 0.0
+    slope = a.T @ dual + (tau * ones if ones is not None else 0)
+    if (np.sign(out[at]) != sign).any() or (np.abs(slope) > cost * (1 + 1e-7)).any() or np.abs(slope[at] - cost[at] * sign).max() > 1e-6 * cost[at].max():
+        return None
+    if ones is not None and abs(ones @ out - 1) > 1e-8:
+        return None
+    return out, np.append(dual, tau)
+
+
+def convex_point(x: np.ndarray, at: int, le: float, lz: float, affine: bool, tol: float = 1e-9, most: int = 6000) -> np.ndarray:
+    """Coefficients of all rows of x for the point x[at], with all other rows as atoms: what the solver by few atoms must equal."""
     others = np.arange(len(x)) != at
     d, n = x.shape[1], int(others.sum())
     a = np.hstack([x[others].T, np.eye(d)]) if le else x[others].T
     cost = np.concatenate([np.ones(n), np.full(d, le)]) if le else np.ones(n)
-    rhs = x[at]
-    g = np.concatenate([np.ones(n), np.zeros(a.shape[1] - n)])
-    rho = max(1.0, lz) if lz else 10.0
-    v, u = np.zeros(a.shape[1]), np.zeros(a.shape[1])
-    if lz:
-        inner = np.linalg.inv(np.eye(d) * rho / lz + a @ a.T)
-        inv = lambda m: (m - a.T @ (inner @ (a @ m))) / rho
-        aty, ig = lz * (a.T @ rhs), inv(g)
-    else:
-        full = np.vstack([a, g]) if affine else a
-        target = np.append(rhs, 1.0) if affine else rhs
-        back = np.linalg.pinv(full)
-    for _ in range(most):
-        if lz:
-            w = inv(aty + rho * (v - u))
-            if affine:
-                w = w - ig * ((g @ w - 1) / (g @ ig))
-        else:
-            w = v - u
-            w = w - back @ (full @ w - target)
-        old = v
-        v = soft(w + u, cost / rho)
-        u = u + w - v
-        if np.abs(w - v).max() < tol and np.abs(v - old).max() < tol:
-            break
+    ones = np.concatenate([np.ones(n), np.zeros(a.shape[1] - n)]) if affine else None
     out = np.zeros(len(x))
-    out[others] = v[:n]
+    out[others] = weighted_l1(a, cost, x[at], lz, ones, tol, most)[0][:n]
     return out

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flatspan.frame import check_broadcast, width_of
-from flatspan.functions.kernels import EPS, AdmmProblem, convex_point, left_over
+from flatspan.functions.kernels import EPS, AdmmProblem, left_over
+from flatspan.operators.convex import convex_solutions
 from flatspan.operators.pairing import packed, top_partners
 from flatspan.operators.spectral import adjacency, distance, plain_affinity, spectral_labels
 from flatspan.params import SscAdmmParams, SscConvexParams, SscOmpParams
@@ -161,23 +162,17 @@ def admm_coefficients(df: DataFrame, params: SscAdmmParams, iterations: int = 20
     return blocks.groupBy("block").applyInPandas(lambda g: solve(g, until), COEFFICIENTS)
 
 
-def convex_coefficients(df: DataFrame, params: SscConvexParams, queries: Column | str | None = None, tol: float = 1e-7) -> DataFrame:
-    """(row_id, col_id, coef) of the eight convex programs: with or without outliers, noise and the affine constraint."""
-    sent, _, _ = atoms(df)
+def convex_scales(df: DataFrame, params: SscConvexParams) -> tuple[float, float]:
+    """(le, lz): weights of the sparse and of the small rest; 0 leaves one out."""
     alpha = params.alpha if params.alpha != -1 else (20 if params.use_outliers else 800)
-    le = alpha / outlier_scale(df) if params.use_outliers else 0.0
-    lz = alpha / penalty_scale(df) if params.use_noise else 0.0
-    affine = params.use_affine
+    return (alpha / outlier_scale(df) if params.use_outliers else 0.0), (alpha / penalty_scale(df) if params.use_noise else 0.0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x = sent.value
-        for b in batches:
-            for i in b["id"]:
-                c = convex_point(x, int(np.searchsorted(ids, i)), le, lz, affine, tol)
-                at = np.flatnonzero(c)
-                yield pd.DataFrame({"row_id": ids[at], "col_id": i, "coef": c[at]})
 
-    return _points(df, queries).repartition("id").mapInPandas(run, COEFFICIENTS)
+def convex_coefficients(df: DataFrame, params: SscConvexParams, queries: Column | str | None = None, tol: float = 1e-9) -> DataFrame:
+    """(row_id, col_id, coef) of the eight convex programs: with or without outliers, noise and the affine constraint."""
+    found = convex_solutions(df, *convex_scales(df, params), params.use_affine, queries, tol=tol)
+    pairs = found.select(F.col("id").alias("col_id"), F.explode(F.arrays_zip(F.col("chosen").alias("row_id"), F.col("coef").alias("coef"))).alias("p"))
+    return pairs.where(F.col("p.coef") != 0).select("p.row_id", "col_id", "p.coef")
 
 
 class _SparseSubspace:

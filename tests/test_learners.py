@@ -10,7 +10,8 @@ from flatspan import queries
 from flatspan.frame import vectors, width_of
 from flatspan.operators import ksubspaces as ks
 from flatspan.operators import sparse_subspace as ssc
-from flatspan.operators import kmeans, krylov, pairing, spectral
+from flatspan.functions.kernels import convex_point
+from flatspan.operators import convex, kmeans, krylov, pairing, spectral
 from flatspan.operators.regression import LinearSVR, OwlModel, OwlRegression
 from flatspan.operators.tracking import SubspaceTracker, SubspaceTrackerModel
 from flatspan.params import EnsembleParams, SscAdmmParams, SscConvexParams
@@ -141,6 +142,31 @@ def test_sparse_subspace_clusterings(spark):
             assert accuracy(spectral.kmeans_labels(spectral.embedding(w, union.select("id"), 3), 3, starts=3), union) > 0.8
 
 
+@pytest.mark.parametrize("outliers,noise,affine", [(True, True, False), (True, False, True), (False, True, True), (False, False, False)])
+def test_convex_programs_by_few_atoms_equal_all_atoms(spark, monkeypatch, outliers, noise, affine):
+    monkeypatch.setattr(convex, "FIRST", 4)
+    monkeypatch.setattr(convex, "MORE", 3)
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((60, 6))
+    df = spark.createDataFrame([(7 * i, x[i].tolist()) for i in range(60)], "id long, features array<double>").persist()
+    params = SscConvexParams(use_outliers=outliers, use_noise=noise, use_affine=affine)
+    got = np.zeros((60, 60))
+    for r in ssc.convex_coefficients(df, params, "id % 35 = 0").collect():
+        got[r.row_id // 7, r.col_id // 7] = r.coef
+    for i in range(0, 60, 5):
+        le, lz = ssc.convex_scales(df, params)
+        want = convex_point(x, i, le, lz, affine)
+        assert cost(x, i, got[:, i], le, lz) <= cost(x, i, want, le, lz) + 1e-6 and (not affine or abs(got[:, i].sum() - 1) < 1e-6)
+        if not noise and not outliers:
+            assert np.allclose(x.T @ got[:, i], x[i], atol=1e-6)
+
+
+def cost(x, i, c, le, lz):
+    r = x[i] - x.T @ c
+    e = np.sign(r) * np.maximum(np.abs(r) - le / lz, 0) if le and lz else (r if le else 0 * r)
+    return np.abs(c).sum() + le * np.abs(e).sum() + lz / 2 * ((r - e) ** 2).sum()
+
+
 def test_pursuit_and_correlations_over_blocks(spark, monkeypatch):
     """Blocks of a few rows give what whole matrices give: partners, planted combinations, early stop, scales."""
     monkeypatch.setattr(pairing.packed, "__defaults__", ("f8", 7))
