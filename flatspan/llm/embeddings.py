@@ -27,8 +27,9 @@ def unit(vector: Column) -> Column:
     """The direction in double precision; null for null, empty, zero, and vectors with null or non-finite components."""
     x = vector.cast("array<double>")
     big = F.array_max(F.transform(x, F.abs))
+    over = F.when(big.between(1e-100, 1e100), F.lit(1.0)).otherwise(big)  # squares of other sizes would overflow or vanish
     # the divisors stand outside the lambdas, which would compute them again for each component
-    scaled = F.zip_with(x, F.array_repeat(big, F.size(x)), lambda v, b: v / b)
+    scaled = F.zip_with(x, F.array_repeat(over, F.size(x)), lambda v, b: v / b)
     norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, v: a + v * v))
     sound = (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (big > 0)
     return F.when(sound, F.zip_with(scaled, F.array_repeat(norm, F.size(x)), lambda v, n: v / n))
@@ -62,13 +63,18 @@ def principal_axes(classes: DataFrame, width: int) -> np.ndarray:
     return axes[:, np.argsort(-values, kind="stable")]
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) with a[i] . b[j] >= threshold; i < j where both are one tile.
+def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float, same: bool, axes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) with a[i] . b[j] >= threshold; i < j where both are one tile. axes: what a and b are turned by for the bounds.
+
+    The turn may change a product's last digits, so pairs within _SLACK of the threshold are decided on a and b themselves,
+    summed in the order of components.
 
     Products grow over leading dimensions; after each step the rest is at most the product of the suffix norms
     (Cauchy-Schwarz), and pairs that can no longer reach the threshold are left. What remains is computed whole.
     """
-    width = a.shape[1]
+    width, plain_a, plain_b = a.shape[1], a, b
+    if axes is not None:
+        a, b = a @ axes, b @ axes
     steps = [k for k in STEPS if k < width]
     left = lambda x, k: np.sqrt(np.clip(1 - (x[:, :k] ** 2).sum(axis=1), 0, None))
     rest_a, rest_b = {k: left(a, k) for k in steps}, {k: left(b, k) for k in steps}
@@ -89,18 +95,26 @@ def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> t
                     dot = dot + (a[pi, done:k2] * b[pj, done:k2]).sum(axis=1)
                     may = dot + rest_a[k2][pi] * rest_b[k2][pj] >= threshold - _SLACK
                     pi, pj, dot, done = pi[may], pj[may], dot[may], k2
-                dot = (a[pi] * b[pj]).sum(axis=1)
-                out_i.append(pi[dot >= threshold])
-                out_j.append(pj[dot >= threshold])
+                near = (a[pi] * b[pj]).sum(axis=1) >= threshold - _SLACK
+                out_i.append(pi[near])
+                out_j.append(pj[near])
         else:
-            i, j = np.nonzero(a[rows] @ b.T >= threshold)
+            i, j = np.nonzero(a[rows] @ b.T >= threshold - _SLACK)
             i = i + top
             out_i.append(i[i < j] if same else i)
             out_j.append(j[i < j] if same else j)
-    return np.concatenate(out_i or [np.empty(0, int)]), np.concatenate(out_j or [np.empty(0, int)])
-
-
-def compare_tiles(group: pd.DataFrame, width: int, threshold: float) -> pd.DataFrame:
+    i, j = np.concatenate(out_i or [np.empty(0, int)]), np.concatenate(out_j or [np.empty(0, int)])
+    sure = np.ones(len(i), dtype=bool)
+    for piece in range(0, len(i), 200_000):
+        pi, pj = i[piece : piece + 200_000], j[piece : piece + 200_000]
+        dot = np.zeros(len(pi))
+        for c in range(width):
+            dot += plain_a[pi, c] * plain_b[pj, c]
+        sure[piece : piece + 200_000] = dot >= threshold
+    return i[sure], j[sure]
+
+
+def compare_tiles(group: pd.DataFrame, width: int, threshold: float, axes: np.ndarray | None = None) -> pd.DataFrame:
     """Links within one tile, or between two: for each linked class the members it gains, and its smallest partner by links here.
 
     The links themselves are not listed: a class gets one row a comparison, however many partners it has.
@@ -110,7 +124,7 @@ def compare_tiles(group: pd.DataFrame, width: int, threshold: float) -> pd.DataF
     tiles, dims = group["tile"].to_numpy(), group["dims"].to_numpy()
     node, size = group["node"].to_numpy(), group["size"].to_numpy()
     one, two = (np.flatnonzero(tiles == t) for t in (tiles.min(), tiles.max()))
-    i, j = close_pairs(x[one], x[two], threshold, len(one) == len(tiles))
+    i, j = close_pairs(x[one], x[two], threshold, len(one) == len(tiles), axes)
     i, j = one[i], two[j]
     alike = dims[i] == dims[j]
     i, j = i[alike], j[alike]
@@ -200,12 +214,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         raise ValueError(f"more than {MAX_DIMENSIONS} dimensions")
     axes = principal_axes(classes, width)
 
-    lead = min(LEAD, width)
+    lead, sent = min(LEAD, width), vectors.sparkSession.sparkContext.broadcast(axes)  # width squared numbers, bounded by MAX_DIMENSIONS
 
     def rotate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = _matrix(b["unit"], width) @ axes
-            yield pd.DataFrame({"node": b["node"], "size": b["size"], "dims": b["unit"].map(len).astype(np.int32), "lead": list(x[:, :lead]), "vec": [v.tobytes() for v in x]})
+            x = _matrix(b["unit"], width)
+            yield pd.DataFrame({"node": b["node"], "size": b["size"], "dims": b["unit"].map(len).astype(np.int32), "lead": list(x @ sent.value[:, :lead]), "vec": [v.tobytes() for v in x]})
 
     turned = stored(classes.select("node", "size", "unit").mapInPandas(rotate, "node long, size long, dims int, lead array<double>, vec binary"))
     rows_of = tile or max(min(-(-turned.count() // FEWEST), TILE_BYTES // (8 * width)), 1)
@@ -225,7 +239,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
 
     dealt = turned.mapInPandas(deal, "node long, size long, dims int, vec binary, tile long, pairs array<long>")
     met = dealt.select("node", "size", "dims", "vec", "tile", F.explode("pairs").alias("pair"))
-    found = met.groupBy("pair").applyInPandas(lambda g: compare_tiles(g, width, threshold), "node long, gain long, root long")
+    found = met.groupBy("pair").applyInPandas(lambda g: compare_tiles(g, width, threshold, sent.value), "node long, gain long, root long")
     found = cut_lineage(found)
     comps = connected_components(found, "node", "root")
     gains = found.groupBy("node").agg(F.sum("gain").alias("gain"))

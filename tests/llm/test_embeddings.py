@@ -101,3 +101,21 @@ def test_given_table(spark, sf):
     rows = t.collect()
     want = brute([r.vec_id for r in rows], [r.embedding for r in rows])
     assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(t).collect()} == want
+
+
+def test_pairs_at_the_threshold_itself(spark):
+    """20 e_i and (19, 5, 3, 2, 1) in any places have a cosine of 19 / 20."""
+    rng = np.random.default_rng(2)
+    rows = [np.eye(8)[i] * 20 for i in range(8)]
+    for i in range(8):
+        for _ in range(5):
+            x = np.zeros(8)
+            x[[i, *rng.permutation([k for k in range(8) if k != i])[:4]]] = [19, 5, 3, 2, 1]
+            rows.append(x)
+    rows += list(rng.standard_normal((200, 8)))
+    u = [x / np.sqrt(sum(v * v for v in x)) for x in rows]
+    want = [sum(sum(float(p) * float(q) for p, q in zip(a, b, strict=True)) >= 0.95 for k, b in enumerate(u) if k != i) for i, a in enumerate(u)]
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")
+    for tile in (None, 16):
+        got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df, tile=tile).collect()}
+        assert [got[i] for i in range(len(rows))] == want and max(want[:8]) == 5
