@@ -110,12 +110,13 @@ def _unpacked(low: bytes, high: bytes) -> np.ndarray:
 
 
 def _counts(n: np.ndarray) -> bytes:
-    """Counts, most of them small, in few bytes."""
-    return zlib.compress(n.astype("<u4").tobytes(), 1)
+    """Counts, most of them small, in few bytes; in eight bytes each before where one doesn't fit four."""
+    return zlib.compress(n.astype("<u8" if len(n) and n.max() >= 1 << 32 else "<u4").tobytes(), 1)
 
 
-def _numbers(cell: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(cell), dtype="<u4")
+def _numbers(cell: bytes, n: int) -> np.ndarray:
+    raw = zlib.decompress(cell)
+    return np.frombuffer(raw, dtype="<u8" if len(raw) > 4 * n else "<u4")
 
 
 def cells(kinds: list[tuple[np.ndarray, np.ndarray]], parts: Parts, block: int) -> pd.DataFrame:
@@ -133,8 +134,9 @@ CELLS = "part int, block int, kind int, low binary, high binary, n binary"
 def summed(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """(counts by distinct key, each sent key's place among them, keys by cell) of one part."""
     kinds, where = np.unique(np.concatenate([_unpacked(*c) for c in zip(group["low"], group["high"], strict=True)]), return_inverse=True)
-    n = np.bincount(where, weights=np.concatenate([_numbers(c) for c in group["n"]]), minlength=len(kinds))
-    return n, where, [len(low) // 3 for low in group["low"]]
+    sizes = [len(low) // 3 for low in group["low"]]
+    n = np.bincount(where, weights=np.concatenate([_numbers(c, m) for c, m in zip(group["n"], sizes, strict=True)]), minlength=len(kinds))  # exact up to 2 ** 53
+    return n, where, sizes
 
 
 def words_in_all(train: DataFrame, parts: Parts) -> tuple[int, int, int, int]:
@@ -244,8 +246,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
         g, found = _whole(b["raw"]), []
         for kind, key in enumerate((g.one, g.two, g.three)):
             own, where = np.unique(key, return_inverse=True)
-            said = answers[answers["kind"] == kind].sort_values("part")["n"]
-            found.append(np.concatenate([np.zeros(int(own[0] == 0), dtype="<u4"), *map(_numbers, said)])[where].astype(np.float64))
+            said, edge = answers[answers["kind"] == kind].sort_values("part"), np.diff(parts.bounds(own[own != 0]))
+            counts = [_numbers(c, int(edge[p])) for c, p in zip(said["n"], said["part"], strict=True)]
+            found.append(np.concatenate([np.zeros(int(own[0] == 0), dtype="<u4"), *counts])[where].astype(np.float64))
         n1, n2, n3 = found
         base = np.log10((n1 + 1) / (root.tokens + root.kinds + 1))
         total = lambda x: np.add.reduceat(x, g.first)

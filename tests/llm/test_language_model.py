@@ -152,3 +152,10 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert lm.score_documents(documents(spark, [])).count() == 0
+
+
+def test_counts_beyond_four_bytes():
+    from flatspan.llm.language_model import _counts, _numbers
+
+    for n in ([2**32 + 5, 1], [3, 4], []):
+        assert _numbers(_counts(np.array(n, dtype=np.float64)), len(n)).tolist() == n
