@@ -46,6 +46,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> str:
-    """A checksum of a table's rows, whatever their order: pins the data that a run has used."""
-    r = df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))).first()
-    return f"{r[0]}-{(r[1] or 0) & (2**64 - 1):016x}"
+    """A checksum of a table's rows, whatever their order: pins the data that a run has used.
+
+    Sums of two hashes, so that repeated rows count each time.
+    """
+    row = [F.col(f"`{c}`") for c in df.columns]
+    sums = [F.sum(F.xxhash64(*row, *salt).cast("decimal(38,0)")) for salt in ([], [F.lit(1)])]
+    n, *totals = df.agg(F.count(F.lit(1)), *sums).first()
+    return "-".join([str(n), *[f"{int(t or 0) % 2**64:016x}" for t in totals]])

@@ -80,3 +80,10 @@ def test_stream_is_replay_safe(spark, tmp_path):
     last = stream.scored().agg(F.max("batch")).first()[0]
     stream.process(stream.scored().where(F.col("batch") == last).select("id", "features"), last)  # the same batch again
     assert np.allclose(stream.model().state.basis, basis) and stream.scored().count() == 40
+
+
+def test_fingerprint_counts_repeated_rows(spark):
+    table = lambda rows: spark.createDataFrame(rows, "a long, b string")
+    marks = [bundles.fingerprint(table(r)) for r in ([(1, "a"), (1, "a"), (2, "b")], [(9, "z"), (9, "z"), (2, "b")], [(2, "b")], [(1, "a"), (2, "b"), (1, "a")])]
+    assert marks[0] == marks[3] and len(set(marks[:3])) == 3
+    assert bundles.fingerprint(table([])).startswith("0-")
