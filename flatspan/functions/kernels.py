@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -99,6 +100,16 @@ def left_over(unit: np.ndarray, atoms: np.ndarray) -> np.ndarray:
     return unit - b @ np.linalg.lstsq(b, unit, rcond=None)[0]
 
 
+@dataclass
+class AdmmState:
+    """Coefficients and multipliers of some points: what a step needs of the step before."""
+
+    c: np.ndarray
+    l2: np.ndarray
+    l1: np.ndarray
+    l3: np.ndarray
+
+
 class AdmmProblem:
     """Sparse self-expression of the rows of x by ADMM; points are independent given one factor of size D.
 
@@ -123,12 +134,15 @@ class AdmmProblem:
     def inverse(self, m: np.ndarray) -> np.ndarray:
         return (m - self.big.T @ (self.core @ (self.big @ m))) / self.mu2
 
-    def solve(self, cols: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-        """Coefficients (dictionary x cols) after ``steps`` steps, and the largest error of each step over cols."""
+    def begin(self, k: int) -> AdmmState:
+        """The state of k points before the first step."""
+        return AdmmState(*(np.zeros(shape) for shape in ((self.p.shape[1], k), (self.p.shape[1], k), (self.d, k), (k,))))
+
+    def advance(self, cols: np.ndarray, state: AdmmState, steps: int) -> tuple[AdmmState, np.ndarray]:
+        """The state of the points ``cols`` so many steps on, and the largest error of each step over them."""
         y, p, mu1, mu2, k = self.y[:, cols], self.p, self.mu1, self.mu2, len(cols)
         own = (cols, np.arange(k))
-        c, l2 = np.zeros((p.shape[1], k)), np.zeros((p.shape[1], k))
-        l1, l3 = np.zeros_like(y), np.zeros(k)
+        c, l2, l1, l3 = (x.copy() for x in (state.c, state.l2, state.l1, state.l3))
         errors = np.zeros((steps, 3))
         pty = p.T @ y
         for step in range(steps):
@@ -144,16 +158,22 @@ class AdmmProblem:
             l2 += mu2 * (z - c)
             errors[step, 0] = np.abs(z - c).max()
             if self.outliers:
-                l1 += mu1 * (y - p @ z)
+                by_points = self.y @ z[: self.n]
                 clean = y - p[:, self.n :] @ z[self.n :]
+                l1 += mu1 * (clean - by_points)
                 size = np.linalg.norm(clean, axis=0)
                 size[size == 0] = 1
-                errors[step, 1] = np.linalg.norm((clean - self.y @ z[: self.n]) / size, axis=0).max()
+                errors[step, 1] = np.linalg.norm((clean - by_points) / size, axis=0).max()
             if self.affine:
                 short = self.ones @ z - 1
                 l3 += mu2 * short
                 errors[step, 2] = np.abs(short).max()
-        return c[: self.n], errors
+        return AdmmState(c, l2, l1, l3), errors
+
+    def solve(self, cols: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients (points x cols) after ``steps`` steps, and the largest error of each step over cols."""
+        state, errors = self.advance(cols, self.begin(len(cols)), steps)
+        return state.c[: self.n], errors
 
 
 def weighted_l1(a: np.ndarray, cost: np.ndarray, rhs: np.ndarray, lz: float, ones: np.ndarray | None, tol: float = 1e-9, most: int = 6000) -> tuple[np.ndarray, np.ndarray, float]:

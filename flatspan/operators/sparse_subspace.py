@@ -1,8 +1,7 @@
 """Sparse subspace clustering: coefficients by ADMM, by convex programs and by orthogonal matching pursuit.
 
-Every point is expressed by few others. Correlations and matching pursuit compare packed blocks of points, at any size.
-An ADMM or convex problem has a variable for every other point, so its task needs all of them: there the points (the
-atoms) are broadcast, after a check of their size, and the problems are spread over the cluster.
+Every point is expressed by few others. Correlations, matching pursuit and convex programs compare packed blocks of points, at any
+size. ADMM keeps a number for every pair of points, in blocks of columns whose state is stored from pass to pass.
 """
 
 from __future__ import annotations
@@ -11,12 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flatspan.frame import check_broadcast, width_of
-from flatspan.functions.kernels import EPS, AdmmProblem, left_over
+from flatspan.functions.kernels import EPS, AdmmProblem, AdmmState, left_over
 from flatspan.operators.convex import convex_solutions
 from flatspan.operators.pairing import packed, top_partners
 from flatspan.operators.spectral import adjacency, distance, plain_affinity, spectral_labels
@@ -24,16 +22,8 @@ from flatspan.params import SscAdmmParams, SscConvexParams, SscOmpParams
 from flatspan.runtime import cut_lineage
 
 COEFFICIENTS = "row_id long, col_id long, coef double"
-#: Points of one ADMM block.
-BLOCK = 64
-
-
-def atoms(df: DataFrame) -> tuple[Broadcast, int, int]:
-    """(broadcast ids and points in id order, number, width); refused where they exceed what a broadcast may hold."""
-    width, n = width_of(df), df.count()
-    check_broadcast(n, width, "atoms")
-    rows = df.select("id", "features").orderBy("id").toPandas()
-    return df.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), np.vstack(rows["features"].to_list()))), n, width
+#: Points of one ADMM block at most, bytes of a block's coefficients, and steps of a pass.
+BLOCK, STATE_BYTES, STEPS = 256, 32 << 20, 50
 
 
 def _points(df: DataFrame, queries: Column | None) -> DataFrame:
@@ -121,45 +111,82 @@ def admm_scale(df: DataFrame, alpha: float, outliers: bool) -> float:
 def admm_coefficients(df: DataFrame, params: SscAdmmParams, iterations: int = 200, stop: str = "global") -> DataFrame:
     """(row_id, col_id, coef) of the four ADMM variants.
 
-    Blocks of points are solved apart. All share one number of steps, found in a first pass: the first step at
-    which the largest errors over all blocks are within epsilon (or the last, whose coefficients that pass has already).
-    ``stop='block'`` lets each block stop by its own errors.
+    Blocks of points take STEPS steps in a pass, from their stored state of the pass before, and report each step's largest error. All
+    share one number of steps, the first at which no block's error is above epsilon: where that lies inside a pass, that pass alone is
+    taken again as far as there. ``stop='block'`` lets each block stop by its own errors.
+
+    A task holds its block's coefficients of all points and the points themselves, which reach it through a shuffle of packed rows; their size is
+    checked first.
     """
-    sent, n, width = atoms(df)
+    width, n = width_of(df), df.count()
+    check_broadcast(n, width, "points of a task")
     alpha = params.alpha if params.alpha != -1 else (20 if params.use_outliers else 800)
     steps, eps = max(iterations if iterations >= 5 else 200, 2) - 1, params.epsilon
     args = (float(alpha), params.use_affine, params.use_outliers, admm_scale(df, alpha, params.use_outliers))
-    blocks = df.select("id").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // BLOCK)))).cast("int"))
-
-    def errors(g: pd.DataFrame) -> pd.DataFrame:
-        """A row a step with its largest error, and (step -1) the coefficients after the last."""
-        ids, x = sent.value
-        cols = np.searchsorted(ids, np.sort(g["id"].to_numpy()))
-        c, e = AdmmProblem(x, *args).solve(cols, steps)
+    blocks = max(1, -(-n // block_rows(n)))
+    points = packed(df, "features").select("ids", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    schema = "block int, cols binary, c binary, l2 binary, l1 binary, l3 binary, errors array<double>"
+
+    def begin(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": g["block"].iloc[:1], "cols": [np.sort(g["id"].to_numpy(dtype=np.int64)).tobytes()], "c": [b""], "l2": [b""], "l1": [b""], "l3": [b""], "errors": [np.zeros(0)]})
+
+    def advance(g: pd.DataFrame, p: pd.DataFrame, count: int, own_stop: bool) -> pd.DataFrame:
+        r = g.iloc[0]
+        ids, x = _gathered(p, width)
+        cols, problem = np.searchsorted(ids, np.frombuffer(r["cols"], dtype=np.int64)), AdmmProblem(x, *args)
+        state = problem.begin(len(cols))
+        if r["c"]:
+            state = AdmmState(*(np.frombuffer(r[k]).reshape(getattr(state, k).shape) for k in ("c", "l2", "l1", "l3")))
+        if own_stop and len(r["errors"]) and r["errors"][-1] <= eps:
+            return g  # this block has stopped
+        new, errors = problem.advance(cols, state, count)
+        worst = errors.max(axis=1)
+        if own_stop and (worst <= eps).any():
+            count = int((worst <= eps).argmax()) + 1
+            new, errors = problem.advance(cols, state, count)
+            worst = worst[:count]
+        return g.assign(errors=[worst], **{k: [getattr(new, k).tobytes()] for k in ("c", "l2", "l1", "l3")})
+
+    def taken(state: DataFrame, count: int) -> DataFrame:
+        return cut_lineage(state.groupBy("block").cogroup(points.groupBy("block")).applyInPandas(lambda g, p: advance(g, p, count, stop == "block"), schema))
+
+    state = cut_lineage(df.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).groupBy("block").applyInPandas(begin, schema))
+    for done in range(0, steps, STEPS):
+        count = min(STEPS, steps - done)
+        after = taken(state, count)
+        if stop == "block":
+            running = after.where(F.element_at("errors", -1) > eps).limit(1).count()
+        else:
+            worst = after.select(F.posexplode("errors").alias("step", "e")).groupBy("step").agg(F.max("e").alias("worst"))
+            first = worst.where(F.col("worst") <= eps).agg(F.min("step")).first()[0]
+            running = first is None
+            if not running and first + 1 < count:
+                after = taken(state, first + 1)
+        state = after
+        if not running:
+            break
+
+    def entries(g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        r, ids = g.iloc[0], np.sort(np.concatenate([np.frombuffer(b, dtype=np.int64) for b in p["ids"]]))
+        cols = np.frombuffer(r["cols"], dtype=np.int64)
+        c = np.frombuffer(r["c"]).reshape(-1, len(cols))[: len(ids)]
         i, j = np.nonzero(c)
-        said = pd.DataFrame({"step": np.arange(steps), "worst": e.max(axis=1), "row_id": -1, "col_id": -1, "coef": 0.0})
-        return pd.concat([said, pd.DataFrame({"step": -1, "worst": 0.0, "row_id": ids[i], "col_id": ids[cols[j]], "coef": c[i, j]})])
-
-    def solve(g: pd.DataFrame, until: int) -> pd.DataFrame:
-        ids, x = sent.value
-        cols = np.searchsorted(ids, np.sort(g["id"].to_numpy()))
-        problem = AdmmProblem(x, *args)
-        if until < 0:
-            e = problem.solve(cols, steps)[1].max(axis=1)
-            until = int((e <= eps).argmax()) + 1 if (e <= eps).any() else steps
-        c, _ = problem.solve(cols, until)
-        i, j = np.nonzero(c)
-        return pd.DataFrame({"row_id": ids[i], "col_id": ids[cols[j]], "coef": c[i, j]})
-
-    until = -1
-    if stop == "global":
-        whole = cut_lineage(blocks.groupBy("block").applyInPandas(errors, f"step int, worst double, {COEFFICIENTS}"))
-        worst = whole.where("step >= 0").groupBy("step").agg(F.max("worst").alias("worst"))
-        first = worst.where(F.col("worst") <= eps).agg(F.min("step")).first()[0]
-        if first is None or first + 1 == steps:
-            return whole.where("step < 0").select("row_id", "col_id", "coef")
-        until = first + 1
-    return blocks.groupBy("block").applyInPandas(lambda g: solve(g, until), COEFFICIENTS)
+        return pd.DataFrame({"row_id": ids[i], "col_id": cols[j], "coef": c[i, j]})
+
+    return state.groupBy("block").cogroup(points.select("block", "ids").groupBy("block")).applyInPandas(entries, COEFFICIENTS)
+
+
+def block_rows(n: int) -> int:
+    """Points of an ADMM block: few enough that its state of n numbers a point stays near STATE_BYTES, and at most BLOCK."""
+    return max(1, min(BLOCK, STATE_BYTES // (8 * max(n, 1))))
+
+
+def _gathered(p: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, points) of packed rows, by id."""
+    ids = np.concatenate([np.frombuffer(b, dtype=np.int64) for b in p["ids"]])
+    x = np.concatenate([np.frombuffer(b).reshape(-1, width) for b in p["x"]])
+    order = np.argsort(ids, kind="stable")
+    return ids[order], x[order]
 
 
 def convex_scales(df: DataFrame, params: SscConvexParams) -> tuple[float, float]:

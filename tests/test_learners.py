@@ -10,7 +10,7 @@ from flatspan import queries
 from flatspan.frame import vectors, width_of
 from flatspan.operators import ksubspaces as ks
 from flatspan.operators import sparse_subspace as ssc
-from flatspan.functions.kernels import convex_point
+from flatspan.functions.kernels import AdmmProblem, convex_point
 from flatspan.operators import convex, kmeans, krylov, pairing, spectral
 from flatspan.operators.regression import LinearSVR, OwlModel, OwlRegression
 from flatspan.operators.tracking import SubspaceTracker, SubspaceTrackerModel
@@ -267,3 +267,20 @@ def test_whole_learners_label_every_point(spark, sf, name):
     got = queries.QUERIES[name](spark, sf).toPandas()
     ids = queries.embedded(spark, sf).select("id").toPandas()["id"]
     assert sorted(got["id"]) == sorted(ids) and set(got["cluster"]) <= set(range(10)) and got["cluster"].nunique() > 1
+
+
+@pytest.mark.parametrize("stop", ["global", "block"])
+def test_admm_passes_equal_one_run(spark, monkeypatch, stop):
+    monkeypatch.setattr(ssc, "BLOCK", 8)
+    monkeypatch.setattr(ssc, "STEPS", 7)
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((30, 5))
+    df = spark.createDataFrame([(3 * i, x[i].tolist()) for i in range(30)], "id long, features array<double>").persist()
+    params = SscAdmmParams(alpha=20, epsilon=0.02)
+    problem = AdmmProblem(x, 20.0, False, True, ssc.admm_scale(df, 20, True))
+    errors = problem.solve(np.arange(30), 199)[1].max(axis=1)
+    want = problem.solve(np.arange(30), int((errors <= 0.02).argmax()) + 1 if (errors <= 0.02).any() else 199)[0]
+    got = np.zeros((30, 30))
+    for r in ssc.admm_coefficients(df, params, stop=stop).collect():
+        got[r.row_id // 3, r.col_id // 3] = r.coef
+    assert (errors <= 0.02).any() and np.allclose(got, want, atol=1e-9 if stop == "global" else 0.2)
