@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -119,6 +120,25 @@ def test_whole_query_matches_brute_force(spark):
         assert got[i].rule is not None or got[i].verdict == ("block" if got[i].odds > 0 else "allow")
 
 
+def test_urls_of_any_length(spark):
+    """Labels that span many runs split as the whole name does; a label of 100,000 letters is no matter of minutes."""
+    text = "casino poker garden flower bonus tulip " * 5
+    words = urls.lexicon(pages(spark, [(0, None, text)]).select("html"))
+    logs = {w: math.log10(1 / 6) for w in text.split()}
+    names = ["casinogarden" * n + "q" * (n % 3) for n in (1, 5, 6, 11, 40)] + ["x" * 62, "x" * 63 + "tulip", "tulip" + "é" * 130 + "bonus"]
+    got = {r.name: r.tokens for r in urls.segmented(spark.createDataFrame([(n,) for n in names], "name string"), words).collect()}
+    assert got == {n: urls.segment(n, logs, 30) for n in names}
+    long = "bonustulip" * 10_000
+    rows = [(i, f"http://{'casinopoker' if i % 2 else 'gardenflower'}{i}.{'com/en' if i % 2 else 'net/de'}/{i}", text) for i in range(20)]
+    rows += [(100, f"http://{long}.com/en/{long}/{'a/' * 50_000}", text), (101, f"http://{long}.info/{long}?", text)]
+    began = time.time()
+    got = {r.page_id: r for r in urls.judge(pages(spark, rows)).collect()}
+    assert time.time() - began < 60
+    assert len(got) == 22 and got[100].verdict == "block" and got[101].host == long + ".info"
+    odds = brute_judge(rows)
+    assert all(math.isclose(got[i].odds, o, rel_tol=1e-9, abs_tol=1e-6) for i, o in odds.items())
+
+
 def test_held_out_accuracy(spark):
     """Urls that a rule decides, judged by a classifier that has not learned from them."""
     df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
