@@ -16,6 +16,7 @@ from flatspan.functions.kernels import owl_weights, prox_owl
 from flatspan.functions.tracking import TrackerOptions, TrackerState
 from flatspan.functions.vectors import dot, literal_vector, normalize, norm2, rounded, soft_threshold, step_sigmoid
 from flatspan.operators import ksubspaces as ks
+from flatspan.operators.keyed_tracking import track_by_key, tracked_stream
 from flatspan.operators import regression, sparse_subspace, spectral, tabular, tracking
 from flatspan.plans import pipelines
 from flatspan.sources.bundles import read_table
@@ -444,6 +445,14 @@ def owl_fit_two_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(rounded(F.lit(float(model.coef[0])), 5).alias("quantity"), rounded(F.lit(float(model.coef[1])), 3).alias("discount"))
 
 
+@query("SELECT true AS closed, count(*) AS n FROM lineitem")
+def svr_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the fitted support vector regression is proven to be within a thousandth of the least objective."""
+    df = lines(spark, sf_dir).select("features", "label")
+    m = regression.LinearSVR(epsilon=0.5).fit(df)
+    return df.agg(F.lit(bool(0 <= m.gap <= 1e-3)).alias("closed"), F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def owl_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = lines(spark, sf_dir)
@@ -567,6 +576,41 @@ def tracker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tracked(stream.scored())
 
 
+def _by_user(events: DataFrame) -> DataFrame:
+    """(key, time, id, features): an event's value, number and time of day, by its user."""
+    number = F.get_json_object("props", "$.k").cast("double")
+    return events.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("time"), F.col("event_id").alias("id"), F.array(F.col("value"), number, F.hour("ts").cast("double"), F.minute("ts").cast("double")).alias("features"))
+
+
+@query()
+def tracker_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event separated by its user's own tracker."""
+    found = track_by_key(_by_user(read_table(spark, sf_dir, "events")), rank=1)
+    return found.select("id", "key", rounded(norm2(F.col("low_rank")), 4).alias("low_rank_norm"))
+
+
+@query("SELECT event_id AS id, user_id AS key, true AS same FROM events")
+def tracker_by_user_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a file stream in order of time, one tracker a user in keyed state: whether each separation is that of the table's trackers."""
+    from flatspan.runtime import ensure_checkpoint_dir
+    from flatspan.streaming.keyed import keyed_state
+
+    keyed_state(spark)
+    folder = f"{ensure_checkpoint_dir(spark)}/trackers-{uuid4().hex}"
+    vectors_of = _by_user(read_table(spark, sf_dir, "events"))
+    ordered = vectors_of.repartitionByRange(4, "time", "id").withColumn("part", F.spark_partition_id()).persist()
+    parts = sorted(r["part"] for r in ordered.select("part").distinct().collect())
+    for part in parts:  # arrivals in order of time
+        ordered.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    ordered.unpersist()
+    source = spark.readStream.schema(vectors_of.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = tracked_stream(source, rank=1).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state")
+    out.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    streamed = spark.read.schema("key long, id long, low_rank array<double>").parquet(f"{folder}/out").withColumnRenamed("low_rank", "seen")
+    away = norm2(F.zip_with("seen", "low_rank", lambda a, b: a - b))
+    return track_by_key(vectors_of, rank=1).join(streamed, ["key", "id"]).select("id", "key", (away <= 1e-9).alias("same"))
+
+
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read_table(spark, sf_dir, "lineitem")
     return t.withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber")).withColumn("price", F.col("l_extendedprice") / 1000).withColumn("l_tax", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_tax")))

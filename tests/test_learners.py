@@ -234,8 +234,32 @@ def test_svr_is_robust(spark):
     y = x @ np.array([1.0, -2.0, 3.0]) + 4
     y[::10] += 100
     df = spark.createDataFrame([(x[i].tolist(), float(y[i])) for i in range(400)], "features array<double>, label double")
-    m = LinearSVR(iterations=200, smooth=0.02).fit(df)
-    assert np.allclose(m.coef, [1, -2, 3], atol=0.3) and abs(m.intercept - 4) < 0.5
+    m = LinearSVR().fit(df)
+    assert np.allclose(m.coef, [1, -2, 3], atol=0.3) and abs(m.intercept - 4) < 0.5 and 0 <= m.gap <= 1e-3
+
+
+@pytest.mark.parametrize("epsilon", [0.0, 0.4])
+def test_svr_gap_is_a_bound(spark, epsilon):
+    """No point of a long descent on the objective itself, in the same standardised columns, is lower than the gap allows."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 3)) * [1, 5, 0.2] + 2
+    y = x @ np.array([1.0, -0.4, 3.0]) + rng.standard_t(2, 300)
+    df = spark.createDataFrame([(np.append(x[i], [7.0, x[i, 0]]).tolist(), float(y[i])) for i in range(300)], "features array<double>, label double")
+    m = LinearSVR(epsilon=epsilon, tol=1e-4).fit(df)  # with a constant column and a repeated one
+    assert 0 <= m.gap <= 1e-4 and np.isfinite(m.coef).all() and m.coef[3] == 0
+    wide = np.column_stack([x, np.full(300, 7.0), x[:, 0]])
+    scale, size = wide.std(axis=0), y.std()
+    scale[3] = 1
+    u, v = (wide - wide.mean(axis=0)) / scale, (y - y.mean()) / size
+    cost = lambda w, b: w @ w / 2 / 300 + np.maximum(np.abs(u @ w + b - v) - epsilon / size, 0).mean()
+    w, b = m.coef * scale / size, (m.intercept + wide.mean(axis=0) @ m.coef - y.mean()) / size
+    own, best = cost(w, b), np.inf
+    for k in range(20_000):
+        r = u @ w + b - v
+        d = np.sign(r) * (np.abs(r) > epsilon / size)
+        w, b = w - 0.02 / (1 + k / 50) * (u.T @ d / 300 + w / 300), b - 0.02 / (1 + k / 50) * d.mean()
+        best = min(best, cost(w, b))
+    assert own * (1 - m.gap) <= best + 1e-12 and own <= best * (1 + 1e-4)
 
 
 def test_tracker(spark, tmp_path):
