@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -70,36 +71,59 @@ def scatter(df: DataFrame) -> DataFrame:
 
 #: Task sums of a cluster's scatter meet in so many groups before they meet in one.
 SALTS = 32
-#: Clusters whose scatter matrices travel in one row.
-TOGETHER = 16
+#: Bytes of scatter matrices that a task holds, and that travel in one row.
+HELD_BYTES, ROW_BYTES = 64 << 20, 512 << 10
+
+
+def portions(runs: list[int], k: int, width: int) -> list[tuple[list[int], range]]:
+    """(runs, clusters) whose scatter matrices fit in a task together: some runs whole, or a part of one run's clusters."""
+    room = max(1, HELD_BYTES // (8 * width * width))
+    if k <= room:
+        each = room // k
+        return [(runs[i : i + each], range(k)) for i in range(0, len(runs), each)]
+    return [([r], range(c, min(c + room, k))) for r in runs for c in range(0, k, room)]
 
 
 def step(df: DataFrame, bases: dict[int, np.ndarray], before: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], dict[int, int], dict[int, float]]:
-    """One alternation of several runs in one pass: (next bases, labels that differ from those of ``before``, sum of squared residuals).
+    """One alternation of several runs: (next bases, labels that differ from those of ``before``, sum of squared residuals).
 
     Each task sums the scatter of its own rows by run and cluster and sends the matrices packed, a few clusters a row; sums
     meet by salted groups, then by those clusters, where the eigenproblems are solved. Only bases reach the driver.
+    What a task holds is bounded: runs and clusters are dealt into portions, which read the vectors one beside the other.
     """
     sent = df.sparkSession.sparkContext.broadcast((bases, before))
     some = next(iter(bases.values()))
     k, width, dim = some.shape
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        new, old = sent.value
-        total = {r: np.zeros((k, width, width)) for r in new}
-        changed, cost = dict.fromkeys(new, 0), dict.fromkeys(new, 0.0)
-        for b in batches:
-            x = _stack(b)
-            for r, own in new.items() if len(b) else ():
-                res = residuals(x, own)
-                label = res.argmin(axis=1)
-                cost[r] += float((res.min(axis=1) ** 2).sum())
-                changed[r] += int((label != residuals(x, old[r]).argmin(axis=1)).sum()) if r in old else len(x)
-                for c in np.unique(label):
-                    total[r][c] += x[label == c].T @ x[label == c]
-        salt = TaskContext.get().partitionId() % SALTS  # the same when a lost task runs again
-        rows = [(r, c, salt, total[r][c : c + TOGETHER], changed[r] if c == 0 else 0, cost[r] if c == 0 else 0.0) for r in new for c in range(0, k, TOGETHER)]
-        yield pd.DataFrame([(r, c, s, m.tobytes(), *rest) for r, c, s, m, *rest in rows if c == 0 or m.any()], columns=["run", "cluster", "salt", "sum", "changed", "cost"])
+    together = max(1, ROW_BYTES // (8 * width * width))
+    columns = ["run", "cluster", "salt", "sum", "changed", "cost"]
+
+    def sums(runs: list[int], clusters: range) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            new, old = sent.value
+            total: dict[tuple[int, int], np.ndarray] = {}
+            changed, cost = dict.fromkeys(runs, 0), dict.fromkeys(runs, 0.0)
+            for b in batches:
+                x = _stack(b)
+                for r in runs if len(b) else ():
+                    res = residuals(x, new[r])
+                    label = res.argmin(axis=1)
+                    if clusters.start == 0:  # a run's first portion counts for all of it
+                        cost[r] += float((res.min(axis=1) ** 2).sum())
+                        changed[r] += int((label != residuals(x, old[r]).argmin(axis=1)).sum()) if r in old else len(x)
+                    for c in np.unique(label[(label >= clusters.start) & (label < clusters.stop)]).tolist():
+                        own = x[label == c]
+                        total[r, c] = total.get((r, c), 0) + own.T @ own
+            salt = TaskContext.get().partitionId() % SALTS  # the same when a lost task runs again
+            none = np.zeros((width, width))
+            for r in runs:
+                for c in range(clusters.start, clusters.stop, together):
+                    own = range(c, min(c + together, clusters.stop))
+                    first = c == 0
+                    if first or any((r, i) in total for i in own):
+                        packed_sum = np.stack([total.pop((r, i), none) for i in own]).tobytes()
+                        yield pd.DataFrame([(r, c, salt, packed_sum, changed[r] if first else 0, cost[r] if first else 0.0)], columns=columns)
+
+        return run
 
     def meet(g: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(s) for s in g["sum"])
@@ -110,9 +134,10 @@ def step(df: DataFrame, bases: dict[int, np.ndarray], before: dict[int, np.ndarr
         scatters = np.frombuffer(m["sum"].iloc[0]).reshape(-1, width, width)
         return m.assign(sum=[np.stack([top_eigenvectors(s, dim) for s in scatters]).tobytes()])
 
-    rows = df.select("features").mapInPandas(sums, "run int, cluster int, salt int, sum binary, changed long, cost double")
+    x = df.select("features")
+    each = [x.mapInPandas(sums(*p), "run int, cluster int, salt int, sum binary, changed long, cost double") for p in portions(list(bases), k, width)]
     out = "run int, cluster int, sum binary, changed long, cost double"
-    rows = rows.groupBy("run", "cluster", "salt").applyInPandas(meet, out).groupBy("run", "cluster").applyInPandas(solve, out)
+    rows = reduce(DataFrame.union, each).groupBy("run", "cluster", "salt").applyInPandas(meet, out).groupBy("run", "cluster").applyInPandas(solve, out)
     found = {r: np.stack([np.eye(width)[:, :dim]] * k) for r in bases}  # an empty cluster's zero scatter has these
     changed, cost = dict.fromkeys(bases, 0), dict.fromkeys(bases, 0.0)
     for r in rows.collect():
@@ -242,19 +267,24 @@ def gather_labels(labels: DataFrame) -> DataFrame:
     return labels.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "cluster"))), lambda s: s["cluster"]).alias("labels"))
 
 
-def coassociation(gathered: DataFrame, queries: Column | str | None = None) -> DataFrame:
+def coassociation(gathered: DataFrame, queries: Column | str | None = None, most: int | None = None, high_ids_first: bool = False) -> DataFrame:
     """(i, j, value): the share of base clusterings in which i and j agree, where it isn't 0; 1 for i = j.
 
     Rows i (all, or a stated query set) are compared with all rows in packed blocks of labels. For all rows the result is
-    the whole affinity: as many entries as pairs that ever agree.
+    the whole affinity: as many entries as pairs that ever agree. With ``most`` each block of others sends a row's
+    largest entries only, so many (ties by j), which hold the row's largest among all: no table of pairs comes about.
     """
 
     def compare(ids: np.ndarray, own: np.ndarray, others: np.ndarray, theirs: np.ndarray) -> pd.DataFrame:
         out = []
+        order = np.argsort(-others if high_ids_first else others)
+        others, theirs = others[order], theirs[order]
         for i, labels in zip(ids, own, strict=True):
             share = (theirs == labels).mean(axis=1)
             share[others == i] = 1.0
             at = np.flatnonzero(share)
+            if most is not None and len(at) > most:
+                at = at[np.argsort(-share[at], kind="stable")[:most]]
             out.append(pd.DataFrame({"i": i, "j": others[at], "value": share[at]}))
         return pd.concat(out)
 
@@ -262,6 +292,14 @@ def coassociation(gathered: DataFrame, queries: Column | str | None = None) -> D
     return against(packed(asked, "labels", "i4", 1024), packed(gathered, "labels", "i4", 1024), compare, "i long, j long, value double", "i4")
 
 
+def trimmed_coassociation(gathered: DataFrame, n: int, thresh: int, mode: str = "drop_smallest") -> DataFrame:
+    """``trim`` of the co-association of all n rows, of which only entries that a row can keep are ever made rows."""
+    if thresh < 0:
+        return coassociation(gathered)
+    top = mode == "keep_top"
+    return trim(coassociation(gathered, most=thresh if top else n - thresh, high_ids_first=not top), n, thresh, mode)
+
+
 def trim_rows(affinity: DataFrame, n: int, thresh: int, mode: str = "drop_smallest") -> DataFrame:
     """Per row i, zero the thresh smallest entries (ties by j); absent entries are zeros and go first.
 
@@ -296,7 +334,7 @@ class EnsembleKSubspaces:
         n = gathered.count()
         if p.thresh > n:
             raise ValueError("thresh is above the number of rows")
-        return trim(coassociation(gathered), n, p.thresh, p.trim)
+        return trimmed_coassociation(gathered, n, p.thresh, p.trim)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """(id, cluster)."""

@@ -224,7 +224,7 @@ _ALL = _COASSOC.replace("q.id % 100 = 0", "true")
 def ensemble_trim_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row sums of the whole affinity after its rows and columns are trimmed."""
     found = fixed_ensemble(spark, sf_dir)
-    w = ks.trim(ks.coassociation(found), found.count(), 300)
+    w = ks.trimmed_coassociation(found, found.count(), 300)
     return w.groupBy(F.col("i").alias("id")).agg(rounded(F.sum("value")).alias("degree"), F.count(F.lit(1)).alias("n"))
 
 

@@ -66,6 +66,37 @@ def test_ensemble(spark, union):
     assert accuracy(spectral.spectral_labels(w.persist(), union.select("id"), 3, starts=3), union) > 0.9
 
 
+def test_portions_of_a_step_change_nothing(spark, monkeypatch):
+    """Scatter matrices held a few at a time: runs apart, then clusters of a run apart."""
+    rng = np.random.default_rng(11)
+    df = vectors(spark.createDataFrame([(i, rng.standard_normal(6).tolist()) for i in range(200)], "k long, x array<double>"), "k", "x").repartition(3)
+    bases = {r: np.stack([np.linalg.qr(rng.standard_normal((6, 2)))[0] for _ in range(7)]) for r in range(3)}
+    before = {0: bases[1], 2: bases[2]}
+    want = ks.step(df, bases, before)
+    assert want[1][1] == 200 and want[1][2] == 0 and 0 < want[1][0] < 200
+    for room, row in ((8 * 36 * 8, 8 * 36), (8 * 36 * 3, 8 * 36 * 2)):
+        monkeypatch.setattr(ks, "HELD_BYTES", room)
+        monkeypatch.setattr(ks, "ROW_BYTES", row)
+        got = ks.step(df, bases, before)
+        assert got[1] == want[1] and all(np.isclose(got[2][r], want[2][r]) for r in bases)
+        spans = lambda u: u @ u.swapaxes(1, 2)
+        assert all(np.allclose(spans(got[0][r]), spans(want[0][r])) for r in bases)
+    assert len(ks.portions([0, 1, 2], 7, 6)) == 9
+
+
+@pytest.mark.parametrize("mode", ["drop_smallest", "keep_top"])
+def test_trimmed_coassociation_is_the_trim_of_all_pairs(spark, mode, monkeypatch):
+    """Few labels, so that most entries tie; blocks of 16 rows, so that each row meets several."""
+    rng = np.random.default_rng(4)
+    labels = spark.createDataFrame([(i * 7 % 101, rng.integers(0, 3, 5).tolist()) for i in range(60)], "id long, labels array<int>")
+    monkeypatch.setattr(ks, "packed", lambda df, column, dtype, rows: pairing.packed(df, column, dtype, 16))
+    for thresh in (0, 9, 48, 60):
+        want = {(r.i, r.j): r.value for r in ks.trim(ks.coassociation(labels), 60, thresh, mode).collect()}
+        got = {(r.i, r.j): r.value for r in ks.trimmed_coassociation(labels, 60, thresh, mode).collect()}
+        assert got == want, thresh
+    assert ks.coassociation(labels, most=5).groupBy("i").count().agg({"count": "max"}).first()[0] <= 5 * 4
+
+
 def test_trim_matches_dense(spark):
     rng = np.random.default_rng(0)
     a = rng.integers(0, 5, (12, 12)) / 4
