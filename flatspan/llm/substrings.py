@@ -111,13 +111,13 @@ def _least_nearby(v: np.ndarray) -> np.ndarray:
 def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Units of whole texts: paragraphs with their band keys, and sentences."""
     hashes, powers = MarkedHashes(), Powers()
-    held: list[tuple[int, np.ndarray, list[int], list[bool]]] = []
+    held: list[tuple[tuple[int, int], np.ndarray, list[int], list[bool]]] = []
     total = 0
     for b in batches:
-        for doc_id, raw in zip(b["doc_id"].tolist(), b["raw"], strict=True):
+        for doc_id, row, raw in zip(b["doc_id"].tolist(), b["row"].tolist(), b["raw"], strict=True):
             words, ends, opens = _lines(raw)
             if words:
-                held.append((doc_id, hashes(words), ends, opens))
+                held.append(((doc_id, row), hashes(words), ends, opens))
                 total += len(words)
             if total > _CHUNK:
                 yield _units_of(held, powers)
@@ -126,7 +126,7 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _units_of(held, powers)
 
 
-def _units_of(held: list[tuple[int, np.ndarray, list[int], list[bool]]], powers: Powers) -> pd.DataFrame:
+def _units_of(held: list[tuple[tuple[int, int], np.ndarray, list[int], list[bool]]], powers: Powers) -> pd.DataFrame:
     h = np.concatenate([x for _, x, _, _ in held])
     sizes = np.array([len(x) for _, x, _, _ in held])
     base = np.cumsum(sizes) - sizes
@@ -166,23 +166,37 @@ def _units_of(held: list[tuple[int, np.ndarray, list[int], list[bool]]], powers:
     whole[ps] = True
     keep = (se - ss >= MIN_UNIT) & ~(whole[ss] & ends_line[se] & (se - ss >= MIN_PARAGRAPH))
     ss, se = ss[keep], se[keep]
-    ids = np.array([i for i, _, _, _ in held], dtype=np.int64)
+    ids = np.array([i for i, _, _, _ in held], dtype=np.int64).reshape(-1, 2)
     parts = []
     short = few[np.searchsorted(line_end, ss, "right")]
     for kind, s, e, in_short, bs in (("p", ps, pe, joined, list(bands.view(np.int64))), ("s", ss, se, short, None)):
         if len(s):
             doc = np.searchsorted(base, s, "right") - 1
-            parts.append(pd.DataFrame({"kind": kind, "key": _sums(h, s, e, powers).view(np.int64), "doc_id": ids[doc], "start": (s - base[doc]).astype(np.int32), "n": (e - s).astype(np.int32), "short": in_short, "bands": bs}))
-    return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("kind", "key", "doc_id", "start", "n", "short", "bands")})
+            parts.append(pd.DataFrame({"kind": kind, "key": _sums(h, s, e, powers).view(np.int64), "doc_id": ids[doc, 0], "row": ids[doc, 1], "start": (s - base[doc]).astype(np.int32), "n": (e - s).astype(np.int32), "short": in_short, "bands": bs}))
+    return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("kind", "key", "doc_id", "row", "start", "n", "short", "bands")})
 
 
-def units(docs: DataFrame) -> DataFrame:
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", as_utf8(F.col("text")).alias("raw"))
-    return rows.mapInPandas(_units, "kind string, key long, doc_id long, start int, n int, short boolean, bands array<long>")
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, raw): each document's texts, once each. row is 0 where an id has one row, and a text's hash where it has several.
+
+    Rows are counted by id and hash first, in each task and then in all. Only where more than a bounded number of ids repeat
+    are texts shuffled to find theirs; a text that repeats under one id is merged in each task before it moves.
+    """
+    text = F.col("text")
+    rows = docs.where(F.col("doc_id").isNotNull() & text.isNotNull()).select("doc_id", F.xxhash64(text).alias("row"), as_utf8(text).alias("raw"))
+    several = rows.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1").select("doc_id")
+    several = small_or_whole(cut_lineage(several))
+    single = rows.join(several, "doc_id", "left_anti").select("doc_id", F.lit(0).cast("long").alias("row"), "raw")
+    return single.union(cut_lineage(rows.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", "row"])))
+
+
+def units(texts: DataFrame) -> DataFrame:
+    """All units of the texts (doc_id, row, raw)."""
+    return texts.mapInPandas(_units, "kind string, key long, doc_id long, row long, start int, n int, short boolean, bands array<long>")
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shingle sets of the wanted paragraphs; content is checked again, as ids may repeat."""
+    """Shingle sets of the wanted paragraphs, whose content is checked again."""
     hashes, powers = MarkedHashes(), Powers()
     for b in batches:
         keys, found = [], []
@@ -215,10 +229,10 @@ def compare_bucket(group: pd.DataFrame, similarity: float = SIMILARITY) -> pd.Da
     return pd.DataFrame({"a": key[root[linked]], "b": key[linked]})
 
 
-def paragraph_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def paragraph_links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): verified links between distinct paragraphs, that connect all colliding pairs of similarity 0.8 or more.
 
-    classes: key, bands, and where one of the paragraphs is: doc_id, start, n.
+    texts: doc_id, row, raw. classes: key, bands, and where one of the paragraphs is: doc_id, row, start, n.
     """
     banded = classes.select("key", F.explode("bands").alias("bucket"))
     buckets = cut_lineage(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("key").alias("a"), F.max("key").alias("b")).where("members > 1"))
@@ -227,13 +241,13 @@ def paragraph_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = some.select("bucket", F.col("key").alias("a")).join(some.select("bucket", F.col("key").alias("b")), "bucket").where("a < b").select("a", "b")
     pairs = cut_lineage(pairs.union(buckets.where("members = 2 and a < b").select("a", "b")).distinct())
     crowded = cut_lineage(several.where(F.col("members") > BUCKET).select("bucket", "key", "pivot"))
-    release(docs.sparkSession)
+    release(texts.sparkSession)
     wanted = pairs.select("a").union(pairs.select("b")).union(crowded.select("key")).distinct().select(F.col("a").alias("key"))
-    where = classes.select("key", "doc_id", "start", "n").join(wanted, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("wanted"))
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", as_utf8(F.col("text")).alias("raw")).join(where, "doc_id")
-    sets = cut_lineage(texts.select("raw", "wanted").mapInPandas(_sets, "key long, shingles array<long>").dropDuplicates(["key"]))
-    del texts, where, wanted
-    release(docs.sparkSession)
+    where = classes.select("key", "doc_id", "row", "start", "n").join(wanted, "key").groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "start", "n")).alias("wanted"))
+    asked = texts.join(where, ["doc_id", "row"])
+    sets = cut_lineage(asked.select("raw", "wanted").mapInPandas(_sets, "key long, shingles array<long>").dropDuplicates(["key"]))
+    del asked, where, wanted
+    release(texts.sparkSession)
     left, right = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
     close = pairs.join(left, "a").join(right, "b").where(_similarity() >= SIMILARITY).select("a", "b")
     return cut_lineage(close.union(crowded_links(crowded, sets)))
@@ -272,7 +286,7 @@ def crowded_links(crowded: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, n_words, cluster, first_doc, removed): passages that other documents hold too.
+    """(doc_id, start, end, n_words, cluster, first_doc, removed, via): passages that other documents hold too.
 
     Units of a text are its paragraphs (lines of 20 words or more, and shorter lines together) and its sentences.
     Paragraphs are near-duplicates where their sets of five-word shingles have a Jaccard similarity of 0.8 or more:
@@ -280,49 +294,53 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     different paragraphs; there its sentences and parts of long ones, cut by content alone, repeat word for word. Repeated
     units that follow each other form a passage; of 24 words or more in lines of 20 or more (or 40 in all) it is
     returned, with the smallest document that shares one of its units (first_doc) and a cluster: that of its longest
-    unit. It is removed from all documents but that one.
+    paragraph (via: paragraph), or of its longest sentence where no paragraph of it is a near-duplicate (via: sentence).
+    It is removed from all documents but the first.
 
     Word numbers count A-Z-lowered words split at ASCII white space, over the whole text. Null ids and texts are
-    ignored; repeats within one document alone are no passage; rows with equal ids are one document; an empty table
-    gives an empty result; further columns are ignored.
+    ignored; repeats within one document alone are no passage; rows with equal ids are one document, whose different
+    texts each have word numbers and passages of their own and whose equal ones count once; an empty table gives an empty
+    result; further columns are ignored.
     """
     spark = docs.sparkSession
-    found, drop_units = stored_for_now(units(docs), "kind")
+    texts = texts_of(docs)
+    found, drop_units = stored_for_now(units(texts), "kind")
     spread = F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")
-    place = "doc_id", "start", "n", "short", "run", "cluster", "lo"
-    sentences = found.where("kind = 's'").select("key", "doc_id", "start", "n", "short")
+    place = "doc_id", "row", "start", "n", "short", "run", "whole", "cluster", "lo"
+    sentences = found.where("kind = 's'").select("key", "doc_id", "row", "start", "n", "short")
     same = cut_lineage(sentences.groupBy("key").agg(*spread).where("lo < hi").select("key", "lo"))
-    equal = cut_lineage(sentences.join(same, "key").withColumn("cluster", F.col("key")).withColumn("run", F.lit(False)).select(*place))
+    equal = cut_lineage(sentences.join(same, "key").withColumn("cluster", F.col("key")).withColumns({"run": F.lit(False), "whole": F.lit(False)}).select(*place))
     drop_units("kind=s")
     del same
     release(spark)
     paragraphs = found.where("kind = 'p'")
-    classes, drop_classes = stored_for_now(paragraphs.groupBy("key").agg(*spread, F.first("bands").alias("bands"), F.min(F.struct("doc_id", "start", "n")).alias("at")).select("key", "lo", "hi", "bands", "at.*"))
-    links = paragraph_links(docs, classes)
+    classes, drop_classes = stored_for_now(paragraphs.groupBy("key").agg(*spread, F.first("bands").alias("bands"), F.min(F.struct("doc_id", "row", "start", "n")).alias("at")).select("key", "lo", "hi", "bands", "at.*"))
+    links = paragraph_links(texts, classes)
     release(spark)
     comps = connected_components(links, "a", "b")
     placed = classes.select("key", "lo", "hi").join(comps, F.col("key") == F.col("node"), "left").select("key", "lo", "hi", F.coalesce("component", "key").alias("cluster"))
     shared = placed.groupBy("cluster").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("cluster", "lo")
     # written out, so that the joins below stand between plain exchanges, whose hot keys Spark can split
     groups = cut_lineage(placed.select("key", "cluster").join(shared, "cluster").select("key", "cluster", "lo"))
-    near = cut_lineage(paragraphs.select("key", "doc_id", "start", "n", "short", F.col("short").alias("run")).join(groups, "key").select(*place))
+    near = cut_lineage(paragraphs.select("key", "doc_id", "row", "start", "n", "short", F.col("short").alias("run"), F.lit(True).alias("whole")).join(groups, "key").select(*place))
     drop_units()
     drop_classes()
     return passages(near.union(equal))
 
 
 def passages(repeated: DataFrame) -> DataFrame:
-    """Repeated units joined to passages: islands within each document."""
-    in_text = Window.partitionBy("doc_id").orderBy("start", "n", "cluster")
+    """Repeated units joined to passages: islands within each text."""
+    in_text = Window.partitionBy("doc_id", "row").orderBy("start", "n", "cluster")
     before = F.max(F.col("start") + F.col("n")).over(in_text.rowsBetween(Window.unboundedPreceding, -1))
     opens = (before.isNull() | (F.col("start") > before + GAP)).cast("int")
     islands = repeated.withColumn("opens", opens).withColumn("island", F.sum("opens").over(in_text.rowsBetween(Window.unboundedPreceding, 0)))
     words = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    joined = islands.groupBy("doc_id", "island").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.max(F.struct("n", "cluster")).alias("most"), F.min("lo").alias("first_doc"),
+    joined = islands.groupBy("doc_id", "row", "island").agg(
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.max(F.struct("whole", "n", "cluster")).alias("most"), F.min("lo").alias("first_doc"),
         words(F.col("short") & ~F.col("run")).alias("in_short"), words(F.col("run")).alias("in_runs"),
     )
     joined = joined.withColumn("n_words", F.col("end") - F.col("start"))
     outside = F.col("n_words") - F.greatest("in_short", "in_runs")
     joined = joined.where((outside >= MIN_PASSAGE) | ((F.col("n_words") >= MIN_MIXED) & (outside >= MIN_LONG)) | (F.col("in_runs") >= MIN_MIXED))
-    return joined.select("doc_id", "start", "end", "n_words", F.col("most.cluster").alias("cluster"), "first_doc", (F.col("first_doc") < F.col("doc_id")).alias("removed"))
+    via = F.when(F.col("most.whole"), "paragraph").otherwise("sentence").alias("via")
+    return joined.select("doc_id", "start", "end", "n_words", F.col("most.cluster").alias("cluster"), "first_doc", (F.col("first_doc") < F.col("doc_id")).alias("removed"), via)

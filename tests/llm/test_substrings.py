@@ -80,9 +80,10 @@ def test_paragraph_clusters_match_all_pairs(spark):
     texts = [*base, *(edited(b, RNG.randint(1, 4)) for b in base for _ in range(9))]
     texts += [edited(base[0], 1) for _ in range(120)]  # a crowded bucket
     docs = documents(spark, list(enumerate(texts)))
-    found = sub.units(docs).where("kind = 'p'")
-    classes = found.select("key", "bands", "doc_id", "start", "n").dropDuplicates(["key"])
-    links = sub.paragraph_links(docs, classes)
+    rows = sub.texts_of(docs)
+    found = sub.units(rows).where("kind = 'p'")
+    classes = found.select("key", "bands", "doc_id", "row", "start", "n").dropDuplicates(["key"])
+    links = sub.paragraph_links(rows, classes)
     of = {r.key: r.doc_id for r in classes.collect()}
     got = [(of[r.a], of[r.b]) for r in links.collect()]
     crowd = {0, *range(12, 21), *range(120, 240)}
@@ -163,7 +164,7 @@ def test_units_are_cut_by_content(spark):
     passage = prose(60)
     keys = []
     for pre, post in (("", ""), ("some other words before it", "and after it"), ("x " * 31, "y " * 17)):
-        rows = frame(sub.units(documents(spark, [(1, f"{pre} {passage} {post}")])))
+        rows = frame(sub.units(sub.texts_of(documents(spark, [(1, f"{pre} {passage} {post}")]))))
         keys.append(set(rows[rows.kind == "s"].key))
     assert len(keys[0] & keys[1] & keys[2]) >= 3
 
@@ -192,6 +193,49 @@ def test_given_table_against_all_shared_stretches(spark, sf):
             assert sum(len(owners[r]) > 1 for r in runs) >= 0.6 * len(runs), (i, s, e)
 
 
+def test_given_table_recall_of_paragraph_pairs(spark, sf):
+    """Of all pairs of different paragraphs with similarity 0.8 or more, found by brute force, 0.9 at least share a cluster."""
+    rows = sub.texts_of(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"))
+    classes = sub.units(rows).where("kind = 'p'").select("key", "bands", "doc_id", "row", "start", "n").dropDuplicates(["key"]).cache()
+    words = {r.doc_id: bytes(r.raw).lower().split() for r in rows.collect()}
+    sets = {r.key: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for r in classes.collect() for w in [words[r.doc_id][r.start : r.start + r.n]]}
+    holders: dict[tuple, list[int]] = {}
+    for key, own in sets.items():
+        for s in own:
+            holders.setdefault(s, []).append(key)
+    near = set()
+    for a, own in sets.items():
+        shared: dict[int, int] = {}
+        for s in own:
+            for b in holders[s]:
+                shared[b] = shared.get(b, 0) + 1
+        near |= {(a, b) for b, n in shared.items() if a < b and n >= 0.8 * (len(own) + len(sets[b]) - n)}
+    number = {k: i for i, k in enumerate(sets)}
+    links = [(number[r.a], number[r.b]) for r in sub.paragraph_links(rows, classes).collect()]
+    root = local_roots(len(sets), np.array([a for a, _ in links]), np.array([b for _, b in links]))
+    found = [root[number[a]] == root[number[b]] for a, b in near]
+    assert len(near) >= 20 and sum(found) >= 0.9 * len(near), (sum(found), len(near))
+
+
+def test_via(spark):
+    """A near-copied paragraph goes before the sentences beside it; a passage inside other paragraphs comes by sentences."""
+    p, q = prose(120), prose(60)
+    rows = [(1, p), (2, edited(p, 2)), (3, f"{prose(40)} {q} {prose(40)}"), (4, f"{prose(40)} {q} {prose(40)}")]
+    got = frame(sub.repeated_passages(documents(spark, rows)))
+    assert {i: set(g.via) for i, g in got.groupby("doc_id")} == {1: {"paragraph"}, 2: {"paragraph"}, 3: {"sentence"}, 4: {"sentence"}}
+
+
+def test_texts_of_one_id(spark):
+    """Different texts of one id each give their own passages; equal ones count once."""
+    own = [prose(60) for _ in range(40)]
+    rows = [(1, p) for p in own] * 3 + [(100 + i, p) for i, p in enumerate(own)]
+    got = frame(sub.repeated_passages(documents(spark, rows)))
+    assert len(got) == 80 and (got.first_doc == 1).all()
+    assert sorted(got[got.doc_id == 1].n_words) == sorted(got[got.doc_id != 1].n_words) == sorted(len(p.split()) for p in own)
+    many = frame(sub.repeated_passages(documents(spark, [*rows, *[(7, own[0])] * 500])))
+    assert len(many) == 81 and len(many[many.doc_id == 7]) == 1
+
+
 def test_odd_rows(spark):
     got = frame(sub.repeated_passages(odd_documents(spark)))
     assert len(got) == 0
