@@ -15,9 +15,8 @@ from flatspan.llm.common import WORD, cut_lineage, small_or_whole
 #: Cost of a word's first, second and third repetition: convex, so that repeats spread before they pile up.
 REPEAT_COSTS = (0, 1, 3)
 SEED = "mix-1"
-#: Patterns of several sources (those with most words) that the flow tells apart; texts of further ones count as
-#: texts of their own source alone, and are mixed like those.
-MAX_PATTERNS = 2_000
+#: Sources, and sources of each pattern, that the flow on the driver takes; more are an error. 150,000 of them take some 10 seconds.
+MAX_CELLS = 200_000
 #: Bits of the seeded order, and those that each of two narrowing steps looks at.
 ORDER_BITS, LEVEL_BITS = 60, 12
 FILL_ROUNDS = 4
@@ -139,11 +138,18 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def shared_texts(kinds: DataFrame) -> DataFrame:
-    """(text_key, pattern): texts that stand in several sources, by the names of those, for the MAX_PATTERNS largest patterns."""
-    sets = kinds.where("size > 0").groupBy("text_key").agg(F.sort_array(F.collect_set(named(F.col("source")))).alias("pattern"), F.sum(F.col("size") * F.col("copies")).alias("words")).where(F.size("pattern") > 1)
-    sets = cut_lineage(sets)
-    largest = sets.groupBy("pattern").agg(F.sum("words").alias("all")).orderBy(F.desc("all"), "pattern").limit(MAX_PATTERNS)
-    return cut_lineage(sets.join(F.broadcast(largest.select("pattern")), "pattern", "left_semi").select("text_key", "pattern"))
+    """(text_key, pattern): texts that stand in several sources, by the names of those."""
+    sets = kinds.where("size > 0").groupBy("text_key").agg(F.sort_array(F.collect_set(named(F.col("source")))).alias("pattern"))
+    return cut_lineage(sets.where(F.size("pattern") > 1))
+
+
+def cells_of(records: DataFrame) -> list[tuple]:
+    """(cell, pattern, source, words) rows for the flow; more than MAX_CELLS are an error, raised before they are gathered."""
+    words = F.sum(F.col("size") * F.col("copies")).alias("words")
+    rows = records.groupBy("cell", "pattern", named(F.col("source")).alias("source")).agg(words).limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} sources and sources of patterns; merge sources (those of one domain, say) before mixing")
+    return [tuple(r) for r in rows]
 
 
 def cell_key() -> Column:
@@ -154,9 +160,8 @@ def cell_key() -> Column:
 def plan_mix(cells: list[tuple], weights: dict | None = None, most: int = 3) -> tuple[list[dict], dict, dict]:
     """(parts, targets by source, sizes by source) from (cell, pattern, source, words) rows.
 
-    Sources are names (see named). parts: by cell its source, words, ``take`` (words to take of it) and ``last``:
-    whether it is its source's largest cell, which also takes what whole documents leave open in the others.
-    Without weights, sources weigh 1, 2, 3, repeating, in order of their names.
+    Sources are names (see named). parts: by cell its source, words and ``take`` (words to take of it). Without
+    weights, sources weigh 1, 2, 3, repeating, in order of their names.
     """
     by_pattern: dict[tuple, dict] = {}
     sizes: dict[str, int] = {}
@@ -168,21 +173,20 @@ def plan_mix(cells: list[tuple], weights: dict | None = None, most: int = 3) ->
     quotas = {s: math.floor(targets[s] + 0.5) for s in sizes}
     found = list(by_pattern.values())
     routed = min_cost_flow([{s: words for s, (_, words) in own.items()} for own in found], quotas, REPEAT_COSTS[:most])
-    parts = [{"cell": cell, "source": s, "words": words, "take": to.get(s, 0), "last": False} for own, to in zip(found, routed, strict=True) for s, (cell, words) in own.items()]
-    for s in sizes:
-        max((p for p in parts if p["source"] == s), key=lambda p: p["words"])["last"] = True
+    parts = [{"cell": cell, "source": s, "words": words, "take": to.get(s, 0)} for own, to in zip(found, routed, strict=True) for s, (cell, words) in own.items()]
     return parts, targets, sizes
 
 
-def select(records: DataFrame, parts: list[dict]) -> DataFrame:
+def select(records: DataFrame, asked: list[tuple[int, int, int]]) -> DataFrame:
     """(cell, base, low, gap): a copy is taken base times, and once more where its order is below low; gap words stay open.
 
+    asked: (cell, base, words wanted beyond base times all).
     The seeded order is narrowed in two steps of 12 bits: words are summed by cell and bits, a window over at most
     4,096 sums a cell finds the bits where the words run out, and only rows with those bits are looked at again. So the
     last window sees a 2**-24 part of a cell. records: cell, size, order.
     """
     spark = records.sparkSession
-    state = spark.createDataFrame([(p["cell"], *divmod(p["take"], p["words"])) for p in parts if p["words"]], "cell long, base long, rest long")
+    state = spark.createDataFrame(asked, "cell long, base long, rest long")
     state = state.withColumn("low", F.lit(0).cast("long"))
     shift = ORDER_BITS
     for _ in range(2):
@@ -210,27 +214,57 @@ def _advance(state: DataFrame, sums: DataFrame, begin: Column, end: Column) -> D
     return state.join(F.broadcast(cut), "cell", "left").select("cell", "base", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"), F.coalesce("stop", "beyond", "low").alias("low"))
 
 
-def fill(records: DataFrame, chosen: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(cell, order) of further copies, for (cell, low, gap) rows, one a source at most.
+def later(records: DataFrame, cells: list[tuple[int, int, int]]) -> DataFrame:
+    """(cell, source, size, order): copies at or after low in their cell, for (cell, source's number, low) rows."""
+    return records.join(F.broadcast(records.sparkSession.createDataFrame(cells, "cell long, source long, low long")), "cell").where("order >= low").drop("low")
+
+
+def fill(rest: DataFrame, gaps: dict[int, int]) -> list[tuple[int, int]]:
+    """(cell, order) of further copies out of rest (see later), for the words that each source has open.
 
-    FILL_ROUNDS times the largest later copy that still fits goes in, then the smallest one if that comes nearer.
+    FILL_ROUNDS times the largest copy that still fits goes in, then the smallest one if that comes nearer.
     """
-    spark, extra, gaps = records.sparkSession, [], {cell: (low, gap) for cell, low, gap in chosen if gap > 0}
+    spark, extra, gaps = rest.sparkSession, [], dict(gaps)
     for k in range(FILL_ROUNDS + 1):
-        asked = [(cell, low, gap) for cell, (low, gap) in gaps.items() if gap > 0]
+        asked = [(s, gap) for s, gap in gaps.items() if gap > 0]
         if not asked:
             break
-        fit = records.join(F.broadcast(spark.createDataFrame(asked, "cell long, low long, gap long")), "cell").where("order >= low and size > 0").where("size <= gap" if k < FILL_ROUNDS else "size < 2 * gap")
+        fit = rest.join(F.broadcast(spark.createDataFrame(asked, "source long, gap long")), "source").where("size <= gap" if k < FILL_ROUNDS else "size < 2 * gap")
         if extra:
             fit = fit.join(F.broadcast(spark.createDataFrame(extra, "cell long, order long")), ["cell", "order"], "left_anti")
-        by_size = F.struct("size", (-F.col("order")).alias("minus"))
-        for r in fit.groupBy("cell").agg((F.max(by_size) if k < FILL_ROUNDS else F.min(by_size)).alias("best")).collect():
-            extra.append((r["cell"], -r["best"]["minus"]))
-            low, gap = gaps[r["cell"]]
-            gaps[r["cell"]] = low, gap - r["best"]["size"]
+        by_size = F.struct("size", (-F.col("order")).alias("minus"), "cell")
+        for r in fit.groupBy("source").agg((F.max(by_size) if k < FILL_ROUNDS else F.min(by_size)).alias("best")).collect():
+            extra.append((r["best"]["cell"], -r["best"]["minus"]))
+            gaps[r["source"]] -= r["best"]["size"]
     return extra
 
 
+def decide(wanted: DataFrame, parts: list[dict], most: int = 3) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """((cell, base, low), (cell, order)): which copies are taken how often, and those that are taken once more.
+
+    Each cell takes whole copies in the seeded order. What they leave open in the cells of one source is taken, in the same
+    order, from the copies that come next in all of those cells; the last open words are filled.
+    """
+    number = {s: i for i, s in enumerate(sorted({p["source"] for p in parts}))}
+    of = {p["cell"]: number[p["source"]] for p in parts}
+    found = {r["cell"]: (r["base"], r["low"], r["gap"]) for r in select(wanted, [(p["cell"], *divmod(p["take"], p["words"])) for p in parts if p["words"]]).collect()}
+    gaps, open_cells = {}, {}
+    for cell, (_, _, gap) in found.items():
+        if gap > 0:
+            gaps[of[cell]] = gaps.get(of[cell], 0) + gap
+            open_cells.setdefault(of[cell], []).append(cell)
+    low = {cell: low for cell, (_, low, _) in found.items()}
+    several = {s: cells for s, cells in open_cells.items() if len(cells) > 1}
+    if several:
+        rest = later(wanted, [(c, s, low[c]) for s, cells in several.items() for c in cells])
+        for r in select(rest.select(F.col("source").alias("cell"), "size", "order"), [(s, 0, gaps[s]) for s in several]).collect():
+            gaps[r["cell"]] = r["gap"]
+            for c in several[r["cell"]]:
+                low[c] = max(low[c], r["low"])
+    rest = [(c, of[c], low[c]) for c, (base, _, _) in found.items() if base < most and gaps.get(of[c], 0) > 0]
+    return [(c, base, low[c]) for c, (base, _, _) in found.items()], fill(later(wanted, rest), gaps) if rest else []
+
+
 def _runs(df: DataFrame, n: str, *keys: str) -> DataFrame:
     """Each row of df n times, numbered by ``copy`` from 0, RUN at a time over all tasks, so that no task writes all."""
     once = df.where(F.col(n) == 1).withColumn("copy", F.lit(0).cast("long"))
@@ -247,23 +281,15 @@ class Mix:
         kinds = cut_lineage(measured(docs))
         self.shared = small_or_whole(shared_texts(kinds))
         records = kinds.join(self.shared, "text_key", "left").withColumn("cell", cell_key())
-        cells = [tuple(r) for r in records.groupBy("cell", "pattern", named(F.col("source")).alias("source")).agg(F.sum(F.col("size") * F.col("copies")).alias("words")).collect()]
         by_name = weights and {"b" if s is None else f"a{s}": w for s, w in weights.items()}
-        parts, self.targets, self.sizes = plan_mix(cells, by_name, most)
+        parts, self.targets, self.sizes = plan_mix(cells_of(records), by_name, most)
         spread = _runs(records.drop("pattern"), "copies", "doc_id", "text_key")
         self.records = cut_lineage(spread.withColumn("order", seeded_order(F.col("doc_id"), F.col("text_key"), F.col("copy"))))
         wanted = self.records.where("size > 0").select("cell", "size", "order")
-        first = {r["cell"]: r for r in select(wanted, [p for p in parts if not p["last"]]).collect()}
-        open_words: dict[str, int] = {}
-        for p in parts:
-            if not p["last"] and p["cell"] in first:
-                open_words[p["source"]] = open_words.get(p["source"], 0) + first[p["cell"]]["gap"]
-        last = [p | {"take": min(p["take"] + open_words.get(p["source"], 0), most * p["words"])} for p in parts if p["last"]]
-        then = {r["cell"]: r for r in select(wanted, last).collect()}
-        extra = fill(wanted, [(c, r["low"], r["gap"]) for c, r in then.items()])
+        chosen, extra = decide(wanted, parts, most)
         spark = docs.sparkSession
         # a row a cell, and FILL_ROUNDS + 1 rows a source at most
-        self.chosen = F.broadcast(spark.createDataFrame([(c, r["base"], r["low"]) for c, r in (first | then).items()], "cell long, base long, low long"))
+        self.chosen = F.broadcast(spark.createDataFrame(chosen, "cell long, base long, low long"))
         self.extra = F.broadcast(spark.createDataFrame([(c, o, 1) for c, o in extra], "cell long, order long, more int"))
         self.of = F.broadcast(spark.createDataFrame([(s, self.sizes[s], float(self.targets[s])) for s in self.sizes], "of string, source_size long, target double"))
 
@@ -281,6 +307,7 @@ def mix_documents(docs: DataFrame, weights: dict | None = None) -> DataFrame:
     of the table. Equal texts of several sources form a membership pattern; the flow spreads repeats over all
     patterns. No document is taken more than three times, always whole. A null or wordless text has size 0 and takes
     nothing; repeated rows are taken one by one; an empty table gives an empty result; further columns are ignored.
+    All patterns take part; more than MAX_CELLS sources and sources of patterns are an error.
     """
     mix = Mix(docs, weights)
     out = mix.copies(mix.records).withColumn("name", named(F.col("source"))).join(mix.of, F.col("name") == F.col("of"))

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from flatspan.llm import mixing
@@ -90,7 +91,7 @@ def test_overlapping_sources(spark):
     # 750 and 2,250 words out of 600 + 900 in patterns of a, both and b: nothing needs a third repetition
     assert (repeats.taken <= 2 * repeats["size"]).all()
     parts, _, sizes = mixing.plan_mix([(1, None, "aa", 300), (2, ["aa", "ab"], "aa", 200), (3, ["aa", "ab"], "ab", 200), (4, None, "ab", 50)], {"aa": 1, "ab": 3})
-    assert sizes == {"aa": 500, "ab": 250} and abs(sum(p["take"] for p in parts) - 750) <= 1 and [p["cell"] for p in parts if p["last"]] in ([1, 3], [3, 1])
+    assert sizes == {"aa": 500, "ab": 250} and abs(sum(p["take"] for p in parts) - 750) <= 1
 
 
 def test_repeated_rows(spark):
@@ -111,12 +112,29 @@ def test_repeated_rows(spark):
     near_targets(got, 0.0)
 
 
-def test_many_patterns_fall_back_on_sources(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_PATTERNS", 1)
-    rows = [(i, f"text {i // 2} " * 5, "en", f"s{(i // 2 + i) % 4}") for i in range(80)]
-    got = frame(mixing.mix_documents(documents(spark, rows)))
-    assert len(got) == 80
+def test_many_patterns(spark, monkeypatch):
+    """3,000 texts of two sources each, in 3,000 different patterns: all take part in the flow."""
+    pairs = list(itertools.islice(itertools.combinations(range(80), 2), 3000))
+    rows = [(2 * i + k, f"text {i} " * 5, "en", f"s{pair[k]:02d}") for i, pair in enumerate(pairs) for k in (0, 1)]
+    docs = documents(spark, rows)
+    mix = mixing.Mix(docs)
+    assert mix.shared.select("pattern").distinct().count() == 3000
+    got = frame(mixing.mix_documents(docs))
+    assert len(got) == 6000
     near_targets(got)
+    monkeypatch.setattr(mixing, "MAX_CELLS", 5999)
+    with pytest.raises(ValueError, match="merge sources"):
+        mixing.mix_documents(docs)
+
+
+def test_plan_takes_least_cost_at_any_number_of_patterns():
+    """Quotas that one repetition of all patterns can fill are filled without further ones."""
+    rng = random.Random(5)
+    names = [f"a{i:03d}" for i in range(300)]
+    patterns = sorted({tuple(sorted(rng.sample(names, 2))) for _ in range(20_000)})
+    flow = mixing.min_cost_flow([{s: 10 for s in p} for p in patterns], dict.fromkeys(names, 10 * len(patterns) // len(names)))
+    assert sum(sum(f.values()) for f in flow) == 10 * len(patterns) // len(names) * len(names)
+    assert all(sum(f.values()) <= 20 for f in flow)
 
 
 def test_odd_rows(spark):
