@@ -3,6 +3,7 @@ from __future__ import annotations
 from itertools import permutations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,21 @@ def test_trimmed_coassociation_is_the_trim_of_all_pairs(spark, mode, monkeypatch
     assert ks.coassociation(labels, most=5).groupBy("i").count().agg({"count": "max"}).first()[0] <= 5 * 4
 
 
+@pytest.mark.parametrize("kinds, thresh", [(3, 9), (3, 48), (2, 0), (2, 60), (7, 20)])
+def test_trims_from_label_patterns_equal_those_of_all_pairs(spark, kinds, thresh, monkeypatch):
+    """Few labels, so that rows share their patterns and most entries tie; no window over all pairs, and degrees without pairs of rows."""
+    rng = np.random.default_rng(kinds + thresh)
+    labels = spark.createDataFrame([(i * 7 % 101, rng.integers(0, kinds, 4).tolist()) for i in range(60)], "id long, labels array<int>").persist()
+    monkeypatch.setattr(ks, "packed", lambda df, column, dtype, rows: pairing.packed(df, column, dtype, 16))
+    whole = ks.coassociation(labels)
+    want = {(r.i, r.j): r.value for r in ks.trim_rows(whole, 60, thresh).where("i % 5 = 0").collect()}
+    rows = ks.trimmed_rows(labels, thresh, "id % 5 = 0")
+    assert {(r.i, r.j): r.value for r in rows.collect()} == want
+    assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    both = ks.trim(whole, 60, thresh).groupBy("i").agg(F.sum("value").alias("degree"), F.count(F.lit(1)).alias("n"))
+    assert {r.id: (round(r.degree, 9), r.n) for r in ks.trimmed_degrees(labels, thresh).collect()} == {r.i: (round(r.degree, 9), r.n) for r in both.collect()}
+
+
 def test_trim_matches_dense(spark):
     rng = np.random.default_rng(0)
     a = rng.integers(0, 5, (12, 12)) / 4
@@ -223,6 +239,18 @@ def test_pursuit_and_correlations_over_blocks(spark, monkeypatch):
     assert np.isclose(ssc.admm_scale(df, 20, True), corr.max(axis=0).min()) and np.isclose(ssc.admm_scale(df, 20, False), score.max(axis=1).min())
 
 
+def test_blocks_travel_a_bounded_number_of_times(spark):
+    """Each pair of blocks meets once, and a task takes a whole part of either side, however many blocks there are."""
+    assert [pairing.tiles(b, s) for b, s in ((3, 100), (150, 300 << 20), (10_000, 64 << 30))] == [3, pairing.SIDE, 1024]
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(60)], "id long, features array<double>")
+    blocks = pairing.packed(df, "features", rows=3)
+    assert blocks.count() >= 20 and blocks.select("block").distinct().count() == blocks.count()
+    compare = lambda i, x, j, y: pd.DataFrame({"i": np.repeat(i, len(j)), "j": np.tile(j, len(i)), "same": (x == y.T).ravel()})
+    found = pairing.against(blocks, blocks, compare, "i long, j long, same boolean").withColumn("task", F.spark_partition_id()).collect()
+    assert len(found) == 3600 and all(r.same == (r.i == r.j) for r in found) and len({(r.i, r.j) for r in found}) == 3600
+    assert len({r.task for r in found}) == pairing.SIDE**2
+
+
 def test_ensemble_runs_match_single_runs(spark, union):
     """All runs at once give the labels that each run gives alone."""
     params = EnsembleParams(n_clusters=3, dim_subspaces=1, n_base=10)
