@@ -113,6 +113,27 @@ def test_trims_from_label_patterns_equal_those_of_all_pairs(spark, kinds, thresh
     assert {r.id: (round(r.degree, 9), r.n) for r in ks.trimmed_degrees(labels, thresh).collect()} == {r.i: (round(r.degree, 9), r.n) for r in both.collect()}
 
 
+@pytest.mark.parametrize("thresh", [-1, 9])
+def test_coassociation_vectors_without_pairs_equal_dense_ones(spark, thresh):
+    rng = np.random.default_rng(5)
+    own = (np.arange(80)[:, None] // 27 + (rng.random((80, 12)) < 0.3)) % 4
+    labels = spark.createDataFrame([(i * 3, own[i].tolist()) for i in range(80)], "id long, labels array<int>").repartition(3).persist()
+    a = (own[:, None, :] == own[None, :, :]).mean(axis=2)
+    if thresh > 0:
+        kept = a.copy()
+        for i in range(80):
+            kept[i, np.lexsort((np.arange(80), a[i]))[:thresh]] = 0
+        a = (kept + kept.T) / 2
+    less = ks.trimmed_off(labels, thresh) if thresh > 0 else None
+    assert less is None or less.count() > 0
+    v, values = ks.coassociation_vectors(labels, 12, 4, less, 3)
+    size = 1 / np.sqrt(a.sum(axis=1))
+    want, vectors = np.linalg.eigh(size[:, None] * a * size)
+    assert np.allclose(values, want[::-1][:3], atol=1e-8)
+    got = np.array([r.vector for r in v.orderBy("id").collect()])
+    assert np.allclose(np.abs(np.linalg.svd(got.T @ vectors[:, ::-1][:, :3])[1]), 1, atol=1e-6)
+
+
 def test_trim_matches_dense(spark):
     rng = np.random.default_rng(0)
     a = rng.integers(0, 5, (12, 12)) / 4
