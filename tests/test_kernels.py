@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from flatspan.functions import admm
 from flatspan.functions import kernels as k
 from flatspan.functions import tracking as tr
 from flatspan.params import EnsembleParams, KSubspacesParams, OwlParams, SscAdmmParams, SscOmpParams
@@ -168,3 +169,25 @@ def test_tracker_guards():
             assert s.basis.shape == (8, rank) and np.isfinite(s.basis).all() and np.isfinite(low).all()
     with pytest.raises(ValueError):
         tr.start(tr.TrackerOptions(rank=9), 8)
+
+
+@pytest.mark.parametrize("affine", [False, True])
+@pytest.mark.parametrize("outliers", [False, True])
+@pytest.mark.parametrize("room", [48 << 20, 0])
+def test_admm_of_few_entries_takes_the_same_steps(monkeypatch, affine, outliers, room):
+    """The steps with all entries, in two passes of stored state, also where no view has room; errors are on the same side of epsilon."""
+    monkeypatch.setattr(admm, "VIEW_BYTES", min(room, 8 << 20))
+    monkeypatch.setattr(admm, "MOST_BYTES", room)
+    x = np.random.default_rng(4).standard_normal((120, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    args = (20.0 if outliers else 800.0, affine, outliers, low(x, 20.0 if outliers else 800.0, outliers))
+    want, errors = k.AdmmProblem(x, *args).solve(np.arange(120), 40)
+    few, got, told = admm.FewAdmm(x, *args), np.zeros((120, 120)), []
+    state = few.begin(120)
+    for steps in (15, 25):
+        state, worst = few.advance(np.arange(120), state, steps, 1e-3, 32)
+        state, told = admm.FewState.from_row(state.to_row(), 120), [*told, *worst]
+    got[state.i, state.k] = state.now
+    assert np.allclose(got, want, atol=1e-9) and (got != 0).any() and not got.diagonal().any()
+    assert ((np.array(told) > 1e-3) == (errors.max(axis=1) > 1e-3)).all()
+    assert few.begin(120).v.shape[0] <= 5 * 7 + 1  # no number for every other point
