@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flatspan.functions.tracking import TrackerOptions, TrackerState, start, step
+from flatspan.functions.tracking import TrackerOptions, TrackerState, draws, start, step
 
 
 def follow(state: TrackerState | None, ids: list[int], features: list, options: TrackerOptions) -> tuple[TrackerState | None, list[np.ndarray]]:
@@ -20,7 +20,7 @@ def follow(state: TrackerState | None, ids: list[int], features: list, options:
             continue
         x = np.array([np.nan if v is None else v for v in f], dtype=float)
         state = state or start(options, len(x))
-        state, part = step(state, x, options, np.random.default_rng([options.random_seed, int(i) & (2**63 - 1)]))
+        state, part = step(state, x, options, draws(options, int(i)))
         low.append(part)
     return state, low
 

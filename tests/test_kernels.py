@@ -191,3 +191,35 @@ def test_admm_of_few_entries_takes_the_same_steps(monkeypatch, affine, outliers,
     assert np.allclose(got, want, atol=1e-9) and (got != 0).any() and not got.diagonal().any()
     assert ((np.array(told) > 1e-3) == (errors.max(axis=1) > 1e-3)).all()
     assert few.begin(120).v.shape[0] <= 5 * 7 + 1  # no number for every other point
+
+
+def weights_by_projection(u, x, rho, most, tol=1e-8):
+    """The ADMM of the tracker as it is written down, with a projection from a decomposition of u."""
+    left, size, right = np.linalg.svd(u, full_matrices=False)
+    kept = size > 1e-15 * max(u.shape) * size.max(initial=0.0)
+    span, back = left[:, kept], right[kept].T / size[kept]
+    sparse, scaled = np.zeros_like(x), np.zeros_like(x)
+    for penalty in rho ** np.arange(1.0, most + 2):
+        inside = span.T @ (x - sparse + scaled)
+        rest = x - span @ inside
+        sparse = k.soft(rest + scaled, 1 / penalty)
+        broken = rest - sparse
+        scaled = (scaled + broken) / rho
+        if np.linalg.norm(broken) < tol:
+            break
+    return back @ inside, sparse, scaled * penalty * rho
+
+
+@pytest.mark.parametrize("d,r", [(3, 2), (4, 1), (6, 2), (8, 3), (64, 3), (2, 2), (1, 1)])
+def test_tracker_weights_are_those_of_the_written_steps(d, r):
+    rng = np.random.default_rng(d)
+    for most in (1, 5, 20):
+        u, x = np.linalg.qr(rng.standard_normal((d, d)))[0][:, :r], rng.standard_normal(d) * 3
+        for part in (slice(None), slice(0, max(1, d - 1))):  # all coordinates, and all but one
+            for got, want in zip(tr.l1_weights(u[part], x[part], 1.8, most), weights_by_projection(u[part], x[part], 1.8, most), strict=True):
+                assert np.allclose(got, want, atol=1e-7 * max(1, np.abs(want).max()))
+    zero, flat = np.zeros((4, 2)), np.tile(rng.standard_normal((4, 1)), 2)
+    for u in (zero, flat):
+        w, sparse, _ = tr.l1_weights(u, np.ones(4), 1.8, 20)
+        assert np.allclose(w, weights_by_projection(u, np.ones(4), 1.8, 20)[0], atol=1e-6) and np.isfinite(sparse).all()
+    assert tr.draws(tr.TrackerOptions(), 5) is None and tr.draws(tr.TrackerOptions(subsampling=0.5), -5) is not None
