@@ -388,3 +388,31 @@ def test_admm_passes_equal_one_run(spark, monkeypatch, stop):
     for r in ssc.admm_coefficients(df, params, stop=stop).collect():
         got[r.row_id // 3, r.col_id // 3] = r.coef
     assert (errors <= 0.02).any() and np.allclose(got, want, atol=1e-9 if stop == "global" else 0.2)
+
+
+def test_embedding_in_several_blocks_and_their_number(spark, monkeypatch):
+    """Few blocks for sparse tables, more where their cells would be crowded; several give the eigenvectors of one."""
+    assert [krylov.block_count(n, e) for n, e in ((0, 0), (10_256, 10**6), (615_384, 6 * 10**6), (4096, 2**24), (10_256, 10**8))] == [1, 1, 38, 2, 6]
+    monkeypatch.setattr(krylov, "ROWS", 16)
+    monkeypatch.setattr(krylov, "MOST_ROWS", 16)
+    assert krylov.block_count(60, 500) == 4
+    rng = np.random.default_rng(2)
+    a = np.triu(rng.random((60, 60)) * (rng.random((60, 60)) < 0.3), 1)
+    a = a + a.T
+    found, values = spectral.smallest_directions(coo(spark, a), spark.range(60), 3)
+    d = 1 / np.sqrt(a.sum(axis=1) + 2.3e-16)
+    want, vectors = np.linalg.eigh(np.eye(60) - d[:, None] * a * d)
+    got = np.array([r.vector for r in found.orderBy("id").collect()])
+    assert np.abs(values - want[:3]).max() < 1e-8 and np.abs(got @ got.T - vectors[:, :3] @ vectors[:, :3].T).max() < 1e-4
+
+
+def test_a_pipeline_without_test_rows_learns_once(spark, monkeypatch):
+    """Clusterings label one frame once, where train and test are the same."""
+    from flatspan.plans import pipelines
+
+    asked = []
+    monkeypatch.setattr(ssc.SparseSubspaceOMP, "transform", lambda self, df: asked.append(1) or df.select("id", F.lit(0).alias("cluster")))
+    table = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
+    p = pipelines.clustering("omp", "ssc_omp", "vec_id", "embedding", n_clusters=2, sparsity_level=3)
+    assert p.run(table).count() == 5 and len(asked) == 1
+    assert p.run(table, table.limit(2)).count() == 2 and len(asked) == 3
