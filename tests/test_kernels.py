@@ -223,3 +223,21 @@ def test_tracker_weights_are_those_of_the_written_steps(d, r):
         w, sparse, _ = tr.l1_weights(u, np.ones(4), 1.8, 20)
         assert np.allclose(w, weights_by_projection(u, np.ones(4), 1.8, 20)[0], atol=1e-6) and np.isfinite(sparse).all()
     assert tr.draws(tr.TrackerOptions(), 5) is None and tr.draws(tr.TrackerOptions(subsampling=0.5), -5) is not None
+
+
+def test_nearest_point_within_all_rows_is_the_programs_dual():
+    """The dual active set gives the dual vector and coefficients of the smooth programs, from nothing and from what held for fewer rows."""
+    rng = np.random.default_rng(12)
+    for le in (0.0, 1.5):
+        a, y, lz = rng.standard_normal((40, 8)), rng.standard_normal(8), 12.0
+        a[7] = a[3]
+        rows = np.vstack([np.eye(8), a]) if le else a
+        costs = np.concatenate([np.full(len(rows) - 40, le), np.ones(40)])
+        few, at, size = k.nearest_within(rows[:20], costs[:20], lz * y)
+        nu, at, size = k.nearest_within(rows, costs, lz * y, (at, np.sign(size)))
+        assert np.allclose(nu, k.nearest_within(rows, costs, lz * y)[0]) and (np.abs(rows @ nu) <= costs + 1e-9).all() and np.allclose(nu, lz * y - size @ rows[at])
+        want, dual, _ = k.weighted_l1(rows.T, costs, y, lz, None, 1e-10, 20000)
+        v = np.zeros(len(rows))
+        v[at] = size / lz
+        assert np.allclose(nu, dual, atol=1e-6)
+        assert np.isclose(costs @ np.abs(v) + ((y - v @ rows) ** 2).sum() * lz / 2, costs @ np.abs(want) + ((y - want @ rows) ** 2).sum() * lz / 2)

@@ -5,6 +5,7 @@ from itertools import permutations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flatspan import queries
@@ -229,6 +230,47 @@ def test_convex_programs_by_few_atoms_equal_all_atoms(spark, monkeypatch, outlie
             assert np.allclose(x.T @ got[:, i], x[i], atol=1e-6)
 
 
+def test_convex_rounds_store_nothing(spark, monkeypatch):
+    """Many rounds store no more than the packed points; atoms in a file, several programs at once and more parts give the same solutions."""
+    monkeypatch.setattr(convex, "FIRST", 2)
+    monkeypatch.setattr(convex, "MORE", 1)
+    x = np.random.default_rng(9).standard_normal((70, 6))
+    x[50] = x[3]
+    df = spark.createDataFrame([(7 * i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>").persist()
+    stored, checkpoint = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **k: stored.append(1) or checkpoint(self, *a, **k))
+    one = {r.id: r for r in convex.convex_solutions(df, 2.0, 30.0, False).collect()}
+    assert len(one) == 70 and len(stored) <= 2 and all(r.gap < 1e-6 for r in one.values())
+    for i, r in one.items():
+        product = np.abs(x @ np.array(r.dual))
+        product[i // 7] = 0
+        assert product.max() <= 1 + 1e-4 and i not in r.chosen and 0 not in r.coef
+    monkeypatch.setattr(convex, "HELD_BYTES", 100)
+    programs = [(2.0, 30.0, False), (0.0, 30.0, True)]
+    both = convex.several_solutions(df, programs, "id % 14 = 0").persist()
+    for r in both.where("program = 0").collect():
+        assert np.allclose(r.dual, one[r.id].dual, atol=1e-4)
+    products = {(r.id, r.program): r.score for r in convex.largest_products(df, both, programs).collect()}
+    for r in both.collect():
+        product = np.abs(x @ np.array(r.dual[:6]) + (r.dual[6] if r.program else 0))
+        product[r.id // 7] = 0
+        assert np.isclose(products[r.id, r.program], product.max()) and product.max() <= 1 + 1e-4
+    assert both.count() == len(products) == 70
+
+
+def test_penalty_scale_compares_few_points_with_all(spark, monkeypatch):
+    x = np.random.default_rng(10).standard_normal((90, 5))
+    x[60:] = x[:30]
+    df = spark.createDataFrame([(3 * i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    score = np.abs(x @ x.T)
+    np.fill_diagonal(score, 0)
+    monkeypatch.setattr(pairing.packed, "__defaults__", ("f8", 10))
+    monkeypatch.setattr(ssc, "LOWEST", 3, raising=False)
+    asked, partners = [], ssc.top_partners
+    monkeypatch.setattr(ssc, "top_partners", lambda q, a, k: asked.append(q.count() * a.count()) or partners(q, a, k))
+    assert np.isclose(ssc.penalty_scale(df), score.max(axis=1).min()) and sum(asked) < 90 * 9 * 0.7
+
+
 def cost(x, i, c, le, lz):
     r = x[i] - x.T @ c
     e = np.sign(r) * np.maximum(np.abs(r) - le / lz, 0) if le and lz else (r if le else 0 * r)
