@@ -12,7 +12,7 @@ from flatspan import queries
 from flatspan.frame import vectors, width_of
 from flatspan.operators import ksubspaces as ks
 from flatspan.operators import sparse_subspace as ssc
-from flatspan.functions.kernels import AdmmProblem, convex_point
+from flatspan.functions.kernels import AdmmProblem, convex_point, least_squares
 from flatspan.operators import convex, kmeans, krylov, pairing, spectral
 from flatspan.operators.regression import LinearSVR, OwlModel, OwlRegression
 from flatspan.operators.tracking import SubspaceTracker, SubspaceTrackerModel
@@ -302,6 +302,31 @@ def test_pursuit_and_correlations_over_blocks(spark, monkeypatch):
     assert np.isclose(ssc.admm_scale(df, 20, True), corr.max(axis=0).min()) and np.isclose(ssc.admm_scale(df, 20, False), score.max(axis=1).min())
 
 
+def test_strongest_partner_found_in_single_precision(monkeypatch):
+    """The best partner is the one that double precision gives: near ties, copies, the point itself, zeros, sizes far apart; few pairs need double precision."""
+    rng = np.random.default_rng(11)
+    y = rng.standard_normal((500, 16))
+    y[100:130] = y[0] * (1 + 1e-10 * np.arange(30))[:, None]
+    y[200], y[201], y[300] = y[7], y[7], 0
+    x = np.vstack([y[:320], np.zeros((2, 16)), 1e-25 * y[3:5], 1e25 * y[5:6]])
+    ids, other = np.arange(len(x)), rng.permutation(500)
+    slow, whole = [], pairing._strongest
+    monkeypatch.setattr(pairing, "_strongest", lambda i, *a: slow.append(len(i)) or whole(i, *a))
+    got = pairing._strongest_one(ids, x, other, y[other]).sort_values("id")
+    want = whole(ids, x, other, y[other], 1, False).sort_values("id")
+    assert (got.id.to_numpy() == want.id.to_numpy()).all() and (got.other.to_numpy() == want.other.to_numpy()).all()
+    assert np.allclose(got.score, want.score, rtol=1e-12) and sum(slow) < len(x) / 2
+
+
+def test_pursuit_of_many_points_at_once():
+    """Least squares of all points together are those of each, atoms that repeat or vanish included."""
+    rng = np.random.default_rng(13)
+    points, atoms = rng.standard_normal((20, 8)), rng.standard_normal((20, 3, 8))
+    atoms[3, 2], atoms[4, 1] = atoms[3, 0], 0
+    for p, a, c in zip(points, atoms, least_squares(points, atoms), strict=True):
+        assert np.allclose(c, np.linalg.lstsq(a.T, p, rcond=None)[0])
+
+
 def test_blocks_travel_a_bounded_number_of_times(spark):
     """Each pair of blocks meets once, and a task takes a whole part of either side, however many blocks there are."""
     assert [pairing.tiles(b, s) for b, s in ((3, 100), (150, 300 << 20), (10_000, 64 << 30))] == [3, pairing.SIDE, 1024]
