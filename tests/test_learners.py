@@ -258,6 +258,21 @@ def test_convex_rounds_store_nothing(spark, monkeypatch):
     assert both.count() == len(products) == 70
 
 
+@pytest.mark.parametrize("le", [0.0, 3.0])
+def test_affine_programs_are_optimal_among_near_copies(spark, le):
+    rng = np.random.default_rng(0)
+    b = rng.standard_normal((20, 12))
+    x = np.vstack([b + 1e-3 * rng.standard_normal(b.shape) for _ in range(3)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    found = convex.convex_solutions(df, le, 2e4, True).collect()
+    assert len(found) == 60
+    for r in found:
+        product = np.abs(x @ np.array(r.dual[:-1]) + r.dual[-1])
+        product[r.id] = 0
+        assert product.max() <= 1 + 1e-4 and r.gap <= 1e-6 and abs(sum(r.coef) - 1) < 1e-6
+
+
 def test_penalty_scale_compares_few_points_with_all(spark, monkeypatch):
     x = np.random.default_rng(10).standard_normal((90, 5))
     x[60:] = x[:30]
