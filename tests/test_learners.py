@@ -364,6 +364,20 @@ def test_ensemble_runs_match_single_runs(spark, union):
         assert {r.id: r.cluster for r in alone.transform(union).collect()} == {i: labels[k] for i, labels in got.items()}
 
 
+def test_ensemble_runs_send_no_sums_from_step_to_step(spark, monkeypatch):
+    """The runs take all steps in the tasks of their part, from memory or a file; runs whose sums are too many for a task give the same labels."""
+    rng = np.random.default_rng(12)
+    df = vectors(spark.createDataFrame([(3 * i, rng.standard_normal(6).tolist()) for i in range(300)], "k long, x array<double>"), "k", "x").repartition(3)
+    params, steps, found = EnsembleParams(n_clusters=5, dim_subspaces=2, n_base=10), [], []
+    step = ks.step
+    monkeypatch.setattr(ks, "step", lambda *a: steps.append(1) or step(*a))
+    for held in (64 << 20, 2000, 1000):
+        monkeypatch.setattr(ks, "HELD_BYTES", held)
+        found.append({r.id: r.labels for r in ks.base_labels(df, params).collect()})
+        assert bool(steps) == (held == 1000)
+    assert found[0] == found[1] == found[2]
+
+
 def test_owl_closed_forms(spark, tmp_path):
     df = spark.createDataFrame([(1, [1.0], 2.0), (2, [2.0], 3.0)], "id long, features array<double>, label double")
     zero = dict(weight_max_val=0.0, weight_min_val=0.0, tol=1e-8)
