@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 from itertools import permutations
 
 import numpy as np
@@ -13,6 +14,7 @@ from flatspan.frame import vectors, width_of
 from flatspan.operators import ksubspaces as ks
 from flatspan.operators import sparse_subspace as ssc
 from flatspan.functions.kernels import AdmmProblem, convex_point, least_squares
+from flatspan import runtime
 from flatspan.operators import convex, kmeans, krylov, pairing, spectral
 from flatspan.operators.regression import LinearSVR, OwlModel, OwlRegression
 from flatspan.operators.tracking import SubspaceTracker, SubspaceTrackerModel
@@ -273,6 +275,37 @@ def test_affine_programs_are_optimal_among_near_copies(spark, le):
         assert product.max() <= 1 + 1e-4 and r.gap <= 1e-6 and abs(sum(r.coef) - 1) < 1e-6
 
 
+@pytest.mark.parametrize("affine", [False, True])
+def test_admm_points_beyond_memory_stay_in_a_file(spark, monkeypatch, affine):
+    """No size of all points is refused, and what a task holds of them is bounded; the coefficients are the same."""
+    x = np.random.default_rng(13).standard_normal((300, 6))
+    df = spark.createDataFrame([(11 * i % 301, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>").repartition(3).persist()
+    got = lambda: {(r.row_id, r.col_id): round(r.coef, 9) for r in ssc.admm_coefficients(df, SscAdmmParams(use_affine=affine), 60).collect()}
+    monkeypatch.setattr(pairing, "BLOCK", 64)
+    want = got()
+    monkeypatch.setattr("flatspan.frame.MAX_BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(ssc, "HELD_BYTES", 1000)
+    monkeypatch.setattr(ssc, "ROW_BYTES", 8 * 300 * 5)
+    assert want and got() == want
+
+
+def test_stored_frames_leave_no_shuffles(spark):
+    setting = spark.conf.get(runtime.RELEASE, None)
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: held.getAllFiles().mkString(",").count("shuffle_")
+    df = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    before = files()
+    stored = runtime.cut_lineage(df)
+    table, drop = runtime.stored_for_now(df)
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(runtime.RELEASE, None) == setting
+    assert stored.count() == table.count() == 7
+    drop()
+
+
 def test_penalty_scale_compares_few_points_with_all(spark, monkeypatch):
     x = np.random.default_rng(10).standard_normal((90, 5))
     x[60:] = x[:30]
