@@ -289,6 +289,24 @@ def test_admm_points_beyond_memory_stay_in_a_file(spark, monkeypatch, affine):
     assert want and got() == want
 
 
+def test_pursuit_keeps_one_state_only(spark, monkeypatch):
+    """The atoms of a step go when the next step's are stored, and the last ones with the coefficients."""
+    df = vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(14).standard_normal((80, 8)))], "k long, x array<double>"), "k", "x").persist()
+    checkpoint, stored, live, most = DataFrame.checkpoint, [], set(), []
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **k: stored.append(self.columns) or checkpoint(self, *a, **k))
+    put = ssc.stored_for_now
+
+    def counted(frame):
+        table, drop = put(frame)
+        live.add(number := len(most))
+        most.append(len(live))
+        return table, lambda: live.discard(number) or drop()
+
+    monkeypatch.setattr(ssc, "stored_for_now", counted)
+    assert ssc.omp_coefficients(df, 5, 1e-6).count() >= 80
+    assert len(most) == 5 and max(most) == 2 and not live and not any("atoms" in c for c in stored)
+
+
 def test_stored_frames_leave_no_shuffles(spark):
     setting = spark.conf.get(runtime.RELEASE, None)
     held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
