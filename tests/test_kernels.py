@@ -241,3 +241,23 @@ def test_nearest_point_within_all_rows_is_the_programs_dual():
         v[at] = size / lz
         assert np.allclose(nu, dual, atol=1e-6)
         assert np.isclose(costs @ np.abs(v) + ((y - v @ rows) ** 2).sum() * lz / 2, costs @ np.abs(want) + ((y - want @ rows) ** 2).sum() * lz / 2)
+
+
+@pytest.mark.parametrize("constant", [0.0, 0.1])
+def test_three_numbers_take_the_same_steps_in_plain_numbers(monkeypatch, constant):
+    """Each step from the same state, with holes; later states differ only as rounding does. No step of a whole vector goes through the general way."""
+    o, rng = tr.TrackerOptions(constant_step=constant), np.random.default_rng(15)
+    x = rng.standard_normal((300, 3)) @ np.diag([20.0, 5.0, 9.0]) + [25, 10, 9]
+    x[::50, 1] = np.nan
+    state, calls, step = tr.start(o, 3), [], tr.step
+    monkeypatch.setattr(tr, "step", lambda s, v, *a: calls.append(np.isnan(v).any()) or step(s, v, *a))
+    for i, v in enumerate(x):
+        want = step(state, v, o, None)[0]
+        got = tr.advanced(state, [i], x[i : i + 1], o)
+        assert np.allclose(got.basis, want.basis, atol=1e-8) and (got.level, got.budget) == (want.level, want.budget) and np.isclose(got.mu, want.mu, atol=1e-6)
+        assert np.isclose(got.scale, want.scale) and np.allclose(got.w, want.w, atol=1e-7)
+        state = want
+    assert len(calls) == 6 and all(calls)
+    whole = tr.advanced(tr.start(o, 3), list(range(60)), x[:60], o)
+    halves = tr.advanced(tr.advanced(tr.start(o, 3), list(range(25)), x[:25], o), list(range(25, 60)), x[25:60], o)
+    assert np.array_equal(whole.basis, halves.basis) and whole.mu == halves.mu
